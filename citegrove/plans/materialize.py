@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,14 +23,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="citegrove-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return configured
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared checkpoint folder, so that lost executors don't change or repeat it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df computed once, written as a table in the shared checkpoint folder and read from there.
+
+    Lost executors neither change nor repeat what was written. The files stay until the folder is cleaned.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
