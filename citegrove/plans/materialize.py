@@ -42,10 +42,12 @@ def settle(df: DataFrame) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors once a session, so that Python functions find it without an installation."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_citegrove_shipped", False):
+    if getattr(sc, "_citegrove_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="citegrove-ship-"), "citegrove.zip")
+    folder = tempfile.mkdtemp(prefix="citegrove-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "citegrove.zip")
     with zipfile.ZipFile(path, "w") as z:
         for at, _, files in os.walk(root):
             for f in files:
