@@ -16,4 +16,4 @@ REGISTRY = Registry()
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of paper_hit with two copies or more."""
     hits = table(spark, sf_dir, "paper_hit")
-    return twins.collapse_copies(hits, "hit_id", twins.paper_hit_fields(), "title").filter("n_copies >= 2")
+    return twins.collapse_copies(hits, "hit_id", twins.paper_hit_record(), "title").filter("n_copies >= 2")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,78 +39,61 @@ def canonical(value: Column) -> Column:
     return F.coalesce(native, fold(F.when(~ascii_only, v)), F.lit(""))
 
 
-def parse_labelled(record: Column) -> Column:
-    """A labelled record, as JSON or as 'label: value' or 'label=value' pairs parted by |, ; or new lines, as map of label to value.
+def labelled_values(record: Column) -> Column:
+    """The (label, value) pairs of a labelled record, in JSON or as 'label: value' or 'label=value' parted by |, ; or new lines.
 
-    Labels lose case, blanks, _ and -. A null or unreadable record gives an empty map; of a repeated label the first value counts.
+    Labels lose case, blanks, _ and -. A null or unreadable record has no pairs.
     """
-    strip_label = lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]+", "")
-    as_json = F.map_entries(F.from_json(record, "map<string,string>"))
-    parts = F.split(record, r"(?:\s*[|;\n\r]\s*)(?=[A-Za-z][A-Za-z _-]{0,40}\s*[:=])")
+    label = lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]+", "")
+    as_json = F.transform(F.map_entries(F.from_json(record, "map<string,string>")), lambda e: F.struct(label(e["key"]).alias("label"), e["value"].alias("value")))
+    parts = F.split(record, r"[ \t]*[|;\n\r]\s*(?=[A-Za-z][A-Za-z _-]{0,40}[:=])")
     pairs = F.transform(
         parts,
-        lambda p: F.struct(F.regexp_extract(p, r"^\s*([^:=]*)[:=]", 1).alias("key"), F.regexp_extract(p, r"(?s)^[^:=]*[:=](.*)$", 1).alias("value")),
+        lambda p: F.struct(
+            label(F.substring_index(F.translate(p, "=", ":"), ":", 1)).alias("label"),
+            F.substring(p, F.length(F.substring_index(F.translate(p, "=", ":"), ":", 1)) + 2, F.length(p)).alias("value"),
+        ),
     )
-    found = F.when(record.rlike(r"^\s*\{"), as_json).otherwise(pairs)
-    entries = F.transform(F.coalesce(found, F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.struct(strip_label(e["key"]).alias("key"), e["value"].alias("value")))
-    return entries
+    return F.when(F.ltrim(record).startswith("{"), as_json).otherwise(pairs)
 
 
-def label_value(entries: Column, label: str) -> Column:
-    return F.get(F.filter(entries, lambda e: e["key"] == label), F.lit(0))["value"]
-
-
-def collapse_copies(df: DataFrame, key: str, fields: Mapping[str, Column], required: str) -> DataFrame:
+def collapse_copies(df: DataFrame, key: str, record: Column, required: str) -> DataFrame:
     """One row per record with its number of copies: (key, n_copies), key being the smallest of the copies.
 
-    fields: what a record consists of; two rows are copies if every field is equal in canonical form. A null, an empty and an
-    absent value are one. Rows whose required field has no letter or digit are left out. df may have any other columns; an
-    empty df gives no rows. key must be unique and not null.
+    record: array of (label, value) structs, what a row consists of. Two rows are copies if the sets of their labelled values
+    are equal in canonical form. A null, an empty and an absent value are one. Rows whose required label has no letter or
+    digit are left out. df may have any other columns; an empty df gives no rows. key must be unique and not null.
 
-    Each distinct raw value is canonicalised once and each canonical value of a field gets an integer; a record becomes the
+    Each distinct raw value is canonicalised once and each canonical value of a label gets an integer; a record becomes the
     sorted tuple of its values' integers, and the tuples are grouped with partial counts. Values held by more than a
     HEAVY_SHARE-th of the rows meet the dictionary by broadcast, their number being bounded by that share, all others by a
     shuffle join, so no value makes a hot partition.
     """
     ship(df.sparkSession)
-    names = sorted(fields)
-    raw = df.select(
-        F.col(key).alias("_key"),
-        F.array(*(F.struct(F.lit(i).alias("f"), fields[n].alias("raw")) for i, n in enumerate(names))).alias("_fields"),
+    long = (
+        df.select(F.col(key).alias("_key"), F.explode(record).alias("x"))
+        .select("_key", F.col("x.label").alias("label"), F.col("x.value").alias("raw"))
+        .filter("raw is not null and raw <> ''")
     )
-    long = raw.select("_key", F.explode("_fields").alias("x")).select("_key", "x.f", "x.raw").filter(F.col("raw").isNotNull() & (F.col("raw") != ""))
-    values = long.groupBy("f", "raw").agg(F.count(F.lit(1)).alias("n")).withColumn("value", canonical(F.col("raw")))
-    values = settle(values.filter(F.col("value") != ""))
-    ids = settle(values.select("f", "value").distinct().withColumn("id", F.monotonically_increasing_id()))
-    rows = values.groupBy().agg(F.max("n").alias("top"), F.sum(F.when(F.col("f") == names.index(required), F.col("n"))).alias("rows")).first()
-    heavy_from = max(1000, (rows["rows"] or 0) // HEAVY_SHARE)
-    book = values.join(ids, ["f", "value"]).select("f", "raw", "n", "id")
-    heavy = book.filter(F.col("n") >= heavy_from).select("f", "raw", F.col("id").alias("heavy_id"))
-    usual = book.filter(F.col("n") < heavy_from).select("f", "raw", "id")
-    if (rows["top"] or 0) >= heavy_from:
-        met = long.join(F.broadcast(heavy), ["f", "raw"], "left")
-        met = met.filter("heavy_id is not null").select("_key", "f", F.col("heavy_id").alias("id")).unionAll(
-            met.filter("heavy_id is null").select("_key", "f", "raw").join(usual, ["f", "raw"]).select("_key", "f", "id")
-        )
+    values = long.groupBy("label", "raw").agg(F.count(F.lit(1)).alias("n")).withColumn("value", canonical(F.col("raw")))
+    values = settle(values.filter("value <> ''").withColumn("rid", F.monotonically_increasing_id()))
+    book = values.join(values.groupBy("label", "value").agg(F.min("rid").alias("id")), ["label", "value"]).select("label", "raw", "n", "id")
+    top = values.groupBy().agg(F.max("n").alias("top"), F.sum(F.when(F.col("label") == required, F.col("n"))).alias("rows")).first()
+    heavy_from = max(1000, (top["rows"] or 0) // HEAVY_SHARE)
+    if (top["top"] or 0) >= heavy_from:
+        heavy = book.filter(F.col("n") >= heavy_from).select("label", "raw", F.col("id").alias("heavy_id"))
+        met = long.join(F.broadcast(heavy), ["label", "raw"], "left")
+        ids = met.filter("heavy_id is not null").select("_key", "label", F.col("heavy_id").alias("id"))
+        rest = met.filter("heavy_id is null").select("_key", "label", "raw")
+        ids = ids.unionAll(rest.join(book.filter(F.col("n") < heavy_from), ["label", "raw"]).select("_key", "label", "id"))
     else:
-        met = long.join(usual, ["f", "raw"]).select("_key", "f", "id")
-    tuples = met.groupBy("_key").agg(
-        F.array_sort(F.collect_list("id")).alias("record"), F.max(F.col("f") == names.index(required)).alias("whole")
-    )
-    return (
-        tuples.filter("whole")
-        .groupBy("record")
-        .agg(F.min("_key").alias(key), F.count(F.lit(1)).alias("n_copies"))
-        .select(key, "n_copies")
-    )
+        ids = long.join(book, ["label", "raw"]).select("_key", "label", "id")
+    tuples = ids.groupBy("_key").agg(F.array_sort(F.collect_set("id")).alias("record"), F.max(F.col("label") == required).alias("whole"))
+    return tuples.filter("whole").groupBy("record").agg(F.min("_key").alias(key), F.count(F.lit(1)).alias("n_copies")).select(key, "n_copies")
 
 
-def paper_hit_fields() -> dict[str, Column]:
+def paper_hit_record() -> Column:
     """Title, first author, year and venue of a row of paper_hit."""
-    entries = parse_labelled(F.col("record"))
-    return {
-        "title": F.col("title"),
-        "first_author": label_value(entries, "firstauthor"),
-        "year": label_value(entries, "year"),
-        "venue": label_value(entries, "venue"),
-    }
+    kept = F.filter(labelled_values(F.col("record")), lambda e: e["label"].isin("firstauthor", "year", "venue"))
+    title = F.array(F.struct(F.lit("title").alias("label"), F.col("title").alias("value")))
+    return F.concat(title, F.coalesce(kept, F.array().cast("array<struct<label:string,value:string>>")))
