@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrove.llm import sql, twins
+from citegrove.llm import canonmap, setjoin, sql, termcount, twins
 from citegrove.plans.registry import Registry
 from citegrove.session import table
 
@@ -17,3 +19,32 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of paper_hit with two copies or more."""
     hits = table(spark, sf_dir, "paper_hit")
     return twins.collapse_copies(hits, "hit_id", twins.paper_hit_record(), "title").filter("n_copies >= 2")
+
+
+def _evidence(items: DataFrame) -> DataFrame:
+    return items.withColumn("vs", F.array_distinct(F.filter(F.transform("evidence", termcount.normal_value), lambda v: v.isNotNull() & (v != ""))))
+
+
+@REGISTRY.add("p4_found", sql.P4_FOUND)
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of menu items with similar evidence, and of design items with similar words of the name."""
+    items = table(spark, sf_dir, "menu_item")
+    by_evidence = setjoin.similar_pairs(_evidence(items).filter(F.size("vs") >= 3), "item_id", "vs", Fraction(3, 5))
+    design = items.filter(F.col("key").isin("threats", "evidence_standards", "protocols", "validity_checks"))
+    by_name = setjoin.similar_pairs(design.withColumn("vs", setjoin.words(F.col("name"))), "item_id", "vs", Fraction(3, 4))
+    return by_evidence.select(F.lit("evidence").alias("field"), "item_a", "item_b").unionAll(by_name.select(F.lit("name").alias("field"), "item_a", "item_b"))
+
+
+@REGISTRY.add("p5_found", sql.P5_FOUND)
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence values too rare or too common to be useful."""
+    items = table(spark, sf_dir, "menu_item")
+    counts = termcount.value_counts(items, "item_id", "evidence")
+    return termcount.mark_useless(counts, termcount.records_with_values(items, "evidence"))
+
+
+@REGISTRY.add("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry of canon_entry meant by each typed name of a resource item, 0 for none."""
+    typed = canonmap.typed_names(table(spark, sf_dir, "menu_item"))
+    return canonmap.map_values(typed, table(spark, sf_dir, "canon_entry")).select("item_id", "pos", "entry_id")

@@ -8,10 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citegrove.llm.dictionary import encode
 from citegrove.plans.materialize import settle, ship
 
-#: A value held by more than one row in so many is joined from a broadcast list; there are at most that many such values a field.
-HEAVY_SHARE = 64
 #: Literal two-character escapes that count as white space.
 ESCAPES = r"\\[nrt]"
 
@@ -65,9 +64,9 @@ def collapse_copies(df: DataFrame, key: str, record: Column, required: str) -> D
     digit are left out. df may have any other columns; an empty df gives no rows. key must be unique and not null.
 
     Each distinct raw value is canonicalised once and each canonical value of a label gets an integer; a record becomes the
-    sorted tuple of its values' integers, and the tuples are grouped with partial counts. Values held by more than a
-    HEAVY_SHARE-th of the rows meet the dictionary by broadcast, their number being bounded by that share, all others by a
-    shuffle join, so no value makes a hot partition.
+    sorted tuple of its values' integers, and the tuples are grouped with partial counts. Values held by many rows meet
+    the dictionary by broadcast, their number being bounded by their share, all others by a shuffle join, so no value makes a
+    hot partition.
     """
     ship(df.sparkSession)
     long = (
@@ -78,16 +77,8 @@ def collapse_copies(df: DataFrame, key: str, record: Column, required: str) -> D
     values = long.groupBy("label", "raw").agg(F.count(F.lit(1)).alias("n")).withColumn("value", canonical(F.col("raw")))
     values = settle(values.filter("value <> ''").withColumn("rid", F.monotonically_increasing_id()))
     book = values.join(values.groupBy("label", "value").agg(F.min("rid").alias("id")), ["label", "value"]).select("label", "raw", "n", "id")
-    top = values.groupBy().agg(F.max("n").alias("top"), F.sum(F.when(F.col("label") == required, F.col("n"))).alias("rows")).first()
-    heavy_from = max(1000, (top["rows"] or 0) // HEAVY_SHARE)
-    if (top["top"] or 0) >= heavy_from:
-        heavy = book.filter(F.col("n") >= heavy_from).select("label", "raw", F.col("id").alias("heavy_id"))
-        met = long.join(F.broadcast(heavy), ["label", "raw"], "left")
-        ids = met.filter("heavy_id is not null").select("_key", "label", F.col("heavy_id").alias("id"))
-        rest = met.filter("heavy_id is null").select("_key", "label", "raw")
-        ids = ids.unionAll(rest.join(book.filter(F.col("n") < heavy_from), ["label", "raw"]).select("_key", "label", "id"))
-    else:
-        ids = long.join(book, ["label", "raw"]).select("_key", "label", "id")
+    rows = values.filter(F.col("label") == required).groupBy().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()["rows"]
+    ids = encode(long, book, ["label", "raw"], rows).select("_key", "label", "id")
     tuples = ids.groupBy("_key").agg(F.array_sort(F.collect_set("id")).alias("record"), F.max(F.col("label") == required).alias("whole"))
     return tuples.filter("whole").groupBy("record").agg(F.min("_key").alias(key), F.count(F.lit(1)).alias("n_copies")).select(key, "n_copies")
 
