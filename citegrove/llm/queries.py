@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrove.llm import canonmap, setjoin, sql, termcount, twins
+from citegrove.llm import canonmap, consensus, setjoin, sql, termcount, twins
 from citegrove.plans.registry import Registry
 from citegrove.session import table
 
@@ -48,3 +48,29 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entry of canon_entry meant by each typed name of a resource item, 0 for none."""
     typed = canonmap.typed_names(table(spark, sf_dir, "menu_item"))
     return canonmap.map_values(typed, table(spark, sf_dir, "canon_entry")).select("item_id", "pos", "entry_id")
+
+
+_ITEM = ["problem_id", "model", "condition", "ref_index"]
+
+
+def _consensus(spark: SparkSession, sf_dir: str) -> consensus.Consensus:
+    votes = consensus.evaluation_votes(table(spark, sf_dir, "evaluation"), table(spark, sf_dir, "benchmark_problem"))
+    return consensus.consensus(votes, _ITEM, "judge", "status", consensus.STATUSES)
+
+
+@REGISTRY.add("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consensus status of every item on which three judges or more gave a usable one."""
+    return _consensus(spark, sf_dir).items.filter("n_annotators >= 3").select(*_ITEM, F.col("label").alias("status"))
+
+
+@REGISTRY.add("p1_agreement")
+def p1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consensus, confidence and pairwise agreement of every item with a usable status."""
+    return _consensus(spark, sf_dir).items.withColumnRenamed("label", "status")
+
+
+@REGISTRY.add("p1_reliability")
+def p1_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The judges' votes and accuracy, by triplets alone and in the end."""
+    return _consensus(spark, sf_dir).annotators.withColumnRenamed("annotator", "judge")
