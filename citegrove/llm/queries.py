@@ -7,8 +7,9 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrove.llm import canonmap, consensus, setjoin, sql, termcount, twins
+from citegrove.llm import bpe, canonmap, consensus, packing, setjoin, sql, termcount, twins
 from citegrove.plans.registry import Registry
+from citegrove.plans.materialize import settle
 from citegrove.session import table
 
 REGISTRY = Registry()
@@ -74,3 +75,28 @@ def p1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The judges' votes and accuracy, by triplets alone and in the end."""
     return _consensus(spark, sf_dir).annotators.withColumnRenamed("annotator", "judge")
+
+
+@REGISTRY.add("p7_ids")
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@REGISTRY.add("p8_containers")
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document or piece lies in which container of each context budget."""
+    sizes = settle(bpe.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    budgets = table(spark, sf_dir, "context_budget").select("budget_id", F.col("capacity_tokens").cast("long").alias("capacity"))
+    pieces = packing.cut_pieces(sizes.crossJoin(F.broadcast(budgets.limit(100))), "doc_id", "n_tokens", F.col("capacity"))
+    packed = packing.pack(pieces.select("budget_id", "doc_id", "piece", "size", "capacity"), "budget_id", "doc_id")
+    return packed.select("budget_id", "doc_id", "piece", F.col("size").alias("n_tokens"), "container")
+
+
+@REGISTRY.add("p8_fill")
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of each context budget, and the share of their space that is used."""
+    budgets = table(spark, sf_dir, "context_budget").select("budget_id", F.col("capacity_tokens").cast("long").alias("capacity"))
+    used = p8_containers(spark, sf_dir).groupBy("budget_id", "container").agg(F.sum("n_tokens").alias("used"))
+    per = used.groupBy("budget_id").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("used"), F.max("used").alias("most"))
+    return per.join(F.broadcast(budgets), "budget_id").select("budget_id", "capacity", "n_containers", "most", F.round(F.col("used") / (F.col("capacity") * F.col("n_containers")), 6).alias("fill"))
