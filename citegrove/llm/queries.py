@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrove.llm import bpe, canonmap, consensus, packing, setjoin, sql, termcount, twins
+from citegrove.llm import bpe, canonmap, consensus, packing, setjoin, sql, survivor, termcount, twins
 from citegrove.plans.registry import Registry
 from citegrove.plans.materialize import settle
 from citegrove.session import table
@@ -100,3 +100,9 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = p8_containers(spark, sf_dir).groupBy("budget_id", "container").agg(F.sum("n_tokens").alias("used"))
     per = used.groupBy("budget_id").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("used"), F.max("used").alias("most"))
     return per.join(F.broadcast(budgets), "budget_id").select("budget_id", "capacity", "n_containers", "most", F.round(F.col("used") / (F.col("capacity") * F.col("n_containers")), 6).alias("fill"))
+
+
+@REGISTRY.add("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving record of every work with two records or more."""
+    return survivor.survivors(table(spark, sf_dir, "paper"))
