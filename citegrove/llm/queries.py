@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrove.llm import bpe, canonmap, consensus, packing, setjoin, sql, survivor, termcount, twins
+from citegrove.llm import bpe, canonmap, consensus, packing, readability, setjoin, sql, survivor, termcount, twins
 from citegrove.plans.registry import Registry
 from citegrove.plans.materialize import settle
 from citegrove.session import table
@@ -106,3 +106,20 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving record of every work with two records or more."""
     return survivor.survivors(table(spark, sf_dir, "paper"))
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readability.reading_levels(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "graded_passage"))
+
+
+@REGISTRY.add("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of every document of English prose."""
+    return _levels(spark, sf_dir).filter("prose").select("doc_id", "level")
+
+
+@REGISTRY.add("p9_profile")
+def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, words and mean level by prose and level."""
+    g = _levels(spark, sf_dir).groupBy("prose", "level")
+    return g.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_words").alias("n_words"), F.round(F.avg("mean_level"), 6).alias("mean_level"))
