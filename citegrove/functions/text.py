@@ -116,10 +116,12 @@ def canon_model(c: Column, families: list[tuple[str, str]], classes: list[str])
     scale = F.regexp_replace(bare, r"(?<![A-Za-z0-9])[RV]\d+(?![0-9])", " ")
     scale = F.regexp_replace(F.regexp_replace(scale, r"(?i)\d+\s*x\s*\d+\s*[bm]\b", " "), r"(?i)\d+\s*[bm]\b", " ")
     tier = release(scale)
-    out = F.when((raw == "") | F.lower(bare).isin(*classes) | F.lower(raw).isin(*classes), "")
+    family = F.when(F.lit(False), raw)
     for pattern, name in families:
-        out = out.when(raw.rlike("(?i)" + pattern), F.when(tier != "", F.concat(F.lit(name + "-"), tier)).otherwise(name))
-    return out.otherwise(canon_generic(raw))
+        family = family.when(raw.rlike("(?i)" + pattern), name)
+    named = F.concat_ws("-", family, F.nullif(tier, F.lit("")))
+    generic = (raw == "") | F.lower(bare).isin(*classes) | F.lower(raw).isin(*classes)
+    return F.when(generic, "").when(family.isNotNull(), named).otherwise(canon_generic(raw))
 
 
 def alias_set(c: Column) -> Column:

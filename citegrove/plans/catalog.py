@@ -1,7 +1,9 @@
-"""All queries of the core; the modules of citegrove.plans register themselves here."""
+"""All queries of the core: importing the modules of queries fills the registry."""
 
 from __future__ import annotations
 
-from citegrove.plans.registry import Registry
+from citegrove.plans.registry import REGISTRY
 
-REGISTRY = Registry()
+import citegrove.plans.text_queries  # noqa: E402,F401,I001
+
+__all__ = ["REGISTRY"]

@@ -37,3 +37,7 @@ class Registry:
 
     def oracle_sql(self) -> dict[str, str]:
         return {k: e.sql for k, e in self._entries.items() if e.sql}
+
+
+#: The core's queries.
+REGISTRY = Registry()
