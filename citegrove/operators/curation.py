@@ -1,0 +1,212 @@
+"""Curation of grouped items: alias merge, absorption, evidence threshold, quota-balanced allocation, rendering."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from citegrove.functions.text import alias_set, content_words, squash, taxonomy_tokens, word_contains
+
+RESOURCES = ["datasets", "models", "baselines", "metrics"]
+DESIGN = ["threats", "evidence_standards", "protocols", "validity_checks", "controls", "confounds"]
+KINDS = ["control", "confound"]
+#: Slots of each key, for the two formats with caps of their own.
+CAPS = {
+    "0.4": {"threats": 14, "validity_checks": 6, "evidence_standards": 6, "protocols": 8, "baselines": 6, "metrics": 6, "datasets": 4},
+    "2": {"threats": 20, "evidence_standards": 7, "baselines": 8, "metrics": 8, "datasets": 7},
+}
+RESOURCE_CAP, DESIGN_CAP = 8, 14
+
+
+def cap_of(key: Column, fmt: str | None = None) -> Column:
+    """Slots of a key in a format; the general caps where the format has none of its own."""
+    c = F.when(F.lit(False), 0)
+    for k, n in CAPS.get(fmt or "", {}).items():
+        c = c.when(key == k, n)
+    return c.otherwise(F.when(key.isin(*RESOURCES), RESOURCE_CAP).otherwise(DESIGN_CAP))
+
+
+def n_evidence(evidence: Column) -> Column:
+    """Distinct titles that vouch for an item, null and blank ones not counted."""
+    return F.coalesce(F.size(F.array_distinct(F.filter(evidence, lambda e: F.trim(e) != ""))), F.lit(0))
+
+
+def prune_relaxed(items: DataFrame, group: list[str], least: int = 2) -> DataFrame:
+    """items with n and relaxed: resources of a group need least titles, unless none has them; design items stay as they are."""
+    i = items.withColumn("n", n_evidence(F.col("evidence")))
+    core = F.max(F.col("n") >= least).over(Window.partitionBy(*group))
+    resource = F.col("key").isin(*RESOURCES)
+    i = i.withColumn("relaxed", resource & ~core)
+    return i.filter(~resource | F.col("relaxed") | (F.col("n") >= least))
+
+
+def round_robin(items: DataFrame, group: list[str], lane: str, order: list[Column], cap: Column) -> DataFrame:
+    """The first cap items of each group, dealt over its lanes in turn; for items of one lane each."""
+    r = items.withColumn("turn", F.row_number().over(Window.partitionBy(*group, lane).orderBy(*order)))
+    r = r.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("turn", lane)))
+    return r.filter(F.col("place") <= cap)
+
+
+def kind_quota(items: DataFrame, group: list[str], order: list[Column], cap: int) -> DataFrame:
+    """Half of cap to each kind by order; what one kind leaves goes to the other, controls first."""
+    half = cap // len(KINDS)
+    i = items.filter(F.col("kind").isin(*KINDS)).withColumn("at", F.row_number().over(Window.partitionBy(*group, "kind").orderBy(*order)))
+    first = F.when(F.col("kind") == KINDS[0], 0).otherwise(1)
+    i = i.withColumn("extra", F.when(F.col("at") > half, F.row_number().over(Window.partitionBy(*group, F.col("at") > half).orderBy(first, "at"))))
+    taken = F.sum((F.col("at") <= half).cast("int")).over(Window.partitionBy(*group))
+    return i.withColumn("spare", F.lit(cap) - taken).filter((F.col("at") <= half) | (F.col("extra") <= F.col("spare"))).drop("extra", "spare")
+
+
+def allocate(ranked: pd.DataFrame, lanes: list[str], cap: int) -> list[int]:
+    """Exact allocation for items of several lanes: row numbers in the order they are dealt; an item is dealt once, unlaned ones last."""
+    queues = {lane: [i for i, tags in enumerate(ranked["subfields"]) if lane in set(tags)] for lane in lanes}
+    dealt: dict[int, None] = {}
+    while len(dealt) < cap and any(queues.values()):
+        before = len(dealt)
+        for lane in lanes:
+            while queues[lane] and queues[lane][0] in dealt:
+                queues[lane].pop(0)
+            if queues[lane] and len(dealt) < cap:
+                dealt[queues[lane].pop(0)] = None
+        if len(dealt) == before:
+            break
+    for i in range(len(ranked)):
+        if len(dealt) < cap:
+            dealt.setdefault(i)
+    return list(dealt)[:cap]
+
+
+def allocate_groups(items: DataFrame, group: str, cap: int) -> DataFrame:
+    """(group, item_id, place) by allocate; lanes in alphabetical order, items by evidence and name. items: subfields array, n, name."""
+
+    def deal(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["n", "name", "item_id"], ascending=[False, True, True]).reset_index(drop=True)
+        lanes = sorted({s for tags in f["subfields"] for s in tags if s})
+        order = allocate(f, lanes, cap)
+        return pd.DataFrame({group: f[group].iloc[order], "item_id": f["item_id"].iloc[order], "place": range(1, len(order) + 1)})
+
+    kind = items.schema[group].dataType.simpleString()
+    return items.groupBy(group).applyInPandas(deal, f"`{group}` {kind}, item_id long, place long")
+
+
+def alias_edges(items: DataFrame, group: list[str]) -> DataFrame:
+    """(group, alias, first_item, n): items of a group that share a name of any kind, by the smallest item."""
+    a = items.select(*group, "item_id", F.explode(alias_set(F.col("name"))).alias("alias"))
+    return a.groupBy(*group, "alias").agg(F.min("item_id").alias("first_item"), F.count(F.lit(1)).alias("n"))
+
+
+_BRACKET = re.compile(r"[\(\[]([^\)\]]{1,60})[\)\]]")
+
+
+def _names(name: str) -> set[str]:
+    flat = lambda s: re.sub(r"[^a-z0-9]+", "", s.lower())
+    inside = [b.strip() for b in _BRACKET.findall(name)]
+    named = [b for b in inside if b and "/" not in b and not re.fullmatch(r"[\d.,\s]*[bmkBMK]?", b)]
+    return {x for x in (flat(name), *map(flat, named), flat(re.sub(r"\s*[\(\[][^\)\]]*[\)\]]\s*", " ", name))) if len(x) >= 2}
+
+
+def merge_aliases(items: DataFrame, group: list[str]) -> DataFrame:
+    """Exact greedy merge of a group's items in order of item_id: (group, item_id, slot), slot the first item of the one joined.
+
+    An item joins the first slot that shares a name with it; slots gather the names of their items. Kinds never mix, being part of the group.
+    items: canon, the canonical name, '' for what is dropped. Groups are the items of one subfield and key; a group is one task's.
+    """
+
+    def join(f: pd.DataFrame) -> pd.DataFrame:
+        slots: list[tuple[int, set[str]]] = []
+        where: dict[str, int] = {}
+        out = []
+        for row in f.sort_values("item_id").itertuples(index=False):
+            names = _names(row.name) | _names(row.canon)
+            near = [where[a] for a in names if a in where]
+            at = min(near) if near else len(slots)
+            if not near:
+                slots.append((row.item_id, set()))
+            for a in names:
+                where[a] = min(where.get(a, at), at)
+            out.append((row.item_id, slots[at][0]))
+        g = f[group].iloc[:1].reset_index(drop=True)
+        done = pd.DataFrame(out, columns=["item_id", "slot"])
+        for c in group:
+            done[c] = g[c].iloc[0] if len(g) else None
+        return done[[*group, "item_id", "slot"]]
+
+    kinds = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in group)
+    cols = items.filter("name is not null and canon <> ''").select(*group, "item_id", "name", "canon")
+    return cols.groupBy(*group).applyInPandas(join, f"{kinds}, item_id long, slot long")
+
+
+def absorb(items: DataFrame, group: list[str], threshold: float = 0.6) -> DataFrame:
+    """Exact leader clustering of design items: (group, item_id, host), by evidence and short names first.
+
+    An item joins the first host whose content words overlap by threshold, or contain or are contained in its own with two words
+    at least. items: words, the content words of the name, and n, its evidence.
+    """
+
+    def lead(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.assign(size=f["name"].str.len()).sort_values(["n", "size", "item_id"], ascending=[False, True, True])
+        hosts: list[tuple[int, set]] = []
+        by_word: dict[str, list[int]] = {}
+        out = []
+        for row in f.itertuples(index=False):
+            mine = set(row.words)
+            met: dict[int, int] = {}
+            for w in mine:
+                for h in by_word.get(w, ()):
+                    met[h] = met.get(h, 0) + 1
+            fit = [h for h, k in met.items() if k >= threshold * (len(mine) + len(hosts[h][1]) - k) or (k == min(len(mine), len(hosts[h][1])) and k >= 2)]
+            if fit:
+                out.append((row.item_id, hosts[min(fit)][0]))
+                continue
+            for w in mine:
+                by_word.setdefault(w, []).append(len(hosts))
+            hosts.append((row.item_id, mine))
+            out.append((row.item_id, row.item_id))
+        done = pd.DataFrame(out, columns=["item_id", "host"])
+        for c in group:
+            done[c] = f[c].iloc[0]
+        return done[[*group, "item_id", "host"]]
+
+    kinds = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in group)
+    rows = items.filter("name is not null").select(*group, "item_id", "name", content_words(F.col("name")).alias("words"), n_evidence(F.col("evidence")).alias("n"))
+    return rows.groupBy(*group).applyInPandas(lead, f"{kinds}, item_id long, host long")
+
+
+def taxonomy_scores(texts: DataFrame, key: str, text: str, taxonomy: DataFrame) -> DataFrame:
+    """(key, task, score) of every text with every task: keywords found as words, shared tokens, datasets and metrics found.
+
+    The taxonomy is a dimension of fixed size and travels to the texts.
+    """
+    empty = F.array().cast("array<string>")
+    own = lambda c: F.coalesce(c, empty)
+    x = taxonomy.select("task", own("keywords").alias("keywords"), own("datasets").alias("datasets"), own("metrics").alias("metrics"))
+    x = x.withColumn("x_toks", F.array_distinct(F.concat(taxonomy_tokens(F.col("task")), F.flatten(F.transform("keywords", taxonomy_tokens)))))
+    c = texts.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("t"), taxonomy_tokens(F.col(text)).alias("toks"))
+    hits = lambda arr: F.filter(arr, lambda k: word_contains(F.col("t"), k))
+    score = (
+        F.aggregate(hits("keywords"), F.lit(0.0), lambda s, k: s + 2.0 + 0.2 * F.size(F.split(k, " ")))
+        + 0.5 * F.size(F.array_intersect("toks", "x_toks"))
+        + 1.5 * F.size(hits("datasets"))
+        + 0.75 * F.size(hits("metrics"))
+    )
+    return c.crossJoin(F.broadcast(x)).select(key, "task", score.alias("score"))
+
+
+def nearest_task(labels: DataFrame, label: str, taxonomy: DataFrame, least: float = 0.6) -> DataFrame:
+    """(label, task, j): the task whose tokens are nearest to the label's by Jaccard, null under least; the first by name on ties."""
+    x = taxonomy.select("task", F.array_distinct(F.concat(taxonomy_tokens(F.col("task")), F.flatten(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), taxonomy_tokens)))).alias("x"))
+    both = labels.withColumn("l", taxonomy_tokens(F.col(label))).crossJoin(F.broadcast(x)).filter((F.size("l") > 0) & (F.size("x") > 0))
+    j = F.size(F.array_intersect("l", "x")) / F.size(F.array_union("l", "x"))
+    best = both.withColumn("j", j).groupBy(label).agg(F.min_by("task", F.struct(-F.col("j"), "task")).alias("task"), F.max("j").alias("j"))
+    return best.withColumn("task", F.when(F.col("j") >= least, F.col("task")))
+
+
+def grounded(name: Column, pool: Column) -> Column:
+    """Whether a resource is named in its papers: its squashed name, the name without brackets, or any six of its letters in a row."""
+    s, p = squash(name), squash(pool)
+    bare = squash(F.regexp_replace(name, r"\s*[\(\[].*?[\)\]]\s*", " "))
+    grams = F.when(F.length(s) >= 6, F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - 5)), lambda i: p.contains(F.substring(s, i, F.lit(6)))))
+    return F.coalesce((s != "") & p.contains(s), F.lit(False)) | F.coalesce((bare != "") & p.contains(bare), F.lit(False)) | F.coalesce(grams, F.lit(False))
