@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from citegrove.plans.registry import REGISTRY
 
+import citegrove.plans.curation_queries  # noqa: E402,F401
 import citegrove.plans.identity_queries  # noqa: E402,F401
 import citegrove.plans.retrieval_queries  # noqa: E402,F401
 import citegrove.plans.scoring_queries  # noqa: E402,F401
