@@ -68,25 +68,34 @@ def _occurs(lists: list[list[int]], low: int, need: int) -> list[int]:
 
 
 def _partition_pairs(first: int, second: int, members: list[tuple], num: int, den: int, cross: bool) -> Iterator[tuple[int, int]]:
-    """Pairs within one partition of the inverted lists, each pair only where its first common tokens are the partition's own."""
+    """Pairs within one partition of the inverted lists, each pair only where its first common tokens are the partition's own.
+
+    members come by size. Each probes the lists of the listed ones before it, and is then listed itself if its tokens here are within the shorter prefix
+    that a partner of its size or more must meet.
+    """
     lists: dict[int, list[int]] = {}
     sizes: list[int] = []
-    for i, (n, rep, side, probe, tokens) in enumerate(members):
-        if probe and i:
-            low = bisect_left(sizes, -(-num * n // den))
-            if low < i:
+    listed: list[tuple] = []
+    for member in members:
+        n, rep, side, probe, index, tokens = member
+        least = -(-num * n // den)
+        if probe and listed:
+            low = bisect_left(sizes, least)
+            if low < len(sizes):
                 own = [lists[t] for t in tokens if t in lists]
-                for j in _occurs(own, low, -(-num * n // den)):
-                    m, other, other_side, _, theirs = members[j]
+                for j in _occurs(own, low, least):
+                    m, other, other_side, _, _, theirs = listed[j]
                     if cross and side == other_side:
                         continue
                     has = set(theirs)
                     common = [t for t in tokens if t in has]
                     if den * len(common) >= num * (n + m - len(common)) and common[0] == first and (second < 0 or common[1] == second):
                         yield (rep, other) if rep < other else (other, rep)
-        sizes.append(n)
-        for t in tokens:
-            lists.setdefault(t, []).append(i)
+        if index:
+            for t in tokens:
+                lists.setdefault(t, []).append(len(listed))
+            sizes.append(n)
+            listed.append(member)
 
 
 def _pairs(num: int, den: int, cross: bool):
@@ -104,13 +113,13 @@ def _pairs(num: int, den: int, cross: bool):
 
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            for first, second, part, n, rep, side, probe, tokens in zip(*cols, strict=True):
+            for first, second, part, n, rep, side, probe, index, tokens in zip(*cols, strict=True):
                 if (first, second, part) != now:
                     close()
                     now, members = (first, second, part), []
                     if len(out) > 50_000:
                         yield give()
-                members.append((n, rep, side, probe, tokens))
+                members.append((n, rep, side, probe, index, tokens))
         close()
         yield give()
 
@@ -141,20 +150,21 @@ def similar_pairs(sets: DataFrame, key: str, values: str, at_least: Fraction, si
     reps = settle(items.groupBy("tokens", "side").agg(F.min("item").alias("rep"), F.count(F.lit(1)).alias("copies")))
     r = reps.select("rep", "side", "tokens", F.size("tokens").alias("n")).filter("n > 1")
     need = F.ceil(F.col("n") * num / F.lit(den)).cast("int")
-    placed = r.withColumn("prefix", F.col("n") - need + 1).select("*", F.posexplode(F.slice("tokens", 1, F.col("prefix"))).alias("i", "first"))
-    placed = settle(placed.select("rep", "side", "n", "tokens", "prefix", "i", "first"))
-    n1 = placed.groupBy("first").agg(F.count(F.lit(1)).alias("n1")).filter("n1 > 1")
-    n_placed = placed.count()
-    counted = encode(placed, n1.withColumn("n", F.col("n1")), ["first"], n_placed) if n_placed else placed.withColumn("n1", F.lit(0).cast("long"))
-    cold = counted.filter(F.col("n1") <= HOT).select("rep", "side", "n", "tokens", "first", F.lit(-1).cast("long").alias("second"), F.lit(0).alias("part"), F.lit(True).alias("probe"))
-    hot = counted.filter(F.col("n1") > HOT).select("rep", "side", "n", "tokens", "first", F.explode(F.expr("slice(tokens, i + 2, prefix - i)")).alias("second"))
-    n2 = hot.groupBy("first", "second").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    # a partner of the same size or more must meet a record within the shorter of its two prefixes
+    short = F.col("n") - F.ceil(F.col("n") * (2 * num) / F.lit(num + den)).cast("int") + 1
+    placed = r.withColumns({"prefix": F.col("n") - need + 1, "short": short}).select("*", F.posexplode(F.slice("tokens", 1, F.col("prefix"))).alias("i", "first"))
+    placed = settle(placed.select("rep", "side", "n", "tokens", "prefix", "short", "i", "first"))
+    n1 = placed.groupBy("first").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("i") < F.col("short")).alias("n1")).filter("n > 1 and n1 > 0")
+    counted = encode(placed, n1, ["first"], reps.count())
+    cols = ["rep", "side", "n", "tokens", "first"]
+    cold = counted.filter(F.col("n1") <= HOT).select(*cols, F.lit(-1).cast("long").alias("second"), F.lit(0).alias("part"), F.lit(True).alias("probe"), (F.col("i") < F.col("short")).alias("index"))
+    hot = counted.filter(F.col("n1") > HOT).select(*cols, "short", "i", F.posexplode(F.expr("slice(tokens, i + 2, prefix - i)")).alias("j", "second"))
+    hot = hot.withColumn("index", (F.col("i") < F.col("short")) & (F.col("i") + F.col("j") + 1 <= F.col("short")))
+    n2 = hot.groupBy("first", "second").agg(F.count(F.lit(1)).alias("m"), F.count_if("index").alias("m2")).filter("m > 1 and m2 > 0")
     hot = hot.join(n2, ["first", "second"])
     parts = F.ceil(F.col("m") / F.lit(PROBES)).cast("int")
-    hot = hot.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).select(
-        "rep", "side", "n", "tokens", "first", "second", "part", (F.pmod(F.xxhash64("rep"), parts) == F.col("part")).alias("probe")
-    )
-    lists = cold.unionByName(hot).select("first", "second", "part", "n", "rep", "side", "probe", "tokens")
+    hot = hot.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).withColumn("probe", F.pmod(F.xxhash64("rep"), parts) == F.col("part"))
+    lists = cold.unionByName(hot.filter("probe or index").select(*cold.columns)).select("first", "second", "part", "n", "rep", "side", "probe", "index", "tokens")
     lists = lists.repartition("first", "second", "part").sortWithinPartitions("first", "second", "part", "n", "rep")
     pairs = lists.mapInArrow(_pairs(num, den, side is not None), "a long, b long")
     return _expand(pairs, items, reps, side is not None)
