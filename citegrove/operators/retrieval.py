@@ -9,35 +9,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrove.functions.text import bm25_tokens
+from citegrove.plans.materialize import settle
 
 
 def term_stats(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings: key, term, tf, length), (df: term, df), (size: one row with n and avg).
 
-    Documents without a token count in n with length 0. A null text is an empty one.
+    Documents without a token count in n with length 0. A null text is an empty one. Texts are cut into tokens once: the postings are
+    written, and the other two are read from them and from the number of documents.
     """
     toks = docs.select(key, bm25_tokens(F.col(text)).alias("toks"))
-    postings = toks.select(key, F.size("toks").cast("long").alias("length"), F.explode("toks").alias("term")).groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    postings = settle(toks.select(key, F.size("toks").cast("long").alias("length"), F.explode("toks").alias("term")).groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf")))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    size = toks.groupBy().agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avg"))
+    total = postings.groupBy().agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+    size = docs.groupBy().agg(F.count(F.lit(1)).alias("n")).crossJoin(total).select("n", (F.col("tokens") / F.greatest("n", F.lit(1))).alias("avg"))
     return postings, df, size
 
 
 def bm25(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_key, key, score, rank): the k best documents of each query, ties to the larger key.
 
-    A query's terms count once. Terms that no document holds and documents of score 0 are left out. Only postings of terms of
-    some query are scored: the queries' terms meet the postings before the sums, and the sums are partial.
+    A query's terms count once. Terms that no document holds and documents of score 0 are left out. Queries of equal terms are
+    scored once. A posting meets its term's list of queries, and the sums by query and document are partial: while the lists are
+    small enough to travel to the postings, which lie by document, they are whole before the shuffle.
     """
     postings, df, size = term_stats(docs, key, text)
-    terms = queries.select(F.col(query_key), F.explode(F.array_distinct(bm25_tokens(F.col(query_text)))).alias("term"))
+    bags = queries.select(query_key, F.array_sort(F.array_distinct(bm25_tokens(F.col(query_text)))).alias("bag")).filter(F.size("bag") > 0)
+    same = bags.groupBy("bag").agg(F.min(query_key).alias("lead"))
+    terms = same.select("lead", F.explode("bag").alias("term")).groupBy("term").agg(F.collect_list("lead").alias("leads"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    wanted = df.join(terms.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(size))
-    part = postings.join(wanted, "term")
-    weight = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.greatest("length", F.lit(1)) / F.col("avg")))
-    scored = part.select(key, "term", weight.alias("w")).join(terms, "term").groupBy(query_key, key).agg(F.sum("w").alias("score"))
-    w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), F.desc(key))
-    return scored.filter("score > 0").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    wanted = df.join(terms, "term").crossJoin(F.broadcast(size)).select("term", "leads", idf.alias("idf"), "avg")
+    weight = F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.greatest("length", F.lit(1)) / F.col("avg")))
+    scored = postings.join(wanted, "term").select(key, weight.alias("w"), F.explode("leads").alias("lead")).groupBy("lead", key).agg(F.sum("w").alias("score"))
+    w = Window.partitionBy("lead").orderBy(F.desc(F.round("score", 9)), F.desc(key))
+    best = scored.filter("score > 0").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    who = bags.join(same, "bag").select(query_key, "lead")
+    return best.join(who, "lead").select(query_key, key, "score", "rank")
 
 
 def l2_normalize(v: Column) -> Column:

@@ -71,7 +71,7 @@ def from_serp(results: DataFrame, json: str) -> DataFrame:
     """Search results as JSON texts: authors and year read out of the summary line."""
     r = results.select(F.from_json(json, _SERP).alias("r")).select("r.*").withColumn("s", F.coalesce("publication_info.summary", F.lit("")))
     year = F.get(F.filter(F.split("s", r"[\s,]+"), lambda t: t.rlike(r"^\d{4}$")), F.lit(0))
-    names = F.filter(F.transform(F.split(F.get(F.split("s", " - "), F.lit(0)), ","), F.trim), lambda a: a != "")
+    names = F.filter(F.transform(F.split(F.get(F.split("s", " - "), F.lit(0)), ","), lambda a: F.trim(a)), lambda a: a != "")
     return as_papers(r, title=F.col("title"), abstract=F.col("snippet"), authors=names, year=year.cast("int"), url=F.col("link"), citations=F.col("inline_links.cited_by.total"))
 
 
@@ -107,7 +107,7 @@ def resolve_topics(answer: DataFrame, least: float = 0.6, k: int = 3) -> DataFra
 
 def merge_taxonomy(pages: DataFrame, areas: DataFrame, old: DataFrame) -> DataFrame:
     """Tasks of all pages with their area, and the rows of the old taxonomy that were added by hand."""
-    new = pages.join(areas, "area_id", "left").select("task", F.coalesce("area", F.lit("")).alias("area"), F.transform(F.split("keywords", ","), F.trim).alias("keywords"), F.lit("pwc").alias("source"))
+    new = pages.join(areas, "area_id", "left").select("task", F.coalesce("area", F.lit("")).alias("area"), F.transform(F.split("keywords", ","), lambda k: F.trim(k)).alias("keywords"), F.lit("pwc").alias("source"))
     return new.unionByName(old.filter("source = 'custom'").select("task", "area", "keywords", "source"))
 
 

@@ -66,8 +66,9 @@ def load_arm(proposals: DataFrame, arm: str) -> DataFrame:
     """The rows of one arm; problems without it fail with the list of what they have."""
     rows = explode_arms(proposals)
     have = rows.groupBy("problem_id").agg(F.array_sort(F.collect_set("arm")).alias("have"))
-    missing = F.raise_error(F.concat(F.lit(f"no arm {arm} in "), "problem_id", F.lit("; it has "), F.array_join("have", ", ")))
-    return rows.join(have.withColumn("ok", F.when(F.array_contains("have", arm), True).otherwise(missing.cast("boolean"))), "problem_id").filter("ok").filter(F.col("arm") == arm).drop("have", "ok")
+    j = have.join(rows.filter(F.col("arm") == arm), "problem_id", "left")
+    missing = F.raise_error(F.concat(F.lit(f"no arm {arm} in "), "problem_id", F.lit("; it has "), F.array_join("have", ", "))).cast("string")
+    return j.withColumn("problem_id", F.when(F.col("arm").isNotNull(), F.col("problem_id")).otherwise(missing)).drop("have")
 
 
 def arms_available(proposals: DataFrame) -> DataFrame:
