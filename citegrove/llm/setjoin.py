@@ -181,7 +181,7 @@ def _expand(pairs: DataFrame, items: DataFrame, reps: DataFrame, cross: bool) ->
         .select(member("a", "ia").alias("x"), member("b", "ib").alias("y"))
     )
     if cross:
-        sides = reps.select(F.col("rep"), "tokens", "side")
+        sides = reps.filter(F.size("tokens") == 1).select(F.col("rep"), "tokens", "side")  # longer equal sets are among the pairs
         left, right = (sides.filter(F.col("side") == s).select("tokens", F.col("rep").alias(c)) for s, c in ((False, "a"), (True, "b")))
         same = left.join(right, "tokens").select("a", "b")
         same = (
