@@ -56,3 +56,12 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(path)
     sc._citegrove_shipped = True
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df hashed over as many partitions as the session shuffles into, and two a core at least; not put together again for being small.
+
+    For stages whose work is far larger than their bytes.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *by)
