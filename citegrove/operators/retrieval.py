@@ -145,3 +145,26 @@ def word_by_positions(entries: DataFrame, key: str, word: str, positions: str) -
     """(key, text): an inverted index (word, positions) back to text, words in order of position and then alphabet."""
     at = entries.select(key, F.col(word).alias("w"), F.explode(positions).alias("p"))
     return at.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "w"))), lambda x: x["w"]), " ").alias("text"))
+
+
+def pattern_positions(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """(key, pos): where pattern matches in each text, from 0, by the lengths of the parts between and of the matches before."""
+    cut = docs.filter(F.col(text).isNotNull()).select(key, F.split(text, pattern).alias("parts"), F.regexp_extract_all(F.col(text), F.lit(pattern), 0).alias("hits"))
+    each = cut.filter(F.size("hits") > 0).select(key, F.posexplode(F.arrays_zip("parts", "hits")).alias("i", "x"))
+    before = F.sum(F.length("x.parts") + F.coalesce(F.length("x.hits"), F.lit(0))).over(Window.partitionBy(key).orderBy("i"))
+    return each.withColumn("pos", before - F.coalesce(F.length("x.hits"), F.lit(0))).filter("x.hits is not null").select(key, "pos")
+
+
+def main_body(docs: DataFrame, key: str, text: str, number: str, heading: str, share: float = 0.3, window: int = 3000, least: int = 10, least_alone: int = 22) -> DataFrame:
+    """(key, cut): the length of each text's main body, all of it where no reference list is found.
+
+    The list starts at the first heading behind share of the text that least numbers follow within window characters, else at the first
+    number that least_alone do. The count is a range window over the positions. Null texts are left out.
+    """
+    d = docs.filter(F.col(text).isNotNull()).select(key, F.length(text).alias("size"))
+    marks = pattern_positions(docs, key, text, number).withColumn("is_number", F.lit(1)).unionByName(pattern_positions(docs, key, text, heading).withColumn("is_number", F.lit(0)))
+    near = F.sum("is_number").over(Window.partitionBy(key).orderBy("pos").rangeBetween(0, window - 1))
+    m = marks.withColumn("n", near).join(d, key).filter(F.col("pos") >= F.floor(F.col("size") * share))
+    first = lambda kind, n: F.min(F.when((F.col("is_number") == kind) & (F.col("n") >= n), F.col("pos")))
+    at = m.groupBy(key).agg(F.coalesce(first(0, least), first(1, least_alone)).alias("at"))
+    return d.join(at, key, "left").select(key, F.coalesce("at", "size").cast("long").alias("cut"))

@@ -134,19 +134,18 @@ def html_text_exact(spark, d):
     return p.select("doc_id", html.html_text_exact(F.col("page")).alias("body"))
 
 
-@q("main_body", r"""with y as (select doc_id, length(list_aggregate(list_slice(parts, 1, i), 'string_agg', '')) as pos, 1 as hit from (
-    select doc_id, regexp_split_to_array(text, '\bTable\b|\bFig\b') as parts, unnest(range(1, len(parts))) as i from documents where text is not null)),
- n as (select doc_id, floor(length(text) * 0.3) as low from documents where text is not null)
-select doc_id, cast(count(*) as bigint) as marks from y join n using (doc_id) where pos >= low group by doc_id""")
-def main_body_marks(spark, d):
-    """Marks behind the first 30 % of each text, by positions in the text without the marks."""
-    docs = table(spark, d, "documents").filter("text is not null")
-    parts = docs.select("doc_id", "text", F.split("text", r"\bTable\b|\bFig\b").alias("parts"))
-    at = parts.select("doc_id", F.floor(F.length("text") * 0.3).alias("low"), F.posexplode("parts").alias("i", "part"), F.size("parts").alias("n"))
-    from pyspark.sql import Window
-
-    pos = F.sum(F.length("part")).over(Window.partitionBy("doc_id").orderBy("i"))
-    return at.withColumn("pos", pos).filter("i < n - 1 and pos >= low").groupBy("doc_id").agg(F.count(F.lit(1)).alias("marks"))
+def _positions(pattern: str, name: str) -> str:
+    return rf"""{name}p as (select doc_id, unnest(regexp_split_to_array(text, '{pattern}')) as part, generate_subscripts(regexp_split_to_array(text, '{pattern}'), 1) as i, regexp_extract_all(text, '{pattern}') as hits from documents where text is not null),
+ {name} as (select doc_id, pos from (select doc_id, i <= len(hits) as hit, sum(length(part) + coalesce(length(hits[i]), 0)) over (partition by doc_id order by i) - coalesce(length(hits[i]), 0) as pos from {name}p) where hit)"""
+
+
+@q("main_body", rf"""with {_positions('[0-9]+', 'nu')}, {_positions('Table|Fig', 'he')}, mk as (select doc_id, pos, 1 as num from nu union all select doc_id, pos, 0 from he),
+ ct as (select *, sum(num) over (partition by doc_id order by pos range between current row and 2999 following) as n from mk), dl as (select doc_id, length(text) as size from documents where text is not null),
+ cu as (select doc_id, coalesce(min(pos) filter (where num = 0 and n >= 3), min(pos) filter (where num = 1 and n >= 8)) as cut from ct join dl using (doc_id) where pos >= floor(size * 0.3::double) group by doc_id)
+select doc_id, cast(coalesce(cut, size) as bigint) as cut from dl left join cu using (doc_id)""")
+def main_body(spark, d):
+    """Where each text's main body ends; with marks and numbers that these texts have, since they have no reference lists."""
+    return retrieval.main_body(table(spark, d, "documents"), "doc_id", "text", "[0-9]+", "Table|Fig", least=3, least_alone=8)
 
 
 @q("chunk_window", """select doc_id, i as pos, md5(substr(text, i * 950 + 1, 1100)) as piece from (

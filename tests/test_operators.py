@@ -195,3 +195,12 @@ def test_models(spark):
     assert {r["k"]: r["answer"] for r in models.cached(df, cache, "k", "p", Flaky).collect()}[1] == "cached"
     answers = iter(["a", "b"])
     assert models.validated(lambda _: next(answers), lambda x: None if x == "b" else "not b", "p") == ("b", None)
+
+
+def test_main_body(spark):
+    from citegrove.functions.text import REFERENCES, YEAR
+
+    body, years = "x" * 500, " (1999)" * 12
+    rows = [(1, body + " References" + years + " Appendix"), (2, body + " (2001)" * 25), (3, body + " References 2001"), (4, "References" + years + body), (5, ""), (6, None)]
+    got = {r["k"]: r["cut"] for r in retrieval.main_body(spark.createDataFrame(rows, "k long, t string"), "k", "t", YEAR, REFERENCES).collect()}
+    assert got == {1: 501, 2: 502, 3: len(rows[2][1]), 4: len(rows[3][1]), 5: 0}

@@ -38,6 +38,7 @@ def norm(v):
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, name):
     df = REGISTRY.queries()[name](spark, SF)
+    assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
     rows = [tuple(norm(r[c]) for c in sorted(df.columns)) for r in df.collect()]
     sql = REGISTRY.oracle_sql().get(name)
     if sql is None:
@@ -61,3 +62,12 @@ def test_no_import_of_llm():
         for f in files:
             if f.endswith(".py") and os.sep + "llm" not in at:
                 assert not re.search(r"citegrove\.llm", open(os.path.join(at, f)).read()), f
+
+
+def test_plans(spark):
+    """Filters and column choices reach the scan, and a small dimension is broadcast."""
+    plan = lambda n: REGISTRY.queries()[n](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    p = plan("cutoff_filter")
+    assert "PushedFilters: [IsNotNull(fetched_at)" in p and "struct<seq:bigint,year:int,fetched_at" in p
+    assert "ReadSchema: struct<source:string,n_chars:bigint>" in plan("percentile_index")
+    assert "BroadcastNestedLoopJoin" in plan("taxonomy_match") and "ArrowEvalPython" not in plan("html_text")
