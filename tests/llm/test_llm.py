@@ -45,7 +45,7 @@ def test_consensus_beats_majority(spark):
 
 def test_consensus_edges(spark):
     rows = [(1, "x", "a"), (1, "y", "a"), (1, None, "b"), (2, "x", "odd"), (3, "x", None), (4, "z", "b")]
-    df = spark.createDataFrame(rows, VOTES).withColumn("votes", F.lit("clash"))
+    df = spark.createDataFrame(rows, VOTES).withColumns({c: F.lit("clash") for c in ("votes", "annotator", "a", "v")})
     got = {r["i"]: r for r in consensus.consensus(df, ["i"], "who", "label", list("abc")).items.collect()}
     assert set(got) == {1, 4} and got[1]["label"] == "a" and got[1]["agreement"] == 1.0 and got[4]["agreement"] is None
     none = consensus.consensus(df.filter("false"), ["i"], "who", "label", list("abc"))
@@ -200,7 +200,7 @@ TYPED = [
 def test_map_values(spark, monkeypatch, limit):
     monkeypatch.setattr(canonmap, "BROADCAST_ENTRIES", limit)
     entries = spark.createDataFrame(ENTRIES, "entry_id long, kind string, name string, short_form string")
-    typed = spark.createDataFrame([(i, k, v) for i, (k, v, _) in enumerate(TYPED)], "i long, kind string, value string").withColumn("n", F.lit("clash"))
+    typed = spark.createDataFrame([(i, k, v) for i, (k, v, _) in enumerate(TYPED)], "i long, kind string, value string").withColumns({"n": F.lit("clash"), "entry_id": F.lit("clash")})
     got = {r["i"]: r["entry_id"] for r in canonmap.map_values(typed, entries).collect()}
     want = {i: e for i, (_, _, e) in enumerate(TYPED)}
     if limit == 1:  # the list is read in parts there: what a version or split is comes from the entries met
@@ -330,11 +330,17 @@ def test_query(spark, name):
         assert sorted(names) == sorted(df.columns) and sorted(map(repr, rows)) == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("name", list(queries.REGISTRY.queries()))
-def test_empty(spark, tmp_path, name):
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
     import os
 
+    folder = str(tmp_path_factory.mktemp("empty"))
     for f in os.listdir(SF):
         t = spark.read.parquet(f"{SF}/{f}")
-        (t if f.startswith(("graded", "context", "canon")) else t.limit(0)).coalesce(1).write.parquet(f"{tmp_path}/{f}")
-    assert queries.REGISTRY.queries()[name](spark, str(tmp_path)).count() == 0
+        (t if f.startswith(("graded", "context", "canon")) else t.limit(0)).coalesce(1).write.parquet(f"{folder}/{f}")
+    return folder
+
+
+@pytest.mark.parametrize("name", list(queries.REGISTRY.queries()))
+def test_empty(spark, empty, name):
+    assert queries.REGISTRY.queries()[name](spark, empty).count() == 0
