@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrove.llm.dictionary import encode
-from citegrove.plans.materialize import settle, ship
+from citegrove.plans.materialize import settle, ship, spread
 
 #: An inverted-list partition of one token with more records than this is parted by a second token.
 HOT = 512
@@ -165,7 +165,7 @@ def similar_pairs(sets: DataFrame, key: str, values: str, at_least: Fraction, si
     parts = F.ceil(F.col("m") / F.lit(PROBES)).cast("int")
     hot = hot.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).withColumn("probe", F.pmod(F.xxhash64("rep"), parts) == F.col("part"))
     lists = cold.unionByName(hot.filter("probe or index").select(*cold.columns)).select("first", "second", "part", "n", "rep", "side", "probe", "index", "tokens")
-    lists = lists.repartition("first", "second", "part").sortWithinPartitions("first", "second", "part", "n", "rep")
+    lists = spread(lists, "first", "second", "part").sortWithinPartitions("first", "second", "part", "n", "rep")
     pairs = lists.mapInArrow(_pairs(num, den, side is not None), "a long, b long")
     return _expand(pairs, items, reps, side is not None)
 
