@@ -16,6 +16,8 @@ ARM = ["problem_id", "model", "condition"]
 #: Arms of the report, in order.
 ARMS = ["nocard", "rag", "card"]
 CONTESTED = "CONTESTED"
+#: So many unnamed numbers in a row end an arm's experiments.
+GAP = 3
 
 
 def value_of(status: Column, other: Column | None = None) -> Column:
@@ -104,22 +106,35 @@ def matching(edges: list[list[int]], k: int) -> int:
     return sum(place(i, set()) for i in range(len(edges)))
 
 
-def matched(items: DataFrame, by: list[str], k: int | None, proposed: int) -> DataFrame:
+def n_proposed(passes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n_proposed): one more than the largest experiment that a pass of the arm names, 0 if none is named.
+
+    Numbers below 0, and those that follow GAP or more numbers that no pass names, are out of range. Experiments after the last one
+    named leave no trace in the judgments and can't be counted.
+    """
+    named = F.array_sort(F.array_distinct(F.flatten(F.collect_list("covered_by"))))
+    last = F.aggregate(F.filter(named, lambda j: j >= 0), F.lit(0), lambda n, j: F.when(j - n < GAP, j + 1).otherwise(n))
+    return passes.groupBy(*by).agg(last.cast("long").alias("n_proposed"))
+
+
+def matched(items: DataFrame, by: list[str], k: int | None, proposed: int | str) -> DataFrame:
     """(by, n_items, k, matched, precision, f1): strict matching among the first k experiments, of as many as items where k is None.
 
-    An arm's items are its reference experiments, a handful, so each group is small.
+    proposed: the number of experiments proposed, or the column of items that has it for the arm. An arm's items are its reference
+    experiments, a handful, so each group is small.
     """
+    own_number = isinstance(proposed, str)
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
         own = [[int(e) for e in x] for x, s in zip(f["covered_by"], f["status"], strict=True) if s == "covered"]
         n = len(f)
-        at = min(n, proposed) if k is None else k
+        at = min(n, int(f[proposed].iloc[0]) if own_number else proposed) if k is None else k
         m = matching(own, at)
         row = {c: f[c].iloc[0] for c in by} | {"n_items": n, "k": at, "matched": m, "precision": m / at if at else 0.0, "f1": 2 * m / (at + n) if at + n else 0.0}
         return pd.DataFrame([row])
 
     kinds = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in by)
-    return items.select(*by, "status", "covered_by").groupBy(*by).applyInPandas(solve, f"{kinds}, n_items long, k long, matched long, precision double, f1 double")
+    return items.select(*by, "status", "covered_by", *([proposed] if own_number else [])).groupBy(*by).applyInPandas(solve, f"{kinds}, n_items long, k long, matched long, precision double, f1 double")
 
 
 def paired(scores: DataFrame, unit: list[str], arm: str, value: str, a: str, b: str) -> DataFrame:

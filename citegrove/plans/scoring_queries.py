@@ -132,8 +132,9 @@ def matched_at_k(spark, d):
 
 @q("r_precision")
 def r_precision(spark, d):
-    """Precision among as many experiments as the arm has reference items."""
-    return s.matched(_items(spark, d), s.ARM, None, 5)
+    """Precision among as many experiments as the arm has reference items, or as it proposed if fewer."""
+    passes = _passes(spark, d)
+    return s.matched(s.aggregate_runs(passes).join(s.n_proposed(passes, s.ARM), s.ARM), s.ARM, None, "n_proposed")
 
 
 @q("audit_rates", rf"""with a as (select model, condition, case {_USABLE} when 'covered' then 'decides' when 'partial' then 'supports' when 'missing' then 'irrelevant' else 'tangential' end as bears,

@@ -128,6 +128,33 @@ def test_self_recall_and_order(spark):
     assert (m["matched"], m["precision"], m["f1"]) == (4, 1.0, 1.0)
 
 
+def test_n_proposed(spark):
+    """k follows the experiments of the arm: seven of seven items count, and three of five where no more were proposed."""
+    rows = [("card", i, 0, "covered", [i], 1) for i in range(7)] + [("card", 0, 1, "covered", [0, 10], 1), ("card", 1, 1, "covered", [-1, 1], 1)]
+    rows += [("rag", i, 0, "covered", [i % 3], 1) for i in range(5)] + [("rag", 0, 1, "covered", [6], 1), ("nocard", 0, 0, "missing", None, 1)]
+    p = passes(spark, rows).withColumn("covered_by", F.coalesce("covered_by", F.array().cast("array<int>")))
+    n = scoring.n_proposed(p, scoring.ARM)
+    assert {r["condition"]: r["n_proposed"] for r in n.collect()} == {"card": 7, "rag": 3, "nocard": 0}
+    m = scoring.matched(scoring.aggregate_runs(p).join(n, scoring.ARM), scoring.ARM, None, "n_proposed")
+    assert {r["condition"]: (r["n_items"], r["k"], r["matched"], r["precision"]) for r in m.collect()} == {"card": (7, 7, 7, 1.0), "rag": (5, 3, 3, 1.0), "nocard": (1, 0, 0, 0.0)}
+
+
+def test_r_precision_takes_each_arms_number(spark):
+    from citegrove.plans.catalog import REGISTRY
+
+    sf = "/root/testdata/sf0.01"
+    rows = REGISTRY.queries()["r_precision"](spark, sf).collect()
+    named = {}
+    for r in spark.read.parquet(f"{sf}/evaluation.parquet").filter("ref_index is not null").collect():
+        named.setdefault(tuple(r[c] for c in scoring.ARM), set()).update(r["covered_by"] or [])
+    n = dict.fromkeys(named, 0)
+    for arm, js in named.items():
+        for j in sorted(j for j in js if j >= 0):
+            n[arm] = j + 1 if j < n[arm] + 3 else n[arm]
+    assert {tuple(r[c] for c in scoring.ARM): r["k"] for r in rows} == {tuple(r[c] for c in scoring.ARM): min(r["n_items"], n[tuple(r[c] for c in scoring.ARM)]) for r in rows}
+    assert any(r["k"] != min(r["n_items"], 5) for r in rows)
+
+
 def test_matching():
     assert scoring.matching([[0], [0, 1], [1]], 2) == 2
     assert scoring.matching([[0, 1], [0]], 9) == 2 and scoring.matching([[5]], 3) == 0 and scoring.matching([], 3) == 0
