@@ -17,6 +17,8 @@ from citegrove.plans.materialize import settle, ship, spread
 
 #: Entries up to which the delete dictionary is broadcast; a longer list is joined by its deletes.
 BROADCAST_ENTRIES = 20_000
+#: Most splits of a list too long to broadcast.
+MOST_SPLITS = 20_000
 #: Edits between a typed stem and the stem meant; fewer for short stems.
 EDITS = 2
 SHORT = 5
@@ -85,10 +87,11 @@ class Book:
     """The reference list, by kind: exact names, short forms, and the deletes of stems.
 
     A name is read as stem, version (a number at the end) and split (a part after the last hyphen that several entries share or
-    that an entry also has without). Versions and splits must agree exactly; only the stem may be typed wrongly.
+    that an entry also has without). Versions and splits must agree exactly; only the stem may be typed wrongly. A book of a part
+    of the list is given the splits of the whole.
     """
 
-    def __init__(self, entries: list[tuple[int, str, str, str | None]], frequency: dict[int, int] | None = None) -> None:
+    def __init__(self, entries: list[tuple[int, str, str, str | None]], frequency: dict[int, int] | None = None, splits: dict[str, set[str]] | None = None) -> None:
         self.frequency = frequency or {}
         self.splits: dict[str, set[str]] = defaultdict(set)
         self.short: dict[tuple[str, str], list[int]] = defaultdict(list)
@@ -104,6 +107,8 @@ class Book:
                 if dash and re.fullmatch("[a-z]{1,8}", end):
                     ends[end].add(base)
             self.splits[kind] = {e for e, bases in ends.items() if len(bases) > 1 or bases & all_names}
+        if splits is not None:
+            self.splits = splits
         for entry, kind, name, short in sorted(entries):
             for key in self.read(kind, plain(name), own=True)[:1]:
                 self.exact[(kind, *key)].append(entry)
@@ -191,7 +196,8 @@ def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     to the entry more often typed exactly, then to the smaller id. An empty list of entries maps all to 0.
 
     An entry_id that values already has is replaced. Each distinct value is looked up once: broadcast to every task is the delete dictionary of the list, after a check of the
-    list's length (BROADCAST_ENTRIES); of a longer list each task gets the entries that its own values' deletes meet.
+    list's length (BROADCAST_ENTRIES); of a longer list each task gets the entries that its own values' deletes meet, with equal results.
+    Such a list may have MOST_SPLITS splits, else an error is raised.
     """
     spark, values = values.sparkSession, values.drop("entry_id")
     ship(spark)
@@ -228,22 +234,61 @@ def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     return known.unionByName(unknown)
 
 
+def _splits(listed: DataFrame) -> dict[str, set[str]]:
+    """The splits of the whole list, by kind, as Book has them."""
+    names = settle(listed.select("kind", F.udf(plain, "string", useArrow=True)("name").alias("name")).distinct())
+    part = lambda i: F.regexp_extract("name", "(?s)^(.*)-([a-z]{1,8})$", i)
+    ends = names.select("kind", part(1).alias("base"), part(2).alias("end")).filter("end <> ''")
+    shared = ends.groupBy("kind", "end").agg(F.countDistinct("base").alias("n")).filter("n > 1").select("kind", "end")
+    also_without = ends.join(names.select("kind", F.col("name").alias("base")), ["kind", "base"], "left_semi").select("kind", "end")
+    rows = shared.union(also_without).distinct().limit(MOST_SPLITS + 1).collect()
+    if len(rows) > MOST_SPLITS:
+        raise ValueError(f"more than {MOST_SPLITS} splits in the list of entries")
+    splits = defaultdict(set)
+    for kind, end in rows:
+        splits[kind].add(end)
+    return dict(splits)
+
+
 def _map_by_join(counted: DataFrame, listed: DataFrame) -> DataFrame:
-    """Look-up against a list too long to broadcast: values meet the entries that share a delete of a word, task by task."""
+    """Look-up against a list too long to broadcast: each value meets the entries that Book would find for one of its readings, task by task."""
+    splits = counted.sparkSession.sparkContext.broadcast(_splits(listed))
+    sep = "\x1f"  # in no key, since squashed texts, versions and splits have none
 
     @F.udf("array<string>", useArrow=True)
-    def keys(text: str) -> list[str]:
-        parts = {squash(x) for x in re.split(r"[()\[\]{}:@]", plain(text))} | {squash(re.sub(r"[\s-]*v?\d.*$|[\s-][^\s-]*$", "", x)) for x in re.split(r"[()\[\]{}:@]", plain(text))}
-        return sorted({d for q in parts if q for d in deletes(q)})
+    def own_keys(kind: str, name: str, short: str | None) -> list[str]:
+        keys = set()
+        for stem, version, split in Book([], splits=splits.value).read(kind, plain(name), own=True)[:1]:
+            keys |= {sep.join((d, version, split)) for d in deletes(stem)}
+        return sorted(keys | ({squash(plain(short))} if short and short.strip() else set()))
 
-    names = listed.withColumn("d", F.explode(F.array_union(keys("name"), keys(F.coalesce("short_form", "name")))))
-    typed = counted.select("kind", "value", F.explode(keys("value")).alias("d"))
-    met = typed.join(names, ["kind", "d"]).select("kind", "value", "entry_id", "name", "short_form").distinct()
-    groups = met.groupBy("kind", "value").agg(F.collect_list(F.struct("entry_id", "kind", "name", "short_form")).alias("near"))
+    @F.udf("array<string>", useArrow=True)
+    def typed_keys(kind: str, text: str) -> list[str]:
+        keys, book = set(), Book([], splits=splits.value)
+        for segment in re.split(r"[()\[\]{}:@]", plain(text)):
+            for stem, version, split in book.read(kind, segment):
+                keys |= {sep.join((d, version, split)) for d in deletes(stem, edits_allowed(stem))} | {stem + version + split}
+        return sorted(keys)
+
+    @F.udf("string", useArrow=True)
+    def exact_key(kind: str, text: str) -> str | None:
+        return next((sep.join(key) for key in Book([], splits=splits.value).read(kind, plain(text), own=True)[:1]), None)
+
+    short_key = F.udf(lambda text: squash(plain(text)), "string", useArrow=True)
+    own_short = F.udf(lambda short: squash(plain(short)) if short and short.strip() else None, "string", useArrow=True)
+    by_name = listed.select("kind", exact_key("kind", "name").alias("k"), "entry_id").groupBy("kind", "k").agg(F.min("entry_id").alias("by_name"))
+    by_short = listed.select("kind", own_short("short_form").alias("s"), "entry_id").groupBy("kind", "s").agg(F.min("entry_id").alias("by_short"))
+    seen = counted.select("kind", "n", exact_key("kind", "value").alias("k"), short_key("value").alias("s")).join(by_name, ["kind", "k"], "left").join(by_short, ["kind", "s"], "left")
+    frequency = seen.groupBy(F.coalesce("by_name", "by_short").alias("entry_id")).agg(F.sum("n").alias("n")).filter("entry_id is not null")
+
+    names = listed.join(frequency, "entry_id", "left").select("entry_id", "kind", "name", "short_form", F.coalesce("n", F.lit(0)).alias("n"), F.explode(own_keys("kind", "name", "short_form")).alias("d"))
+    typed = counted.select("kind", "value", F.explode(typed_keys("kind", "value")).alias("d"))
+    met = typed.join(names, ["kind", "d"]).select("kind", "value", "entry_id", "name", "short_form", "n").distinct()
+    groups = met.groupBy("kind", "value").agg(F.collect_list(F.struct("entry_id", "kind", "name", "short_form", "n")).alias("near"))
 
     @F.udf("long", useArrow=True)
     def choose(kind: str, value: str, near: list) -> int:
-        return Book([tuple(r) for r in near]).resolve(kind, value)
+        return Book([tuple(r)[:4] for r in near], {r[0]: r[4] for r in near}, splits.value).resolve(kind, value)
 
     return groups.select("kind", "value", choose("kind", "value", "near").alias("entry_id"))
 

@@ -211,6 +211,25 @@ def test_map_values(spark, monkeypatch, limit):
     assert canonmap.map_values(typed.filter("false"), entries).count() == 0
 
 
+def test_map_values_by_join_equals_broadcast(spark, monkeypatch):
+    """Carried words, sizes, versions, splits known from the whole list only, short forms, and ties by frequency."""
+    more = [(11, "dataset", "Vexilorum", "VX"), (12, "dataset", "Vexilorun", "VX"), (13, "dataset", "Tramoline-Prime", None), (14, "dataset", "Orbisect-Prime", None), (15, "metric", "Weighted Overlap", "wo"), (16, "metric", "Worst Overlap", "WO"), (17, "dataset", "  ", " ")]
+    more_typed = ["our Quastazar-QA corpus (held out)", "an quastazarQA benchmark dataset", "the plondax data", "tramoline prime", "Tramolin-Prmie", "Orbisect", "Vexilorum", "vexilorun", "VEXILORUN", "Vexi-lorun", "Vexiloruk", "VX", "the VX data", "Plondx xl", "qa", "()", "Quastazarqa-xl: remark"]
+    typed = [(k, v) for k, v, _ in TYPED] + [("dataset", v) for v in more_typed] + [("metric", v) for v in ("wo", "Worst overlap", "worst-overlap", "Worst Overlap", "our wieghted overlap metric", "the WO")]
+    typed += [("model", v) for v in ("the Brewlyph-2 70b checkpoint", "our brewlyph 2.5 chat", "Brewlyhp v2", "brewlyph 8x7b")]
+    entries = spark.createDataFrame(ENTRIES + more, "entry_id long, kind string, name string, short_form string")
+    values = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(typed)], "i long, kind string, value string")
+    got = []
+    for limit in (20_000, 1):
+        monkeypatch.setattr(canonmap, "BROADCAST_ENTRIES", limit)
+        got.append({typed[r["i"]]: r["entry_id"] for r in canonmap.map_values(values, entries).collect()})
+    assert got[0] == got[1]
+    assert got[1][("dataset", "the Quastazar QA (subset)")] == 1 and got[1][("dataset", "Vexiloruk")] == 12 and got[1][("metric", "the WO")] == 16
+    monkeypatch.setattr(canonmap, "MOST_SPLITS", 1)
+    with pytest.raises(ValueError, match="splits"):
+        canonmap.map_values(values, entries)
+
+
 def test_distance_and_deletes():
     assert canonmap.distance("abc", "abc", 2) == 0 and canonmap.distance("abc", "acb", 2) == canonmap.SWAP
     assert canonmap.distance("abc", "abbc", 2) == canonmap.DOUBLE and canonmap.distance("abc", "xbc", 2) == canonmap.OTHER + canonmap.FIRST
