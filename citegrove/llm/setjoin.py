@@ -19,6 +19,8 @@ from citegrove.plans.materialize import settle, ship, spread
 HOT = 512
 #: Probes of one partition that a task takes; partitions with more are given to several tasks.
 PROBES = 4096
+#: In place of a second token: the pairs of a hot partition that share its token only.
+ALONE = -2
 #: Weight of a heap step against a binary search when the longest lists are chosen.
 MU = 0.02
 
@@ -89,7 +91,7 @@ def _partition_pairs(first: int, second: int, members: list[tuple], num: int, de
                         continue
                     has = set(theirs)
                     common = [t for t in tokens if t in has]
-                    if den * len(common) >= num * (n + m - len(common)) and common[0] == first and (second < 0 or common[1] == second):
+                    if den * len(common) >= num * (n + m - len(common)) and common[0] == first and (second == -1 or (len(common) == 1 if second == ALONE else common[1] == second)):
                         yield (rep, other) if rep < other else (other, rep)
         if index:
             for t in tokens:
@@ -135,8 +137,12 @@ def similar_pairs(sets: DataFrame, key: str, values: str, at_least: Fraction, si
 
     Rows of equal sets are joined once, as one representative, and expanded at the end. Tokens get integers in order of their
     frequency. The inverted lists are partitioned by the tokens of a record's prefix, hot partitions by the second token too,
-    and within one a record probes the lists of its tokens for records that occur in as many as the overlap needs.
+    and within one a record probes the lists of its tokens for records that occur in as many as the overlap needs. Only at
+    thresholds of 1/2 or less can unequal sets be a pair with one common token: there records of one value take part, and hot
+    partitions have one more part for such pairs. A threshold of 0 or less is an error.
     """
+    if at_least <= 0:
+        raise ValueError("at_least must be above 0")
     ship(sets.sparkSession)
     num, den = at_least.numerator, at_least.denominator
     clean = F.array_distinct(F.filter(F.col(values), lambda v: v.isNotNull() & (v != "")))
@@ -148,7 +154,8 @@ def similar_pairs(sets: DataFrame, key: str, values: str, at_least: Fraction, si
     tokens = F.transform(F.array_sort(F.collect_list(F.struct("df", "tid"))), lambda x: x["tid"])
     items = settle(coded.groupBy("item", "side").agg(tokens.alias("tokens")))
     reps = settle(items.groupBy("tokens", "side").agg(F.min("item").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    r = reps.select("rep", "side", "tokens", F.size("tokens").alias("n")).filter("n > 1")
+    single = 2 * num <= den
+    r = reps.select("rep", "side", "tokens", F.size("tokens").alias("n")).filter(F.lit(True) if single else F.col("n") > 1)
     need = F.ceil(F.col("n") * num / F.lit(den)).cast("int")
     # a partner of the same size or more must meet a record within the shorter of its two prefixes
     short = F.col("n") - F.ceil(F.col("n") * (2 * num) / F.lit(num + den)).cast("int") + 1
@@ -158,8 +165,11 @@ def similar_pairs(sets: DataFrame, key: str, values: str, at_least: Fraction, si
     counted = encode(placed, n1, ["first"], reps.count())
     cols = ["rep", "side", "n", "tokens", "first"]
     cold = counted.filter(F.col("n1") <= HOT).select(*cols, F.lit(-1).cast("long").alias("second"), F.lit(0).alias("part"), F.lit(True).alias("probe"), (F.col("i") < F.col("short")).alias("index"))
-    hot = counted.filter(F.col("n1") > HOT).select(*cols, "short", "i", F.posexplode(F.expr("slice(tokens, i + 2, prefix - i)")).alias("j", "second"))
-    hot = hot.withColumn("index", (F.col("i") < F.col("short")) & (F.col("i") + F.col("j") + 1 <= F.col("short")))
+    crowded = counted.filter(F.col("n1") > HOT)
+    hot = crowded.select(*cols, "short", "i", F.posexplode(F.expr("slice(tokens, i + 2, prefix - i)")).alias("j", "second"))
+    hot = hot.withColumn("index", (F.col("i") < F.col("short")) & (F.col("i") + F.col("j") + 1 <= F.col("short"))).select(*cols, "second", "index")
+    if single:
+        hot = hot.unionByName(crowded.filter(F.col("n") * num <= den).select(*cols, F.lit(ALONE).cast("long").alias("second"), (F.col("i") < F.col("short")).alias("index")))
     n2 = hot.groupBy("first", "second").agg(F.count(F.lit(1)).alias("m"), F.count_if("index").alias("m2")).filter("m > 1 and m2 > 0")
     hot = hot.join(n2, ["first", "second"])
     parts = F.ceil(F.col("m") / F.lit(PROBES)).cast("int")
@@ -167,11 +177,11 @@ def similar_pairs(sets: DataFrame, key: str, values: str, at_least: Fraction, si
     lists = cold.unionByName(hot.filter("probe or index").select(*cold.columns)).select("first", "second", "part", "n", "rep", "side", "probe", "index", "tokens")
     lists = spread(lists, "first", "second", "part").sortWithinPartitions("first", "second", "part", "n", "rep")
     pairs = lists.mapInArrow(_pairs(num, den, side is not None), "a long, b long")
-    return _expand(pairs, items, reps, side is not None)
+    return _expand(pairs, items, reps, side is not None, single)
 
 
-def _expand(pairs: DataFrame, items: DataFrame, reps: DataFrame, cross: bool) -> DataFrame:
-    """Pairs of representatives and of copies to pairs of items."""
+def _expand(pairs: DataFrame, items: DataFrame, reps: DataFrame, cross: bool, single: bool) -> DataFrame:
+    """Pairs of representatives and of copies to pairs of items; single tells that equal sets of one value are among the pairs."""
     multiple = reps.filter("copies > 1").select("rep", "tokens", "side")
     copies = settle(items.join(multiple, ["tokens", "side"]).select("rep", "item"))
     member = lambda c, to: F.coalesce(F.col(to), F.col(c))
@@ -180,6 +190,8 @@ def _expand(pairs: DataFrame, items: DataFrame, reps: DataFrame, cross: bool) ->
         .join(copies.select(F.col("rep").alias("b"), F.col("item").alias("ib")), "b", "left")
         .select(member("a", "ia").alias("x"), member("b", "ib").alias("y"))
     )
+    if cross and single:
+        return across.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"))
     if cross:
         sides = reps.filter(F.size("tokens") == 1).select(F.col("rep"), "tokens", "side")  # longer equal sets are among the pairs
         left, right = (sides.filter(F.col("side") == s).select("tokens", F.col("rep").alias(c)) for s, c in ((False, "a"), (True, "b")))

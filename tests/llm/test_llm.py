@@ -154,6 +154,22 @@ def test_similar_pairs(spark, monkeypatch, seed, t, hot):
     assert setjoin.similar_pairs(df.filter("false"), "id", "v", t).count() == 0
 
 
+@pytest.mark.parametrize(("t", "hot"), [(Fraction(1, 2), 512), (Fraction(1, 2), 3), (Fraction(1, 3), 3), (Fraction(1, 5), 3)])
+def test_similar_pairs_at_low_thresholds(spark, monkeypatch, t, hot):
+    """Records of one value, and single common tokens in hot partitions."""
+    monkeypatch.setattr(setjoin, "HOT", hot)
+    monkeypatch.setattr(setjoin, "PROBES", 7 if hot == 3 else 4096)
+    rng = random.Random(5)
+    rows = [(i, rng.sample("abcdefghij", rng.choice((1, 1, 2, 2, 3, 4, 6))), rng.random() < 0.5) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, v array<string>, side boolean")
+    for side in (None, "side"):
+        got = [(r["item_a"], r["item_b"]) for r in setjoin.similar_pairs(df, "id", "v", t, side).collect()]
+        want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if Fraction(len({*a[1]} & {*b[1]}), len({*a[1]} | {*b[1]})) >= t and (side is None or a[2] != b[2])}
+        assert len(got) == len(set(got)) and set(got) == want
+    with pytest.raises(ValueError, match="at_least"):
+        setjoin.similar_pairs(df, "id", "v", Fraction(0))
+
+
 def test_merging():
     rng = random.Random(4)
     for _ in range(300):
