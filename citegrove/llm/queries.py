@@ -88,7 +88,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which document or piece lies in which container of each context budget."""
     sizes = settle(bpe.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text"))
     budgets = table(spark, sf_dir, "context_budget").select("budget_id", F.col("capacity_tokens").cast("long").alias("capacity"))
-    pieces = packing.cut_pieces(sizes.crossJoin(F.broadcast(budgets.limit(100))), "doc_id", "n_tokens", F.col("capacity"))
+    pieces = packing.cut_pieces(sizes.crossJoin(F.broadcast(budgets)), "doc_id", "n_tokens", F.col("capacity"))
     packed = packing.pack(pieces.select("budget_id", "doc_id", "piece", "size", "capacity"), "budget_id", "doc_id")
     return packed.select("budget_id", "doc_id", "piece", F.col("size").alias("n_tokens"), "container")
 

@@ -312,6 +312,15 @@ def test_packing(spark):
     assert packing.pack(empty, "kind", "doc_id").count() == 0
 
 
+def test_containers_of_every_budget(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/documents.parquet").limit(5).write.parquet(f"{tmp_path}/documents.parquet")
+    budgets = spark.range(1, 151).select(F.col("id").cast("int").alias("budget_id"), F.lit("b").alias("budget_name"), (F.col("id") + 500).cast("int").alias("capacity_tokens"))
+    budgets.write.parquet(f"{tmp_path}/context_budget.parquet")
+    got = queries.REGISTRY.queries()["p8_containers"](spark, str(tmp_path))
+    assert got.select("budget_id").distinct().count() == 150
+
+
 # ---- p9 ------------------------------------------------------------------
 
 
