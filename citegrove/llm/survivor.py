@@ -16,8 +16,8 @@ PREPRINT, VOLUME = "10.48550/", r"/vol\."
 NOTICE_SHARE = 0.02
 #: Words that an abstract has at least.
 LEAST_WORDS = 8
-#: First characters by which a cut abstract and the full one are told to be the same.
-FAMILY = 60
+#: First characters that a cut abstract and the full one share at least: so long are LEAST_WORDS words with blanks between.
+SHARED = 2 * LEAST_WORDS - 1
 #: Rounds of expectation and maximisation; counts that a source starts with as (right, wrong) for true and for false values.
 ROUNDS = 6
 TRUE_PRIOR, FALSE_PRIOR = (3.0, 1.0), (1.0, 6.0)
@@ -132,6 +132,20 @@ def _real_abstracts(texts: DataFrame) -> DataFrame:
     return t.withColumn("h", F.xxhash64("text")).join(share.filter("share < 0.5"), ["first_seq", "h"], "left_semi").select("first_seq", "text")
 
 
+def _full_texts(texts: DataFrame) -> DataFrame:
+    """(first_seq, text, value, full): each abstract with every full text of its work that it is or begins, and that text's value.
+
+    texts: first_seq and text, distinct. A full text begins no other text of its work, so texts that go on differently are
+    different values, and a text cut before they part is heard for each. Of values alike in all else the longer text's is greater.
+    """
+    t = texts.withColumn("start", F.left("text", F.lit(SHARED)))
+    longer = t.select("first_seq", "start", F.col("text").alias("longer"))
+    same = ["first_seq", "start"]
+    begins = t.join(longer, same).filter(F.col("longer").startswith(F.col("text")) & (F.length("longer") > F.length("text"))).select("first_seq", "text").distinct()
+    full = t.join(begins, ["first_seq", "text"], "left_anti").select(*same, F.col("text").alias("full"), F.concat(F.lpad(F.length("text").cast("string"), 9, "0"), F.md5("text")).alias("value"))
+    return t.join(full, same).filter(F.col("full").startswith(F.col("text"))).select("first_seq", "text", "value", "full")
+
+
 def judge_values(claims: DataFrame) -> DataFrame:
     """(work, field, value, p, n): the probability of each claimed value, by expectation and maximisation over the sources.
 
@@ -176,7 +190,7 @@ def survivors(papers: DataFrame) -> DataFrame:
     """One row for each work of two records or more: first_seq, doi, arxiv_id, abstract_seq, sources.
 
     doi: of publication DOIs, else of preprint DOIs, the one most likely the work's own; a DOI that more records of another work
-    give is that work's. abstract_seq: the first record with the full abstract, the longest text of the likeliest beginning;
+    give is that work's. abstract_seq: the first record with the likeliest full abstract, cut ones counting for those that they begin;
     null if no record has an abstract. Null and blank fields say nothing; equal records are of one work.
     """
     k = settle(_keys(papers))
@@ -189,21 +203,19 @@ def survivors(papers: DataFrame) -> DataFrame:
     r = r.join(works, "seq").join(many, "first_seq", "left_semi").join(good, "seq", "left").withColumn("doi", F.col("good_doi")).drop("good_doi")
     r = settle(r.withColumn("names", F.when(F.size("names") > 0, F.col("names")).otherwise(F.array(F.lit("?")))))
     texts = _real_abstracts(r.filter("text <> ''"))
-    family = F.left("text", F.lit(FAMILY))
-    texts = settle(texts.withColumn("family", family))
-    real = r.withColumn("family", family).join(texts.select("first_seq", "text").distinct(), ["first_seq", "text"], "left_semi")
+    texts = settle(_full_texts(texts))
+    real = r.join(texts.select("first_seq", "text", "value"), ["first_seq", "text"])
     claim = lambda df, field, value: df.select(F.col("first_seq").alias("work"), F.lit(field).alias("field"), F.col(value).alias("value"), F.explode("names").alias("source"))
     pub = r.filter(~F.col("doi").startswith(PREPRINT))
     pre = r.filter(F.col("doi").startswith(PREPRINT))
-    claims = claim(pub, "doi", "doi").unionByName(claim(pre, "preprint", "doi")).unionByName(claim(r, "arxiv", "arxiv")).unionByName(claim(real, "abstract", "family"))
+    claims = claim(pub, "doi", "doi").unionByName(claim(pre, "preprint", "doi")).unionByName(claim(r, "arxiv", "arxiv")).unionByName(claim(real, "abstract", "value"))
     judged = settle(judge_values(claims))
     owner = judged.filter("field in ('doi', 'preprint', 'arxiv')").groupBy("field", "value").agg(F.max(F.struct("n", "p", (-F.col("work")).alias("w"))).alias("top"), F.count(F.lit(1)).alias("works"))
     other = owner.filter("works > 1").select("field", "value", (-F.col("top.w")).alias("owner"))
     own = judged.join(other, ["field", "value"], "left").filter("owner is null or owner = work")
     best = own.groupBy("work", "field").agg(F.max_by("value", F.struct("p", "n", "value")).alias("value"))
     best = settle(best.groupBy("work").pivot("field", ["doi", "preprint", "arxiv", "abstract"]).agg(F.first("value")))
-    full = texts.join(best.select(F.col("work").alias("first_seq"), F.col("abstract").alias("family")), ["first_seq", "family"], "left_semi")
-    full = full.groupBy("first_seq").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+    full = texts.filter("text = full").join(best.select(F.col("work").alias("first_seq"), F.col("abstract").alias("value")), ["first_seq", "value"], "left_semi").select("first_seq", "text")
     at = r.filter("text is not null").join(full, ["first_seq", "text"]).groupBy("first_seq").agg(F.min_by("seq", F.struct("cut", "seq")).alias("abstract_seq"))
     sources = r.select("first_seq", F.explode("names").alias("s")).filter("s <> '?'").groupBy("first_seq").agg(F.array_join(F.array_sort(F.collect_set("s")), ",").alias("sources"))
     out = r.select("first_seq").distinct().join(best.withColumnRenamed("work", "first_seq"), "first_seq", "left").join(at, "first_seq", "left").join(sources, "first_seq", "left")

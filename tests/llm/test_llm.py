@@ -95,6 +95,17 @@ def test_survivors(spark):
     assert survivor.survivors(df.drop("first_seq").filter("false")).count() == 0
 
 
+def test_abstracts_that_go_on_differently(spark):
+    """The text that many records give beats a longer one with the same opening; cut texts count for what they begin."""
+    other = FULL[:70] + " but then this one goes on in quite another way, and " + "at greater length " * 20
+    texts = [other, FULL[:40] + "...", FULL[: len(FULL) - 5] + "...", FULL, FULL]
+    rows = [paper(i, "One title", ["Ann Bell"], None, None, t, (f"s{i}",)) for i, t in enumerate(texts, 1)]
+    assert [r["abstract_seq"] for r in survivor.survivors(spark.createDataFrame(rows, PAPER)).collect()] == [4]
+    full = survivor._full_texts(spark.createDataFrame([(1, t.rstrip(".")) for t in {*texts}] + [(2, other)], "first_seq long, text string"))
+    assert {(r["first_seq"], len(r["text"]), r["full"][70:80]) for r in full.collect() if len(r["text"]) == 40} == {(1, 40, FULL[70:80]), (1, 40, other[70:80])}
+    assert full.filter("text = full").count() == 3
+
+
 def test_two_sided_quality(spark):
     rows = [(w, "f", f"v{w}", s) for w in range(30) for s in "abc"] + [(w, "f", f"bad{w}", "d") for w in range(30)]
     rows += [(90, "f", "x", "a"), (90, "f", "y", "d"), (91, "f", None, "a"), (92, "f", "x", None)]
