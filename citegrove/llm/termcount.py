@@ -63,10 +63,10 @@ def value_counts(df: DataFrame, key: str, values: str, normal=normal_value) -> D
     # a row's own distinct values, with a mark on the first time that a value comes in the row
     arr = F.filter(F.transform(F.col(values), normal), lambda v: v.isNotNull() & (v != ""))
     n_blocks = max(BLOCKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    flat = df.select(F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).cast("int").alias("block"), F.array_sort(arr).alias("vs"))
-    ex = flat.select("block", F.posexplode("vs").alias("i", "value"), "vs").select(
-        "block", "value", (F.col("i") == 0).__or__(F.get("vs", F.col("i") - 1) != F.col("value")).cast("int").alias("first")
-    )
+    # each value is marked before the array is taken apart, so that no value carries its array along
+    row = df.select(F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).cast("int").alias("block"), F.array_sort(arr).alias("vs"))
+    marked = F.transform("vs", lambda v, i: F.struct(v.alias("value"), ((i == 0) | (F.get("vs", i - 1) != v)).cast("int").alias("first")))
+    ex = row.select("block", F.explode(marked).alias("x")).select("block", "x.value", "x.first")
     blocks = settle(ex.groupBy("value", "block").agg(F.count(F.lit(1)).alias("occ"), F.sum("first").alias("rec")))
     book = settle(
         blocks.select("value").distinct().withColumn("id", F.monotonically_increasing_id()).withColumns(

@@ -63,13 +63,13 @@ def collapse_copies(df: DataFrame, key: str, record: Column, required: str) -> D
     are equal in canonical form. A null, an empty and an absent value are one. Rows whose required label has no letter or
     digit are left out. df may have any other columns; an empty df gives no rows. key must be unique and not null.
 
-    Each distinct raw value is canonicalised once and each canonical value of a label gets an integer; a record becomes the
+    Records are parsed once and written as (key, label, value) rows. Each distinct raw value is canonicalised once and each canonical value of a label gets an integer; a record becomes the
     sorted tuple of its values' integers, and the tuples are grouped with partial counts. Values held by many rows meet
     the dictionary by broadcast, their number being bounded by their share, all others by a shuffle join, so no value makes a
     hot partition.
     """
     ship(df.sparkSession)
-    long = (
+    long = settle(
         df.select(F.col(key).alias("_key"), F.explode(record).alias("x"))
         .select("_key", F.col("x.label").alias("label"), F.col("x.value").alias("raw"))
         .filter("raw is not null and raw <> ''")
