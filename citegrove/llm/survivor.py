@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +19,6 @@ SHARED = 2 * LEAST_WORDS - 1
 #: Rounds of expectation and maximisation; counts that a source starts with as (right, wrong) for true and for false values.
 ROUNDS = 6
 TRUE_PRIOR, FALSE_PRIOR = (3.0, 1.0), (1.0, 6.0)
-#: Sources whose quality is held at once.
-MAX_SOURCES = 20_000
 
 
 def title_key(title: Column) -> Column:
@@ -86,7 +82,7 @@ def group_works(papers: DataFrame) -> DataFrame:
     title, DOI and arXiv number agree, or through further records. DOIs of volumes and DOIs cut short tell nothing. A record
     without author takes that of the one author whose records carry its title and an identifier of it, or else its title. Records without any key are works of their own.
 
-    Records of equal keys are one node, and keys of one node only are dropped, so what is propagated is the conflicts' graph.
+    Records of equal keys are one node, and keys of one node only are dropped, so what is contracted is the conflicts' graph.
     """
     return _components(settle(_keys(papers)))
 
@@ -97,28 +93,45 @@ def _components(k: DataFrame) -> DataFrame:
     nodes = settle(k.groupBy(*sig).agg(F.min("seq").alias("node"), F.count(F.lit(1)).alias("n")))
     a = F.coalesce("author", F.lit(""))
     key = lambda kind, c, ok=F.lit(True): F.when(F.col(c).isNotNull() & ok, F.concat_ws("\x1f", F.lit(kind), F.col(c), a))
-    alone = nodes.filter("author is null and doi is null and arxiv is null").select("node")
     edges = nodes.select("node", F.explode(F.array_compact(F.array(key("d", "doi"), key("x", "arxiv"), key("t", "title", F.col("author").isNotNull())))).alias("key"))
-    shared = edges.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = settle(shared)
-    n_nodes = nodes.count()
-    edges = settle(encode(edges, shared.withColumn("size", F.col("n")), ["key"], n_nodes).select("node", "key"))
-    labels = settle(edges.select("node").distinct().withColumn("label", F.col("node")))
+    roots = connected(edges)
+    by_sig = nodes.join(roots, "node", "left").select(*sig, "n", F.coalesce("first", "node").alias("first_seq"))
+    keyless = F.col("author").isNull() & F.col("doi").isNull() & F.col("arxiv").isNull()
+    plain = [F.coalesce(c, F.lit("")).alias(f"_{c}") for c in sig]
+    book = by_sig.filter(~keyless).select(*plain, "n", "first_seq")
+    met = encode(k.filter(~keyless).select("seq", *plain), book, [f"_{c}" for c in sig], k.count())
+    return met.select("seq", "first_seq").unionByName(k.filter(keyless).select("seq", F.col("seq").alias("first_seq")))
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, first): of each node (a number) that shares a key with another, directly or through others, the smallest node of them all.
+
+    edges: node and key, distinct. Each round gives every node that still shares a key the neighbour of the least random number, or that
+    one's own, then makes one node of those with the same. Keys of one node only drop out, so finished groups do too, and what is
+    left shrinks by a part of itself each round; the rounds' steps are put together at the end. Nodes and keys of many edges are joined from short broadcast lists.
+    """
+    steps, left, number = [], edges, 0
     while True:
-        low = edges.join(labels, "node").groupBy("key").agg(F.min("label").alias("low")).join(shared, "key")
-        step = encode(edges, low, ["key"], n_nodes).groupBy("node").agg(F.min("low").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = settle(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "was"), "node").filter("label <> was").limit(1).count()
-        labels = new
-        if not changed:
+        busy = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("at"), "node")).alias("low")).filter("n > 1")
+        left = settle(encode(left, settle(busy), ["key"], left.count()))
+        n_edges = left.count()
+        if not n_edges:
             break
-    by_sig = nodes.join(labels, "node", "left").select(*sig, "n", F.coalesce("label", "node").alias("first_seq"))
-    plain = [F.coalesce(c, F.lit("")).alias(f"_{c}") for c in sig]
-    rows = k.select("seq", *plain)
-    met = encode(rows, by_sig.select(*plain, "n", "first_seq"), [f"_{c}" for c in sig], n_nodes)
-    lone = k.filter("author is null and doi is null and arxiv is null").select("seq", F.col("seq").alias("first_seq"))
-    return met.select("seq", "first_seq").join(alone.select(F.col("node").alias("first_seq")), "first_seq", "left_anti").select("seq", "first_seq").unionByName(lone)
+        near = settle(left.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low")).select("node", "n", F.col("low.node").alias("to")))
+        jump = near.groupBy("to").agg(F.count(F.lit(1)).alias("n")).join(near.select(F.col("node").alias("to"), F.col("to").alias("next")), "to")
+        near = settle(encode(near.select("node", F.col("n").alias("edges"), "to"), jump, ["to"], n_edges).select("node", F.col("edges").alias("n"), F.col("next").alias("to")))
+        steps.append(near.select("node", "to"))
+        left = encode(left.select("node", "key"), near, ["node"], n_edges).select(F.col("to").alias("node"), "key").distinct()
+        number += 1
+    if not steps:
+        return edges.filter("false").select("node", F.col("node").alias("first"))
+    whole = steps[-1]
+    for step in reversed(steps[:-1]):
+        last = whole.select(F.col("node").alias("to"), F.col("to").alias("root"))
+        many = step.groupBy("to").agg(F.count(F.lit(1)).alias("n"))
+        whole = settle(encode(step, last.join(many, "to"), ["to"], step.count()).select("node", F.col("root").alias("to")).unionByName(step.join(last, "to", "left_anti").select("node", "to")))
+    least = settle(whole.groupBy("to").agg(F.least(F.min("node"), F.first("to")).alias("first"), F.count(F.lit(1)).alias("n")))
+    return encode(whole, least, ["to"], whole.count()).select("node", "first")
 
 
 def _real_abstracts(texts: DataFrame) -> DataFrame:
@@ -147,50 +160,39 @@ def _full_texts(texts: DataFrame) -> DataFrame:
 
 
 def judge_values(claims: DataFrame) -> DataFrame:
-    """(work, field, value, p, n): the probability of each claimed value, by expectation and maximisation over the sources.
+    """(work, field, value, p, score, n): the probability of each claimed value and its log odds, by expectation and maximisation over the sources.
 
     claims: work, field, value, source; a row for each record that gives the value. Of each field a source has a sensitivity, how
     often its records that give any value give a true one, and a specificity, how often they don't give a false one. Several values
     of a work may be true, and each record is heard. n is the number of claims. Null values and sources are left out; an empty table gives no rows.
+
+    A source that gives the field but not this value speaks against it. Those votes are one sum a work and field, to which the
+    sources that do give the value add the difference, so that the cost is that of the claims and not of values times sources.
     """
     c = claims.filter("work is not null and value is not null and source is not null")
-    one = c.groupBy("work", "field", "value", "source").agg(F.count(F.lit(1)).alias("k"))
-    facts = one.groupBy("work", "field", "value").agg(F.sum("k").alias("n"), F.map_from_entries(F.collect_list(F.struct("source", "k"))).alias("by"))
-    cover = one.groupBy("work", "field", "source").agg(F.sum("k").alias("k")).groupBy("work", "field").agg(F.collect_list(F.struct("source", "k")).alias("cover"))
-    facts = settle(facts.join(cover, ["work", "field"]))
-    names = c.select("field", "source").distinct().limit(MAX_SOURCES + 1).collect()
-    if len(names) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; give each field its own call")
-    votes = F.transform("cover", lambda x: F.struct(x["source"].alias("s"), x["k"].cast("double").alias("all"), F.coalesce(F.col("by")[x["source"]], F.lit(0)).cast("double").alias("yes")))
-    p = F.col("n") / F.aggregate("cover", F.lit(0).cast("long"), lambda s, x: s + x["k"])
+    one = settle(c.groupBy("work", "field", "value", "source").agg(F.count(F.lit(1)).cast("double").alias("yes")))
+    cover = settle(one.groupBy("work", "field", "source").agg(F.sum("yes").alias("given")))
+    fact, where, who = ["work", "field", "value"], ["work", "field"], ["field", "source"]
+    counted = one.groupBy(*fact).agg(F.sum("yes").alias("n"))
+    facts = settle(counted.join(cover.groupBy(*where).agg(F.sum("given").alias("all")), where).select(*fact, "n", F.lit(0.0).alias("score"), (F.col("n") / F.col("all")).alias("p")))
     for _ in range(ROUNDS):
-        seen = facts.select("field", p.alias("p"), F.explode(votes).alias("v")).groupBy("field", F.col("v.s").alias("source"))
-        yes, given, not_p = F.col("v.yes"), F.col("v.all"), 1 - F.col("p")
-        q = seen.agg(F.sum(F.col("p") * yes).alias("tp"), F.sum(F.col("p") * given).alias("t"), F.sum(not_p * (given - yes)).alias("tn"), F.sum(not_p * given).alias("f")).collect()
-        weight = {}
-        truth: dict[str, list[float]] = {}
-        for r in q:  # a row a field and source
-            sens = (r["tp"] + TRUE_PRIOR[0]) / (r["t"] + sum(TRUE_PRIOR))
-            spec = (r["tn"] + FALSE_PRIOR[1]) / (r["f"] + sum(FALSE_PRIOR))
-            weight[r["field"] + "\x1f" + r["source"]] = (math.log(sens / (1 - spec)), math.log((1 - sens) / spec))
-            both = truth.setdefault(r["field"], [1.0, 1.0])
-            both[0], both[1] = both[0] + r["t"], both[1] + r["f"]
-        if not weight:
-            break
-        row = facts.sparkSession.createDataFrame([({k: list(v) for k, v in weight.items()}, {k: math.log(a / b) for k, (a, b) in truth.items()})], "w map<string,array<double>>, prior map<string,double>")
-        facts_w = facts.crossJoin(F.broadcast(row))
-        weigh = lambda v: F.col("w")[F.concat_ws("\x1f", "field", v["s"])]
-        score = F.aggregate(votes, F.col("prior")[F.col("field")], lambda s, v: s + v["yes"] * F.get(weigh(v), F.lit(0)) + (v["all"] - v["yes"]) * F.get(weigh(v), F.lit(1)))
-        facts = settle(facts_w.withColumn("score", score).select("work", "field", "value", "n", "by", "cover", "score"))
-        p = 1 / (1 + F.exp(-F.col("score")))
-    return facts.select("work", "field", "value", p.alias("p"), "n")
+        yes = one.join(facts.select(*fact, "p"), fact).groupBy(*who).agg(F.sum(F.col("p") * F.col("yes")).alias("tp"), F.sum((1 - F.col("p")) * F.col("yes")).alias("fp"))
+        true_false = facts.groupBy(*where).agg(F.sum("p").alias("t"), F.sum(1 - F.col("p")).alias("f"))
+        given = cover.join(true_false, where).groupBy(*who).agg(F.sum(F.col("t") * F.col("given")).alias("t"), F.sum(F.col("f") * F.col("given")).alias("f"))
+        sens = (F.col("tp") + TRUE_PRIOR[0]) / (F.col("t") + sum(TRUE_PRIOR))
+        spec = (F.col("f") - F.col("fp") + FALSE_PRIOR[1]) / (F.col("f") + sum(FALSE_PRIOR))
+        weights = settle(yes.join(given, who).select(*who, "t", "f", F.log(sens / (1 - spec)).alias("pro"), F.log((1 - sens) / spec).alias("contra")))
+        prior = weights.groupBy("field").agg(F.log((1 + F.sum("t")) / (1 + F.sum("f"))).alias("prior"))
+        against = cover.join(weights, who).groupBy(*where).agg(F.sum(F.col("given") * F.col("contra")).alias("against"))
+        for_it = one.join(weights, who).groupBy(*fact).agg(F.sum("yes").alias("n"), F.sum(F.col("yes") * (F.col("pro") - F.col("contra"))).alias("pro"))
+        facts = settle(for_it.join(against, where).join(prior, "field").select(*fact, "n", (F.col("prior") + F.col("against") + F.col("pro")).alias("score")).withColumn("p", 1 / (1 + F.exp(-F.col("score")))))
+    return facts.select(*fact, "p", "score", F.col("n").cast("long").alias("n"))
 
 
 def survivors(papers: DataFrame) -> DataFrame:
     """One row for each work of two records or more: first_seq, doi, arxiv_id, abstract_seq, sources.
 
-    doi: of publication DOIs, else of preprint DOIs, the one most likely the work's own; a DOI that more records of another work
-    give is that work's. abstract_seq: the first record with the likeliest full abstract, cut ones counting for those that they begin;
+    doi: of publication DOIs, else of preprint DOIs, the one most likely the work's own; a DOI that several works claim is that of the work where it has the better odds. abstract_seq: the first record with the likeliest full abstract, cut ones counting for those that they begin;
     null if no record has an abstract. Null and blank fields say nothing; equal records are of one work.
     """
     k = settle(_keys(papers))
@@ -210,7 +212,7 @@ def survivors(papers: DataFrame) -> DataFrame:
     pre = r.filter(F.col("doi").startswith(PREPRINT))
     claims = claim(pub, "doi", "doi").unionByName(claim(pre, "preprint", "doi")).unionByName(claim(r, "arxiv", "arxiv")).unionByName(claim(real, "abstract", "value"))
     judged = settle(judge_values(claims))
-    owner = judged.filter("field in ('doi', 'preprint', 'arxiv')").groupBy("field", "value").agg(F.max(F.struct("n", "p", (-F.col("work")).alias("w"))).alias("top"), F.count(F.lit(1)).alias("works"))
+    owner = judged.filter("field in ('doi', 'preprint', 'arxiv')").groupBy("field", "value").agg(F.max(F.struct("score", "n", (-F.col("work")).alias("w"))).alias("top"), F.count(F.lit(1)).alias("works"))
     other = owner.filter("works > 1").select("field", "value", (-F.col("top.w")).alias("owner"))
     own = judged.join(other, ["field", "value"], "left").filter("owner is null or owner = work")
     best = own.groupBy("work", "field").agg(F.max_by("value", F.struct("p", "n", "value")).alias("value"))

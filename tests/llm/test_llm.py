@@ -96,6 +96,58 @@ def test_survivors(spark):
     assert survivor.survivors(df.drop("first_seq").filter("false")).count() == 0
 
 
+def test_connected(spark, monkeypatch):
+    """Chains, stars and cliques against union-find, with hot keys and nodes by broadcast; an empty table has none."""
+    monkeypatch.setattr(dictionary, "HEAVY_FLOOR", 4)
+    rng = random.Random(9)
+    edges = {(i, f"c{j}") for i in range(100, 140) for j in (i, i + 1)} | {(i, "hub") for i in range(0, 60, 3)} | {(rng.randrange(200, 300), f"k{rng.randrange(90)}") for _ in range(150)} | {(999, "alone")}
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for n, k in sorted(edges):
+        parent[find(k)] = find(n)
+    members = {}
+    for n in {n for n, _ in edges}:
+        members.setdefault(find(n), set()).add(n)
+    want = {n: min(g) for g in members.values() if len(g) > 1 for n in g}
+    df = spark.createDataFrame(sorted(edges), "node long, key string")
+    assert {r["node"]: r["first"] for r in survivor.connected(df).collect()} == want
+    assert survivor.connected(df.filter("false")).count() == 0
+
+
+def test_judged_as_by_hand(spark):
+    """The sums by work and field give what a loop over all values and sources gives."""
+    import math
+
+    rng = random.Random(3)
+    rows = [(w, "f", f"v{rng.randint(0, 2)}", rng.choice("abcd")) for w in range(25) for _ in range(rng.randint(1, 6))]
+    facts = Counter((w, v) for w, _, v, _ in rows)
+    yes, given = Counter((w, v, s) for w, _, v, s in rows), Counter((w, s) for w, _, _, s in rows)
+    p = {(w, v): n / sum(g for (x, _), g in given.items() if x == w) for (w, v), n in facts.items()}
+    for _ in range(survivor.ROUNDS):
+        tp, t, tn, f = Counter(), Counter(), Counter(), Counter()
+        for w, v in facts:
+            for (x, s), g in given.items():
+                if x == w:
+                    y = yes[w, v, s]
+                    tp[s], t[s], tn[s], f[s] = tp[s] + p[w, v] * y, t[s] + p[w, v] * g, tn[s] + (1 - p[w, v]) * (g - y), f[s] + (1 - p[w, v]) * g
+        sens, spec = {s: (tp[s] + 3) / (t[s] + 4) for s in t}, {s: (tn[s] + 6) / (f[s] + 7) for s in t}
+        prior = math.log((1 + sum(t.values())) / (1 + sum(f.values())))
+        for w, v in facts:
+            score = prior
+            for (x, s), g in given.items():
+                if x == w:
+                    y = yes[w, v, s]
+                    score += y * math.log(sens[s] / (1 - spec[s])) + (g - y) * math.log((1 - sens[s]) / spec[s])
+            p[w, v] = 1 / (1 + math.exp(-score))
+    got = {(r["work"], r["value"]): r["p"] for r in survivor.judge_values(spark.createDataFrame(rows, "work long, field string, value string, source string")).collect()}
+    assert got == pytest.approx(p, abs=1e-9)
+
+
 def test_abstracts_that_go_on_differently(spark):
     """The text that many records give beats a longer one with the same opening; cut texts count for what they begin."""
     other = FULL[:70] + " but then this one goes on in quite another way, and " + "at greater length " * 20
