@@ -1,16 +1,18 @@
-"""Filling fixed-capacity containers: harmonic packing by reciprocal-capacity classes, with top-ups of the bins' rooms."""
+"""Filling fixed-capacity containers: harmonic packing by reciprocal-capacity classes, rooms left in bins topped up by best fit."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citegrove.plans.materialize import settle
+from citegrove.plans.materialize import ship, spread
 
-#: Items that are packed together in one shard; shards don't know of each other.
-SHARD_ITEMS = 100_000
-#: Bands of classes, from the widest items on; the rooms that the bins of the earlier bands leave are topped up from the next band.
-BANDS = ((1, 2), (3, 8), (9, None))
+#: Pieces of one bin kind that are packed together in one shard, about; shards don't know of each other, and each is one task's.
+SHARD_ITEMS = 25_000
 
 
 def cut_pieces(items: DataFrame, key: str, size: str, capacity: Column) -> DataFrame:
@@ -23,59 +25,75 @@ def cut_pieces(items: DataFrame, key: str, size: str, capacity: Column) -> DataF
     return cut.withColumn("size", F.least(capacity, F.col(size) - F.col("piece") * capacity))
 
 
+def fill_bins(sizes: list[int], capacity: int) -> list[int]:
+    """The bin of each piece; sizes are in falling order and not above capacity.
+
+    A size in (capacity / (k + 1), capacity / k] is of class k, and k pieces of that class always fit together. Class by class, from
+    the widest on, a piece goes where it leaves the least room among the bins of the classes before; those that fit nowhere make bins of
+    their class, k to each, so that every such bin but a class's last is filled to k / (k + 1) at least.
+    """
+    into = [0] * len(sizes)
+    rooms: dict[int, list[int]] = {}
+    present: list[int] = []  # the rooms that some bin has, rising
+    n_bins = 0
+
+    def leave(room: int, at: int) -> None:
+        if room > 0:
+            if room in rooms:
+                rooms[room].append(at)
+            else:
+                rooms[room] = [at]
+                insort(present, room)
+
+    i = 0
+    while i < len(sizes):
+        k = capacity // sizes[i]
+        own = []
+        while i < len(sizes) and capacity // sizes[i] == k:
+            s = sizes[i]
+            j = bisect_left(present, s)
+            if j < len(present):
+                room = present[j]
+                into[i] = rooms[room].pop()
+                if not rooms[room]:
+                    del rooms[room], present[j]
+                leave(room - s, into[i])
+            else:
+                own.append(i)
+            i += 1
+        for first in range(0, len(own), k):
+            used = 0
+            for m in own[first : first + k]:
+                into[m] = n_bins
+                used += sizes[m]
+            leave(capacity - used, n_bins)
+            n_bins += 1
+    return into
+
+
 def pack(pieces: DataFrame, bin_kind: str, key: str) -> DataFrame:
     """pieces (bin_kind, key, piece, size, capacity; 0 < size <= capacity) with container, a number within bin_kind.
 
-    A size in (capacity / (k + 1), capacity / k] is of class k, and k pieces of that class always fit together. Pieces are dealt
-    to shards by their hash; each shard numbers the pieces of a class and fills bins with k of them, so that every bin is filled
-    to k / (k + 1) at least. Band by band, from the widest classes on, the rooms left in the shard's bins are laid end to end
-    and the next band's pieces along them: a piece that falls within one room goes there, the others make bins of their
-    class. Pieces too few for a whole bin of their class are laid along bins that leave room for one of the widest of them.
-    An empty table gives no rows; equal pieces and repeated keys are packed one by one.
+    Pieces are dealt to shards by their hash, as many as there are SHARD_ITEMS, and each shard is packed by fill_bins. An empty table
+    gives no rows; equal pieces and repeated keys are packed one by one. All pieces of a bin kind have one capacity; a kind with
+    several is packed as several. Container numbers hold 24 bits of shard, 8 of the capacity's number and 31 of the bin.
     """
-    wanted, shards = pieces.columns, max(1, -(-pieces.count() // SHARD_ITEMS))
-    pieces = pieces.select(F.col(bin_kind).alias("_kind"), F.col(key).alias("_key"), "piece", "size", "capacity")
-    given, bin_kind, key = {"_kind": bin_kind, "_key": key}, "_kind", "_key"
-    p = settle(
-        pieces.withColumn("class", F.floor(F.col("capacity") / F.col("size")).cast("int")).withColumn(
-            "shard", F.pmod(F.xxhash64(key, "piece", "size"), F.lit(shards)).cast("int")
-        )
-    )
-    names = pieces.columns
-    cols = [*names, "shard", "class", "home", "bin"]
-    home = [bin_kind, "shard", "class"]
-    placed, rest = None, None
-    for low, high in BANDS:
-        band = p.filter((F.col("class") >= low) & (F.col("class") <= (high or 1 << 30)))
-        if placed is not None:
-            laid = settle(_top_up(placed, band, bin_kind, key, cols))
-            placed, band = placed.unionByName(laid.filter("bin is not null").select(*cols)), laid.filter("bin is null").select(*names, "shard", "class")
-        number = F.row_number().over(Window.partitionBy(*home).orderBy(key, "piece")) - 1
-        whole = F.floor(F.count(F.lit(1)).over(Window.partitionBy(*home)) / F.col("class")) * F.col("class")
-        own = settle(band.withColumn("number", number).withColumn("home", F.col("class")).withColumn("bin", F.when((F.col("number") < whole) | F.lit(low == 1), F.floor(F.col("number") / F.col("class")))))
-        kept = own.filter("bin is not null").select(*cols)
-        placed = kept if placed is None else placed.unionByName(kept)
-        few = own.filter("bin is null").select(*names, "shard", "class")
-        rest = few if rest is None else rest.unionByName(few)
-    start = F.sum("size").over(Window.partitionBy(bin_kind, "shard").orderBy("class", key, "piece").rowsBetween(Window.unboundedPreceding, -1))
-    widest = F.max("size").over(Window.partitionBy(bin_kind, "shard"))
-    tail = rest.withColumn("home", F.lit(0)).withColumn("bin", F.floor(F.coalesce(start, F.lit(0)) / F.greatest(F.lit(1), F.col("capacity") - widest)).cast("long"))
-    # a class and a bin's number in its class and shard are below 2^20 and 2^24
-    container = F.shiftleft(F.col("shard").cast("long"), 44) + F.shiftleft(F.col("home").cast("long"), 24) + F.col("bin")
-    return placed.unionByName(tail.select(*cols)).select(*names, container.alias("container")).withColumnsRenamed(given).select(*wanted, "container")
-
-
-def _top_up(placed: DataFrame, band: DataFrame, bin_kind: str, key: str, cols: list[str]) -> DataFrame:
-    """The band's pieces with the home and bin of the room they fall into, null where they fall across a border or beyond."""
-    line = Window.partitionBy(bin_kind, "shard")
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    room = placed.groupBy(bin_kind, "shard", "home", "bin").agg((F.max("capacity") - F.sum("size")).alias("room")).filter("room > 0")
-    room = room.withColumn("at", F.coalesce(F.sum("room").over(before(line.orderBy("home", "bin"))), F.lit(0)).cast("long"))
-    bins = room.select(bin_kind, "shard", "at", F.lit(0).alias("is_row"), F.struct("home", "bin", (F.col("at") + F.col("room")).cast("long").alias("to")).alias("into"))
-    names = [c for c in cols if c not in (bin_kind, "shard", "home", "bin")]
-    laid = band.withColumn("at", F.coalesce(F.sum("size").over(before(line.orderBy(F.xxhash64(key, "piece"), key, "piece"))), F.lit(0)).cast("long"))
-    rows = laid.select(bin_kind, "shard", "at", F.lit(1).alias("is_row"), F.struct(*names).alias("row"))
-    last = F.last("into", ignorenulls=True).over(line.orderBy("at", "is_row").rowsBetween(Window.unboundedPreceding, 0))
-    met = bins.unionByName(rows, allowMissingColumns=True).withColumn("into", last).filter("is_row = 1")
-    fits = F.coalesce(F.col("at") + F.col("row.size") <= F.col("into.to"), F.lit(False))
-    return met.select(bin_kind, "shard", "row.*", F.when(fits, F.col("into.home")).alias("home"), F.when(fits, F.col("into.bin")).alias("bin"))
+    ship(pieces.sparkSession)
+    wanted = pieces.columns
+    kinds = pieces.groupBy(bin_kind, "capacity").agg(F.count(F.lit(1)).alias("_n"))
+    several = F.dense_rank().over(Window.partitionBy(bin_kind).orderBy("capacity")) - 1
+    shards = kinds.select(F.col(bin_kind).alias("_kind"), F.col("capacity").alias("_capacity"), F.ceil(F.col("_n") / F.lit(SHARD_ITEMS)).cast("long").alias("_shards"), several.cast("long").alias("_which"))
+    # one row a kind: joined by broadcast where the planner sees that they are few
+    same = pieces[bin_kind].eqNullSafe(F.col("_kind")) & (F.col("capacity") == F.col("_capacity"))
+    dealt = pieces.join(shards, same).withColumn("_shard", F.pmod(F.xxhash64(key, "piece", "size"), F.col("_shards"))).select(*wanted, "_which", "_shard")
+
+    def fill(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("size", "descending"), (key, "ascending"), ("piece", "ascending")])
+        bins = np.array(fill_bins(t["size"].to_pylist(), t["capacity"][0].as_py()), np.int64)
+        shard, which = t["_shard"][0].as_py(), t["_which"][0].as_py()
+        if shard >= 1 << 24 or which >= 1 << 8:
+            raise ValueError("more shards or capacities of a bin kind than a container's number can hold")
+        return t.select(wanted).append_column("container", pa.array(bins + (shard << 39) + (which << 31), pa.int64()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", container long"
+    return spread(dealt, bin_kind, "_which", "_shard").groupBy(bin_kind, "_which", "_shard").applyInArrow(fill, schema)

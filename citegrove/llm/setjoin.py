@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from citegrove.llm.dictionary import encode
 from citegrove.plans.materialize import settle, ship, spread
 
-#: An inverted-list partition of one token with more records than this is parted by a second token.
+#: An inverted-list partition with more listed records than this is parted by one more token, as long as that copies fewer rows than dealing does.
 HOT = 512
-#: Probes of one partition that a task takes; partitions with more are given to several tasks.
+#: Probes of one partition that a task takes; partitions with more are dealt to several tasks, each with the lists.
 PROBES = 4096
-#: In place of a second token: the pairs of a hot partition that share its token only.
-ALONE = -2
+#: Times that parting may copy the rows of a partition which one task could take.
+WIDER = 16
 #: Weight of a heap step against a binary search when the longest lists are chosen.
 MU = 0.02
 
@@ -69,8 +69,8 @@ def _occurs(lists: list[list[int]], low: int, need: int) -> list[int]:
     return out
 
 
-def _partition_pairs(first: int, second: int, members: list[tuple], num: int, den: int, cross: bool) -> Iterator[tuple[int, int]]:
-    """Pairs within one partition of the inverted lists, each pair only where its first common tokens are the partition's own.
+def _partition_pairs(path: list[int], alone: bool, members: list[tuple], num: int, den: int, cross: bool) -> Iterator[tuple[int, int]]:
+    """Pairs within one partition of the inverted lists, each pair only where its first common tokens are the partition's own; if alone, all of them.
 
     members come by size. Each probes the lists of the listed ones before it, and is then listed itself if its tokens here are within the shorter prefix
     that a partner of its size or more must meet.
@@ -91,7 +91,7 @@ def _partition_pairs(first: int, second: int, members: list[tuple], num: int, de
                         continue
                     has = set(theirs)
                     common = [t for t in tokens if t in has]
-                    if den * len(common) >= num * (n + m - len(common)) and common[0] == first and (second == -1 or (len(common) == 1 if second == ALONE else common[1] == second)):
+                    if den * len(common) >= num * (n + m - len(common)) and (common == path if alone else common[: len(path)] == path):
                         yield (rep, other) if rep < other else (other, rep)
         if index:
             for t in tokens:
@@ -115,10 +115,10 @@ def _pairs(num: int, den: int, cross: bool):
 
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            for first, second, part, n, rep, side, probe, index, tokens in zip(*cols, strict=True):
-                if (first, second, part) != now:
+            for path, alone, part, n, rep, side, probe, index, tokens in zip(*cols, strict=True):
+                if (path, alone, part) != now:
                     close()
-                    now, members = (first, second, part), []
+                    now, members = (path, alone, part), []
                     if len(out) > 50_000:
                         yield give()
                 members.append((n, rep, side, probe, index, tokens))
@@ -128,56 +128,91 @@ def _pairs(num: int, den: int, cross: bool):
     return run
 
 
-def similar_pairs(sets: DataFrame, key: str, values: str, at_least: Fraction, side: str | None = None) -> DataFrame:
-    """(item_a, item_b), item_a < item_b: every pair whose arrays of values share at_least of all their distinct values.
+def _partitions(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of all partitions of the inverted lists: path (the partition's tokens), alone, part, n, rep, side, probe, index, tokens.
 
-    sets: key (unique integer) and values (array of strings; repeats, nulls and '' count for nothing). Rows without a value have
-    no partner; an empty table gives no pairs; other columns are ignored. side names a boolean column that parts the rows into
-    two tables; only pairs across them are given then.
-
-    Rows of equal sets are joined once, as one representative, and expanded at the end. Tokens get integers in order of their
-    frequency. The inverted lists are partitioned by the tokens of a record's prefix, hot partitions by the second token too,
-    and within one a record probes the lists of its tokens for records that occur in as many as the overlap needs. Only at
-    thresholds of 1/2 or less can unequal sets be a pair with one common token: there records of one value take part, and hot
-    partitions have one more part for such pairs. A threshold of 0 or less is an error.
+    A record stands in the partition of each token of its prefix. Where a partition lists more than HOT records, its rows go on to the
+    partitions of that token and one more, and so on; a record that can be a partner by the tokens so far alone also stays in a partition for such
+    pairs. Where parting would copy more rows than dealing, as with long records, the probes are dealt to tasks instead.
     """
+    need = F.ceil(F.col("n") * num / F.lit(den)).cast("int")
+    # a partner of the same size or more must meet a record within the shorter of its two prefixes
+    short = F.col("n") - F.ceil(F.col("n") * (2 * num) / F.lit(num + den)).cast("int") + 1
+    r = reps.select("rep", "side", "tokens", F.size("tokens").alias("n")).withColumns({"need": need, "prefix": F.col("n") - need + 1, "short": short})
+    own = ["rep", "side", "n", "tokens", "need", "prefix", "short", "path", "pos", "index"]
+    rows = r.select("*", F.posexplode(F.slice("tokens", 1, F.col("prefix"))).alias("pos", "t")).withColumns({"path": F.array("t"), "index": F.col("pos") < F.col("short")}).select(*own)
+    cols, done, level = ["path", "alone", "part", "n", "rep", "side", "probe", "index", "tokens"], None, 1
+
+    def dealt(df: DataFrame, m: Column, alone: bool) -> DataFrame:
+        parts = F.ceil(m / F.lit(PROBES)).cast("int")
+        d = df.select("*", F.lit(alone).alias("alone"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).withColumn("probe", F.pmod(F.xxhash64("rep"), parts) == F.col("part"))
+        return d.filter("probe or index").select(*cols)
+
+    while True:
+        rows = settle(rows)
+        wider = F.sum(F.col("prefix") + (level - 1) - F.col("pos"))
+        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.count_if("index").alias("listed"), F.count_if(F.col("need") <= level).alias("m_alone"), wider.alias("wider"))
+        by_dealing = F.col("m") * F.greatest(F.ceil(F.col("m") / F.lit(PROBES)), F.lit(WIDER))
+        sizes = settle(sizes.filter("m > 1 and listed > 0").withColumns({"hot": (F.col("listed") > HOT) & (F.col("wider") < by_dealing), "n": F.col("m")}))
+        total = sizes.groupBy().agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.count_if("hot").alias("hot")).first()
+        counted = encode(rows, sizes, ["path"], total["m"])
+        cold = dealt(counted.filter("not hot"), F.col("m"), False)
+        done = cold if done is None else done.unionByName(cold)
+        if not total["hot"]:
+            return done
+        hot = counted.filter("hot")
+        done = done.unionByName(dealt(hot.filter(F.col("need") <= level), F.col("m_alone"), True))
+        # the next common token lies at most one place further back
+        on = hot.select("*", F.posexplode(F.slice("tokens", F.col("pos") + 2, F.col("prefix") + (level - 1) - F.col("pos"))).alias("j", "t"))
+        on = on.withColumns({"path": F.concat("path", F.array("t")), "pos": F.col("pos") + F.col("j") + 1})
+        rows, level = on.withColumn("index", F.col("index") & (F.col("pos") <= F.col("short") + (level - 1))).select(*own), level + 1
+
+
+def _joined(sets: DataFrame, key: str, values: str, at_least: Fraction, side: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of representatives (a, b), all items with their tokens, and the representatives with their number of copies."""
     if at_least <= 0:
         raise ValueError("at_least must be above 0")
     ship(sets.sparkSession)
     num, den = at_least.numerator, at_least.denominator
     clean = F.array_distinct(F.filter(F.col(values), lambda v: v.isNotNull() & (v != "")))
-    base = sets.select(F.col(key).alias("item"), (F.col(side) if side else F.lit(False)).alias("side"), clean.alias("vs")).filter(F.size("vs") > 0)
+    base = settle(sets.select(F.col(key).alias("item"), (F.col(side) if side else F.lit(False)).alias("side"), clean.alias("vs")).filter(F.size("vs") > 0))
     long = base.select("item", "side", F.explode("vs").alias("value"))
     book = settle(long.groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("tid", F.monotonically_increasing_id()))
-    n_rows = base.count()
-    coded = encode(long, book.withColumn("df", F.col("n")), ["value"], n_rows)
+    coded = encode(long, book.withColumn("df", F.col("n")), ["value"], base.count())
     tokens = F.transform(F.array_sort(F.collect_list(F.struct("df", "tid"))), lambda x: x["tid"])
     items = settle(coded.groupBy("item", "side").agg(tokens.alias("tokens")))
     reps = settle(items.groupBy("tokens", "side").agg(F.min("item").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    single = 2 * num <= den
-    r = reps.select("rep", "side", "tokens", F.size("tokens").alias("n")).filter(F.lit(True) if single else F.col("n") > 1)
-    need = F.ceil(F.col("n") * num / F.lit(den)).cast("int")
-    # a partner of the same size or more must meet a record within the shorter of its two prefixes
-    short = F.col("n") - F.ceil(F.col("n") * (2 * num) / F.lit(num + den)).cast("int") + 1
-    placed = r.withColumns({"prefix": F.col("n") - need + 1, "short": short}).select("*", F.posexplode(F.slice("tokens", 1, F.col("prefix"))).alias("i", "first"))
-    placed = settle(placed.select("rep", "side", "n", "tokens", "prefix", "short", "i", "first"))
-    n1 = placed.groupBy("first").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("i") < F.col("short")).alias("n1")).filter("n > 1 and n1 > 0")
-    counted = encode(placed, n1, ["first"], reps.count())
-    cols = ["rep", "side", "n", "tokens", "first"]
-    cold = counted.filter(F.col("n1") <= HOT).select(*cols, F.lit(-1).cast("long").alias("second"), F.lit(0).alias("part"), F.lit(True).alias("probe"), (F.col("i") < F.col("short")).alias("index"))
-    crowded = counted.filter(F.col("n1") > HOT)
-    hot = crowded.select(*cols, "short", "i", F.posexplode(F.expr("slice(tokens, i + 2, prefix - i)")).alias("j", "second"))
-    hot = hot.withColumn("index", (F.col("i") < F.col("short")) & (F.col("i") + F.col("j") + 1 <= F.col("short"))).select(*cols, "second", "index")
-    if single:
-        hot = hot.unionByName(crowded.filter(F.col("n") * num <= den).select(*cols, F.lit(ALONE).cast("long").alias("second"), (F.col("i") < F.col("short")).alias("index")))
-    n2 = hot.groupBy("first", "second").agg(F.count(F.lit(1)).alias("m"), F.count_if("index").alias("m2")).filter("m > 1 and m2 > 0")
-    hot = hot.join(n2, ["first", "second"])
-    parts = F.ceil(F.col("m") / F.lit(PROBES)).cast("int")
-    hot = hot.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).withColumn("probe", F.pmod(F.xxhash64("rep"), parts) == F.col("part"))
-    lists = cold.unionByName(hot.filter("probe or index").select(*cold.columns)).select("first", "second", "part", "n", "rep", "side", "probe", "index", "tokens")
-    lists = spread(lists, "first", "second", "part").sortWithinPartitions("first", "second", "part", "n", "rep")
-    pairs = lists.mapInArrow(_pairs(num, den, side is not None), "a long, b long")
-    return _expand(pairs, items, reps, side is not None, single)
+    # unequal sets with one common token are a pair at thresholds of 1/2 or less only
+    lists = _partitions(reps if 2 * num <= den else reps.filter(F.size("tokens") > 1), num, den)
+    lists = spread(lists, "path", "alone", "part").sortWithinPartitions("path", "alone", "part", "n", "rep")
+    return lists.mapInArrow(_pairs(num, den, side is not None), "a long, b long"), items, reps
+
+
+def similar_pairs(sets: DataFrame, key: str, values: str, at_least: Fraction, side: str | None = None) -> DataFrame:
+    """(item_a, item_b), item_a < item_b: every pair whose arrays of values share at_least of all their distinct values.
+
+    sets: key (unique integer) and values (array of strings; repeats, nulls and '' count for nothing). Rows without a value have
+    no partner; an empty table gives no pairs; other columns are ignored. side names a boolean column that parts the rows into
+    two tables; only pairs across them are given then.
+
+    Rows of equal sets are joined once, as one representative, and expanded at the end; similar_classes leaves them together. Tokens get integers in
+    order of their frequency. The inverted lists are partitioned by the tokens of a record's prefix, hot partitions by one more token as long as
+    they are hot, and within one a record probes the lists of its tokens for records that occur in as many as the overlap needs. Only at
+    thresholds of 1/2 or less can unequal sets be a pair with one common token: there records of one value take part. A threshold of 0 or less is an error.
+    """
+    pairs, items, reps = _joined(sets, key, values, at_least, side)
+    return _expand(pairs, items, reps, side is not None, 2 * at_least.numerator <= at_least.denominator)
+
+
+def similar_classes(sets: DataFrame, key: str, values: str, at_least: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): the pairs as in similar_pairs, but between the first items of equal sets only, and (item, first_item) of every item with a value.
+
+    For tables with many copies, whose pairs would grow with the square of a set's copies. Two items are a pair if they have one
+    first item or if their first items are a pair.
+    """
+    pairs, items, reps = _joined(sets, key, values, at_least, None)
+    book = reps.select("tokens", F.col("rep").alias("first_item"), F.col("copies").alias("n"))
+    return pairs.select(F.col("a").alias("item_a"), F.col("b").alias("item_b")), encode(items.select("item", "tokens"), book, ["tokens"], items.count()).select("item", "first_item")
 
 
 def _expand(pairs: DataFrame, items: DataFrame, reps: DataFrame, cross: bool, single: bool) -> DataFrame:
