@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrove.functions.text import authority, paper_type, recency
+from citegrove.plans.materialize import settle
 
 #: Weights of relevance, authority, type, recency and topics.
 WEIGHTS = (1.0, 0.8, 0.8, 0.15, 0.4)
@@ -72,3 +73,16 @@ def cap_per_group(ranked: DataFrame, query: list[str], group: str, cap: int, k:
 def pool_normalize(df: DataFrame, pool: str, value: str) -> Column:
     """value as a share of the pool's largest, which counts as 1 if it is 0."""
     return F.col(value) / F.coalesce(F.nullif(F.max(value).over(Window.partitionBy(pool)), F.lit(0.0)), F.lit(1.0))
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """df with the place of each row in order, from 1; rows alike in order stand in any order among themselves.
+
+    Rows are parted by ranges of order, numbered within each part, and moved on by the sizes of the parts before, of which there are
+    as many as shuffle partitions.
+    """
+    parted = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = parted.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return within.join(F.broadcast(before), "_part").withColumn(name, F.col("_i") + F.col("_before")).drop("_part", "_i", "_before")

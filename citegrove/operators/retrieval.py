@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citegrove.functions.text import bm25_tokens
-from citegrove.plans.materialize import settle
+from citegrove.functions.text import bm25_tokens, strip
+from citegrove.plans.materialize import settle, ship
 
 
 def term_stats(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -26,25 +29,151 @@ def term_stats(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     return postings, df, size
 
 
-def bm25(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_key, key, score, rank): the k best documents of each query, ties to the larger key.
+#: Queries up to which they travel to the documents; more are joined with the postings by term.
+TRAVELLING = 20_000
+#: Queries that are scored as one matrix, and documents at a time.
+QUERY_BLOCK, DOC_BLOCK = 512, 1024
+_TOKEN = re.compile(r"[a-z0-9][a-z0-9\-]{2,}").findall
 
-    A query's terms count once. Terms that no document holds and documents of score 0 are left out. Queries of equal terms are
-    scored once. A posting meets its term's list of queries, and the sums by query and document are partial: while the lists are
-    small enough to travel to the postings, which lie by document, they are whole before the shuffle.
+
+def bm25(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, text: str, k: int, k1: float = 1.5, b: float = 0.75, group: str | None = None, cap: int = 3) -> DataFrame:
+    """(query_key, key, score, rank): the k best documents of each query, ties to the larger key; with group, cap of one group at most.
+
+    A query's terms count once. Terms that no document holds and documents of score 0 are left out. A null text is an empty one, documents of a
+    null group are a group. Queries of equal terms are scored once.
+
+    Up to TRAVELLING queries go to the documents: a first pass counts how many documents hold each term of the queries, a second scores
+    documents in blocks against blocks of queries as a product of matrices and keeps the k best of its own documents, so that only k rows a query
+    and task are shuffled. That is exact with a cap too: what a group's cap takes from a task's list, better documents of that group replace
+    elsewhere. More queries are joined with the postings by term.
     """
-    postings, df, size = term_stats(docs, key, text)
     bags = queries.select(query_key, F.array_sort(F.array_distinct(bm25_tokens(F.col(query_text)))).alias("bag")).filter(F.size("bag") > 0)
-    same = bags.groupBy("bag").agg(F.min(query_key).alias("lead"))
-    terms = same.select("lead", F.explode("bag").alias("term")).groupBy("term").agg(F.collect_list("lead").alias("leads"))
+    same = settle(bags.groupBy("bag").agg(F.min(query_key).alias("lead")))
+    n_leads = same.count()
+    scored = _bm25_by_block(same, docs, key, text, k, k1, b, group, cap) if n_leads <= TRAVELLING else _bm25_by_term(same, docs, key, text, k1, b)
+    if group and n_leads > TRAVELLING:
+        scored = scored.join(docs.select(key, group), key)
+    order = [F.desc(F.round("score", 9)), F.desc(key)]
+    if group:
+        scored = scored.withColumn("_g", F.row_number().over(Window.partitionBy("lead", group).orderBy(*order))).filter(F.col("_g") <= cap).drop("_g", group)
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lead").orderBy(*order))).filter(F.col("rank") <= k)
+    return best.join(bags.join(same, "bag").select(query_key, "lead"), "lead").select(query_key, key, "score", "rank")
+
+
+def _bm25_by_block(same: DataFrame, docs: DataFrame, key: str, text: str, k: int, k1: float, b: float, group: str | None, cap: int) -> DataFrame:
+    """(lead, key, score and group): each task's k best documents of each bag of terms."""
+    sc = docs.sparkSession.sparkContext
+    ship(docs.sparkSession)
+    rows = sorted(((r["lead"], r["bag"]) for r in same.collect()), key=lambda r: str(r[0]))  # at most TRAVELLING
+    terms = sc.broadcast({t: i for i, t in enumerate(sorted({t for _, bag in rows for t in bag}))})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = terms.value
+        df = np.zeros(len(at) + 2, np.int64)  # the last two count documents and tokens
+        for batch in batches:
+            for x in batch.column(0):
+                toks = _TOKEN((x.as_py() or "").lower())
+                df[-2] += 1
+                df[-1] += len(toks)
+                for t in at.keys() & set(toks):
+                    df[at[t]] += 1
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(df[some], pa.int64())], names=["i", "n"])
+
+    df = np.zeros(len(terms.value) + 2, np.int64)
+    for r in docs.select(text).mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row a term of the queries
+        df[r["i"]] = r["n"]
+    n_docs, average = int(df[-2]), df[-1] / max(1, df[-2])
+    idf = np.log(1 + (n_docs - df[:-2] + 0.5) / (df[:-2] + 0.5)) * (df[:-2] > 0)
+    blocks = []
+    for first in range(0, len(rows), QUERY_BLOCK):
+        part = rows[first : first + QUERY_BLOCK]
+        own = sorted({terms.value[t] for _, bag in part for t in bag})
+        place = {t: i for i, t in enumerate(own)}
+        m = np.zeros((len(own), len(part)))
+        for j, (_, bag) in enumerate(part):
+            for t in bag:
+                m[place[terms.value[t]], j] = 1.0
+        blocks.append((np.array(own), np.packbits(m.astype(bool), axis=0), len(own)))
+    shipped = sc.broadcast((idf, average, blocks))
+    leads = [lead for lead, _ in rows]
+    fields = [f for f in docs.select(key, *([group] if group else [])).schema]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = terms.value
+        idf, average, blocks = shipped.value
+        held: dict[int, list[tuple]] = {}  # of each query (rounded score, key, group, score), the best first
+
+        def keep(q: int, new: list[tuple]) -> None:
+            ranked = sorted(held.get(q, []) + new, key=lambda x: (x[0], x[1]), reverse=True)
+            if group:
+                seen: dict = {}
+                best = []
+                for x in ranked:
+                    seen[x[2]] = seen.get(x[2], 0) + 1
+                    if seen[x[2]] <= cap:
+                        best.append(x)
+                ranked = best
+            held[q] = ranked[:k]
+
+        for batch in batches:
+            for first in range(0, batch.num_rows, DOC_BLOCK):
+                part = batch.slice(first, DOC_BLOCK)
+                keys, groups = part.column(0).to_pylist(), part.column(2).to_pylist() if group else [None] * part.num_rows
+                doc, term, weight = [], [], []
+                for i, x in enumerate(part.column(1)):
+                    toks = _TOKEN((x.as_py() or "").lower())
+                    long = k1 * (1 - b + b * max(1, len(toks)) / average) if average else k1
+                    for t, tf in Counter(toks).items():
+                        j = at.get(t)
+                        if j is not None:
+                            doc.append(i)
+                            term.append(j)
+                            weight.append(idf[j] * (tf * (k1 + 1)) / (tf + long))
+                if not doc:
+                    continue
+                doc_at, term_at, w = np.array(doc), np.array(term), np.array(weight)
+                for number, (own, bits, n_own) in enumerate(blocks):
+                    place = np.searchsorted(own, term_at)
+                    there = (place < n_own) & (own[np.minimum(place, n_own - 1)] == term_at)
+                    left = np.zeros((part.num_rows, n_own))
+                    left[doc_at[there], place[there]] = w[there]
+                    s = left @ np.unpackbits(bits, axis=0, count=n_own).astype(float)
+                    rounded = np.round(s, 9)
+                    least = np.partition(rounded, -k, axis=0)[-k] if not group and k < part.num_rows else np.zeros(s.shape[1])
+                    for q in range(s.shape[1]):
+                        n = number * QUERY_BLOCK + q
+                        full = held.get(n)
+                        floor = max(least[q], full[-1][0] if full and len(full) >= k else 0.0)
+                        some = np.flatnonzero((s[:, q] > 0) & (rounded[:, q] >= floor))
+                        if len(some):
+                            keep(n, [(rounded[i, q], keys[i], groups[i], s[i, q]) for i in some])
+        out = [(leads[q], x) for q, xs in held.items() for x in xs]
+        cols = [pa.array([lead for lead, _ in out]), pa.array([x[1] for _, x in out]), *([pa.array([x[2] for _, x in out], pa.string())] if group else []), pa.array([float(x[3]) for _, x in out], pa.float64())]
+        if out:
+            yield pa.RecordBatch.from_arrays(cols, names=["lead", *(f.name for f in fields), "score"])
+
+    lead_kind = same.schema["lead"].dataType.simpleString()
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    cols = docs.select(key, text, *([F.col(group).cast("string").alias(group)] if group else []))
+    return cols.mapInArrow(score, f"lead {lead_kind}, {kinds}, score double")
+
+
+def _bm25_by_term(same: DataFrame, docs: DataFrame, key: str, text: str, k1: float, b: float, chunk: int = 256) -> DataFrame:
+    """(lead, key, score) of every bag of terms and document with a term in common.
+
+    The bags of a term are kept in lists of about chunk, so no list grows with the number of queries; a list and a posting meet once, and the sums by
+    query and document are partial.
+    """
+    postings, df, size = term_stats(docs, key, text)
+    listed = same.select("lead", F.explode("bag").alias("term"))
+    lists = listed.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    part = F.pmod(F.xxhash64("lead"), F.ceil(F.col("n") / F.lit(chunk)))
+    terms = listed.join(lists, "term").groupBy("term", part.alias("part")).agg(F.collect_list("lead").alias("leads"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     wanted = df.join(terms, "term").crossJoin(F.broadcast(size)).select("term", "leads", idf.alias("idf"), "avg")
     weight = F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.greatest("length", F.lit(1)) / F.col("avg")))
-    scored = postings.join(wanted, "term").select(key, weight.alias("w"), F.explode("leads").alias("lead")).groupBy("lead", key).agg(F.sum("w").alias("score"))
-    w = Window.partitionBy("lead").orderBy(F.desc(F.round("score", 9)), F.desc(key))
-    best = scored.filter("score > 0").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    who = bags.join(same, "bag").select(query_key, "lead")
-    return best.join(who, "lead").select(query_key, key, "score", "rank")
+    return postings.join(wanted, "term").select(key, weight.alias("w"), F.explode("leads").alias("lead")).groupBy("lead", key).agg(F.sum("w").alias("score")).filter("score > 0")
 
 
 def l2_normalize(v: Column) -> Column:
@@ -86,59 +215,62 @@ def fixed_windows(text: Column, size: int, overlap: int, least: int) -> Column:
     return F.filter(pieces, lambda p: F.length(p["piece"]) > least)
 
 
-def pack_paragraphs(text: str | None, size: int = 1100, overlap: int = 150, least: int = 200, mark: str = "\n\n") -> list[str]:
-    """Paragraphs joined greedily up to size characters; a longer one is cut with overlap; passages of least characters or fewer are dropped."""
-    done, held = [], ""
-    for p in (x.strip() for x in (text or "").strip().split(mark)):
-        if not p:
-            continue
-        if len(held) + len(p) + 2 <= size:
-            held = f"{held}\n\n{p}" if held else p
-            continue
-        if held:
-            done.append(held)
-        while len(p) > size:
-            done.append(p[:size])
-            p = p[size - overlap :]
-        held = p
-    if held:
-        done.append(held)
-    return [c for c in done if len(c) > least]
+def packed_passages(text: Column, size: int = 1100, overlap: int = 150, least: int = 200, mark: str = "\n\n") -> Column:
+    """The passages of a text in order: runs of paragraphs of at most size characters, those longer than least; an empty array for null.
 
+    A run goes on while its paragraphs, with a blank line between, have no more than size characters. A paragraph longer than size
+    starts a run of its own: windows of size that overlap are passages by themselves, and what is left after the last one opens the run.
+    One fold over the paragraphs' lengths finds where runs start; texts are only cut then.
+    """
+    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), mark), strip), lambda p: p != "")
+    step, blank = size - overlap, 2
+    windows = lambda n: F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step))).cast("int")
+    start = F.struct(F.lit(0).alias("held"), F.array().cast("array<int>").alias("starts"), F.lit(0).alias("i"))
 
-def passages(docs: DataFrame, key: str, text: str, size: int = 1100, overlap: int = 150, least: int = 200, mark: str = "\n\n") -> DataFrame:
-    """(key, pos, passage): each text's passages in order; null and short texts have none."""
-    kind = docs.schema[key].dataType.simpleString()
+    def read(state: Column, p: Column) -> Column:
+        n = F.length(p)
+        goes_on = (state["held"] > 0) & (state["held"] + n + blank <= size)
+        held = F.when(goes_on, state["held"] + n + blank).otherwise(n - windows(n) * step)
+        return F.struct(held.cast("int").alias("held"), F.when(goes_on, state["starts"]).otherwise(F.concat(state["starts"], F.array(state["i"]))).alias("starts"), (state["i"] + 1).alias("i"))
+
+    starts = F.aggregate(paragraphs, start, read, lambda state: state["starts"])
+
+    def cut(at: Column, number: Column) -> Column:
+        first = F.get(paragraphs, at)
+        after = F.coalesce(F.get(starts, number + 1), F.size(paragraphs)) - at
+        n = windows(F.length(first))
+        whole = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda w: F.substring(first, w * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+        rest = F.array_join(F.concat(F.array(F.substring(first, n * step + 1, F.length(first))), F.slice(paragraphs, at + 2, F.greatest(after - 1, F.lit(0)))), "\n\n")
+        return F.concat(whole, F.array(rest))
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, i, c) for k, t in zip(f[key], f[text], strict=True) for i, c in enumerate(pack_paragraphs(t, size, overlap, least, mark))]
-            yield pd.DataFrame(rows, columns=[key, "pos", "passage"])
+    return F.filter(F.flatten(F.transform(starts, cut)), lambda p: F.length(p) > least)
 
-    return docs.select(key, text).mapInPandas(cut, f"`{key}` {kind}, pos int, passage string")
+
+def passages(docs: DataFrame, key: str, text: str, size: int = 1100, overlap: int = 150, least: int = 200, mark: str = "\n\n") -> DataFrame:
+    """(key, pos, passage): each text's packed passages, numbered from 0; null and short texts have none."""
+    return docs.select(key, F.posexplode(packed_passages(F.col(text), size, overlap, least, mark)).alias("pos", "passage"))
 
 
 def within_budget(ranked: DataFrame, query: str, text: str, budget: int, group: str | None = None, cap: int = 3, k: int = 30) -> DataFrame:
-    """Exact greedy choice down each query's ranking: a passage too long for what is left is skipped and later ones may still fit.
+    """The passages that fit a budget of characters, taken down each query's ranking (column rank, unique in a query).
 
-    It ends at k passages or at 97 % of the budget. A query's ranking is one group of rows; cut it to a top-k first.
+    A passage too long for what is left, or of a group that has cap already, is passed over, and later ones may still fit; null groups are a group, null texts have
+    no length. Nothing is taken after k passages or once 97 % of the budget is used. A query's ranks and lengths are
+    one row, which a fold goes through; cut rankings to a top-k first. Texts aren't collected.
     """
-
-    def choose(f: pd.DataFrame) -> pd.DataFrame:
-        used, seen, keep = 0, {}, []
-        for i, row in enumerate(f.sort_values("rank").itertuples(index=False)):
-            d = row._asdict()
-            g = d[group] if group else i
-            if seen.get(g, 0) >= cap or used + len(d[text]) > budget:
-                continue
-            seen[g] = seen.get(g, 0) + 1
-            used += len(d[text])
-            keep.append(d)
-            if len(keep) >= k or used >= budget * 0.97:
-                break
-        return pd.DataFrame(keep, columns=f.columns)
-
-    return ranked.groupBy(query).applyInPandas(choose, ranked.schema)
+    each = F.struct("rank", F.coalesce(F.length(text), F.lit(0)).alias("n"), (F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.col("rank").cast("string")).alias("g"))
+    lists = ranked.groupBy(query).agg(F.array_sort(F.collect_list(each)).alias("xs"))
+    taken = "array<struct<rank:bigint,g:string>>"
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(taken).alias("taken"))
+
+    def choose(state: Column, x: Column) -> Column:
+        going = (F.size(state["taken"]) < k) & (state["used"] < budget * 0.97)
+        fits = (state["used"] + x["n"] <= budget) & (F.size(F.filter(state["taken"], lambda y: y["g"] == x["g"])) < cap)
+        more = F.concat(state["taken"], F.array(F.struct(x["rank"].cast("long").alias("rank"), x["g"].alias("g"))))
+        return F.when(going & fits, F.struct((state["used"] + x["n"]).alias("used"), more.alias("taken"))).otherwise(state)
+
+    chosen = lists.select(F.col(query), F.explode(F.aggregate("xs", start, choose, lambda state: F.transform(state["taken"], lambda y: y["rank"]))).alias("rank"))
+    return ranked.join(chosen, [query, "rank"], "left_semi").select(*ranked.columns)
 
 
 def word_by_positions(entries: DataFrame, key: str, word: str, positions: str) -> DataFrame:

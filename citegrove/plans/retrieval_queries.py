@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from citegrove.operators import ranking, retrieval
+from citegrove.operators import evidence, ranking, retrieval
 from citegrove.plans.registry import REGISTRY
-from citegrove.plans.sqltext import BM25_TOKENS, tokens_sql
+from citegrove.plans.sqltext import BM25_TOKENS, strip_sql, tokens_sql
 from citegrove.plans.text_queries import AUTHORITY, PAPER_TYPE, RECENCY
 from citegrove.session import table
 
 q = REGISTRY.add
 
-_BM25 = f"""t as (select doc_id, {BM25_TOKENS('text')} as toks from documents), s as (select count(*) as n, avg(len(toks)) as a from t),
- p as (select doc_id, term, count(*) as tf, any_value(ln) as ln from (select doc_id, unnest(toks) as term, len(toks) as ln from t) group by doc_id, term),
+
+def _bm25_sql(docs: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    return f"""t as (select {key}, {BM25_TOKENS(text)} as toks from {docs}), s as (select count(*) as n, avg(len(toks)) as a from t),
+ p as (select {key}, term, count(*) as tf, any_value(ln) as ln from (select {key}, unnest(toks) as term, len(toks) as ln from t) group by {key}, term),
  f as (select term, count(*) as df from p group by term),
  u as (select distinct problem_id, unnest({BM25_TOKENS('claim')}) as term from benchmark_problem),
- w as (select p.doc_id, p.term, ln(1 + (s.n - f.df + 0.5::double) / (f.df + 0.5::double)) * (p.tf * 2.5::double) / (p.tf + 1.5::double * (1 - 0.75::double + 0.75::double * greatest(p.ln, 1) / s.a)) as w from p join f using (term), s),
- b as (select u.problem_id, w.doc_id, sum(w.w) as score from u join w using (term) group by 1, 2),
- r as (select *, row_number() over (partition by problem_id order by round(score, 9) desc, doc_id desc) as rank from b)"""
+ w as (select p.{key}, p.term, ln(1 + (s.n - f.df + 0.5::double) / (f.df + 0.5::double)) * (p.tf * 2.5::double) / (p.tf + 1.5::double * (1 - 0.75::double + 0.75::double * greatest(p.ln, 1) / s.a)) as w from p join f using (term), s),
+ b as (select u.problem_id, w.{key}, sum(w.w) as score from u join w using (term) group by 1, 2),
+ r as (select *, row_number() over (partition by problem_id order by round(score, 9) desc, {key} desc) as rank from b)"""
+
+
+_BM25 = _bm25_sql()
 
 
 def _bm25(spark, d, k=10):
@@ -80,26 +84,33 @@ def rrf(spark, d):
  k as (select *, row_number() over (partition by problem_id order by rank) as place from g where gn <= 3) select problem_id, doc_id, source, place from k where place <= 30""")
 def per_group_cap(spark, d):
     """The thirty best documents of every claim with three of one source at most."""
-    ranked = _bm25(spark, d, 2_000_000_000).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return ranking.cap_per_group(ranked, ["problem_id"], "source", 3, 30).select("problem_id", "doc_id", "source", F.col("place").cast("long").alias("place"))
+    docs = table(spark, d, "documents")
+    best = retrieval.bm25(table(spark, d, "benchmark_problem"), "problem_id", "claim", docs, "doc_id", "text", 30, group="source", cap=3)
+    return best.join(docs.select("doc_id", "source"), "doc_id").select("problem_id", "doc_id", "source", F.col("rank").cast("long").alias("place"))
 
 
-@q("budgeted_passages")
+@q("budgeted_passages", f"""with recursive {_BM25}, x as (select r.problem_id, r.doc_id, r.rank, length(coalesce(d.text, '')) as n, coalesce(d.source, '') as src from r join documents d using (doc_id) where r.rank <= 30),
+ z as (select problem_id, 0::bigint as rank, 0::bigint as used, []::varchar[] as srcs, false as ok from x group by problem_id
+  union all select y.problem_id, y.rank, case when y.ok then y.used + y.n else y.used end, case when y.ok then list_append(y.srcs, y.src) else y.srcs end, y.ok
+   from (select x.problem_id, x.rank, x.n, x.src, z.used, z.srcs, len(z.srcs) < 30 and z.used < 5820 and z.used + x.n <= 6000 and len(list_filter(z.srcs, lambda c: c = x.src)) < 3 as ok from z join x on x.problem_id = z.problem_id and x.rank = z.rank + 1) y)
+select problem_id, doc_id, rank from z join x using (problem_id, rank) where ok""")
 def budgeted_passages(spark, d):
-    """Passages of the thirty best documents within a budget of 6,000 characters, three of one source at most."""
+    """Texts of the thirty best documents within a budget of 6,000 characters, three of one source at most."""
     docs = table(spark, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
     ranked = _bm25(spark, d, 30).join(docs, "doc_id").select("problem_id", "doc_id", "source", "rank", "text")
-    return retrieval.within_budget(ranked, "problem_id", "text", 6000, group="source").select("problem_id", "doc_id", "rank")
+    return retrieval.within_budget(ranked, "problem_id", "text", 6000, group="source").select("problem_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+_PAPER_TEXT = "coalesce(title, '') || ' ' || coalesce(abstract, '')"
 
 
-@q("abstract_evidence", """select problem_id, string_agg(t, chr(10) order by rank) as evidence from (select r.problem_id, r.rank, '- ' || left(replace(coalesce(p.title, ''), chr(10), ' '), 200) as t from (select problem_id, unnest(range(1, 11)) as rank, i from (select problem_id, row_number() over (order by problem_id) as i from benchmark_problem)) r join paper p on p.seq = r.i + r.rank) group by problem_id""")
+@q("abstract_evidence", f"""with {_bm25_sql("paper", "seq", _PAPER_TEXT)}, e as (select r.problem_id, r.rank, '[' || r.rank || '] ' || {strip_sql("coalesce(p.title, '')")} || chr(10) || '    ' || left(replace({strip_sql("coalesce(p.abstract, '')")}, chr(10), ' '), 700) as t from r join paper p using (seq) where r.rank <= 10)
+select problem_id, string_agg(t, chr(10) order by rank) as evidence from e group by problem_id""")
 def abstract_evidence(spark, d):
-    """A listing of ten papers beside each problem, each on a line."""
-    b = table(spark, d, "benchmark_problem").select("problem_id")
-    numbered = b.join(b.select(F.col("problem_id").alias("other")), F.col("other") <= F.col("problem_id")).groupBy("problem_id").agg(F.count(F.lit(1)).alias("i"))
-    at = numbered.select("problem_id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("rank"), "i").withColumn("seq", F.col("i") + F.col("rank"))
-    lines = at.join(table(spark, d, "paper").select("seq", "title"), "seq").select("problem_id", "rank", F.concat(F.lit("- "), F.left(F.translate(F.coalesce("title", F.lit("")), "\n", " "), F.lit(200))).alias("t"))
-    return lines.groupBy("problem_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]), "\n").alias("evidence"))
+    """The ten papers that fit each claim best, with title and the first 700 characters of the abstract."""
+    papers = table(spark, d, "paper").select("seq", "title", "abstract", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))).alias("both"))
+    ranked = retrieval.bm25(table(spark, d, "benchmark_problem"), "problem_id", "claim", papers.select("seq", "both"), "seq", "both", 10)
+    return evidence.abstracts(ranked.join(papers.drop("both"), "seq"), "problem_id")
 
 
 _SUBFIELDS, _KEYWORDS = ["vision", "agents"], ["visual grounding", "code repair", "tool-use planning", "in-context learning"]
@@ -222,5 +233,6 @@ def jaccard_best(spark, d):
 
 @q("modulo_shards", "select problem_id, (row_number() over (order by problem_id) - 1) % 4 as shard from benchmark_problem")
 def modulo_shards(spark, d):
-    """Problems dealt to four shards in order; the count is of problems, a small dimension."""
-    return table(spark, d, "benchmark_problem").select("problem_id", ((F.row_number().over(Window.orderBy("problem_id")) - 1) % 4).cast("long").alias("shard"))
+    """Problems dealt to four shards in order."""
+    numbered = ranking.numbered(table(spark, d, "benchmark_problem").select("problem_id"), ["problem_id"])
+    return numbered.select("problem_id", ((F.col("number") - 1) % 4).alias("shard"))

@@ -157,10 +157,17 @@ def chunk_window(spark, d):
     return p.select("doc_id", F.col("p.pos").cast("long").alias("pos"), F.md5("p.piece").alias("piece"))
 
 
-@q("passages")
+@q("passages", f"""with recursive q as (select doc_id, {strip_sql('x')} as p, k from (select doc_id, unnest(string_split(text, chr(10) || chr(10))) as x, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) as k from documents where text is not null)),
+ l as (select doc_id, p, length(p) as n, cast(greatest(0, ceil((length(p) - 1100) / 950.0::double)) as bigint) as w, row_number() over (partition by doc_id order by k) as i from q where p <> ''),
+ f as (select doc_id, i, 1 as run, n - w * 950 as held from l where i = 1
+  union all select l.doc_id, l.i, case when f.held + l.n + 2 <= 1100 then f.run else f.run + 1 end, case when f.held + l.n + 2 <= 1100 then f.held + l.n + 2 else l.n - l.w * 950 end from f join l on l.doc_id = f.doc_id and l.i = f.i + 1),
+ c as (select doc_id, run, 0 as last, j, substr(p, j * 950 + 1, 1100) as t from (select doc_id, run, p, unnest(range(0, w)) as j from l join f using (doc_id, i))
+  union all select doc_id, run, 1, 0, string_agg(substr(p, w * 950 + 1), chr(10) || chr(10) order by i) from l join f using (doc_id, i) group by doc_id, run)
+select doc_id, row_number() over (partition by doc_id order by run, last, j) - 1 as pos, t as passage from c where length(t) > 200""")
 def passages(spark, d):
     """Passages packed from the paragraphs of every document."""
-    return retrieval.passages(table(spark, d, "documents"), "doc_id", "text")
+    p = retrieval.passages(table(spark, d, "documents"), "doc_id", "text")
+    return p.select("doc_id", F.col("pos").cast("long").alias("pos"), "passage")
 
 
 @q("redact", rf"""select seq, regexp_replace(url || '?api_key=k' || seq || '&page=1&token=t' || seq, '(?i)((?:api_|access_|auth_|secret_)?key|token|password)=[^&\s''"]+', '\1=<redacted>', 'g') as url from paper where url is not null""")
