@@ -35,6 +35,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_title(c: Column) -> Column:
     """Lower case, literal escapes dropped, ASCII letters and digits only, single blanks; '' for null."""
     t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\\[nrt]", " ")
@@ -93,10 +98,9 @@ def content_words(c: Column) -> Column:
 
 def canon_generic(c: Column) -> Column:
     """Without a bracket at the end and what follows a colon; the whole name if nothing is left; '' for null."""
-    raw = strip(F.coalesce(c, F.lit("")))
-    base = strip(F.regexp_replace(raw, r"\s*[\(\[][^\)\]]*[\)\]]\s*$", ""))
-    base = F.when(base.contains(":"), strip(F.get(F.split(base, r"\s*:\s+"), F.lit(0)))).otherwise(base)
-    return F.regexp_replace(F.when(base != "", base).otherwise(raw), r"^[ .,;\-]+|[ .,;\-]+$", "")
+    head = lambda b: F.when(b.contains(":"), strip(F.get(F.split(b, r"\s*:\s+"), F.lit(0)))).otherwise(b)
+    bare = lambda raw: let(strip(F.regexp_replace(raw, r"\s*[\(\[][^\)\]]*[\)\]]\s*$", "")), head)
+    return let(strip(F.coalesce(c, F.lit(""))), lambda raw: F.regexp_replace(F.coalesce(F.nullif(bare(raw), F.lit("")), raw), r"^[ .,;\-]+|[ .,;\-]+$", ""))
 
 
 def release(c: Column) -> Column:
@@ -111,17 +115,19 @@ def canon_model(c: Column, families: list[tuple[str, str]], classes: list[str])
 
     Names of no family are treated by canon_generic. families is an ordered rule table of (pattern, display name).
     """
-    raw = strip(F.coalesce(c, F.lit("")))
-    bare = F.regexp_replace(F.regexp_replace(raw, r"\s*[\(\[].*?[\)\]]\s*", " "), r"^[ .,;:\-]+|[ .,;:\-]+$", "")
-    scale = F.regexp_replace(bare, r"(?<![A-Za-z0-9])[RV]\d+(?![0-9])", " ")
-    scale = F.regexp_replace(F.regexp_replace(scale, r"(?i)\d+\s*x\s*\d+\s*[bm]\b", " "), r"(?i)\d+\s*[bm]\b", " ")
-    tier = release(scale)
-    family = F.when(F.lit(False), raw)
-    for pattern, name in families:
-        family = family.when(raw.rlike("(?i)" + pattern), name)
-    named = F.concat_ws("-", family, F.nullif(tier, F.lit("")))
-    generic = (raw == "") | F.lower(bare).isin(*classes) | F.lower(raw).isin(*classes)
-    return F.when(generic, "").when(family.isNotNull(), named).otherwise(canon_generic(raw))
+
+    def named(raw: Column, bare: Column) -> Column:
+        scale = F.regexp_replace(bare, r"(?<![A-Za-z0-9])[RV]\d+(?![0-9])", " ")
+        scale = F.regexp_replace(F.regexp_replace(scale, r"(?i)\d+\s*x\s*\d+\s*[bm]\b", " "), r"(?i)\d+\s*[bm]\b", " ")
+        family = F.when(F.lit(False), raw)
+        for pattern, name in families:
+            family = family.when(raw.rlike("(?i)" + pattern), name)
+        generic = (raw == "") | F.lower(bare).isin(*classes) | F.lower(raw).isin(*classes)
+        of_family = lambda f: F.when(f.isNotNull(), F.concat_ws("-", f, F.nullif(let(scale, release), F.lit("")))).otherwise(canon_generic(raw))
+        return F.when(generic, "").otherwise(let(family, of_family))
+
+    stripped = lambda raw: F.regexp_replace(F.regexp_replace(raw, r"\s*[\(\[].*?[\)\]]\s*", " "), r"^[ .,;:\-]+|[ .,;:\-]+$", "")
+    return let(strip(F.coalesce(c, F.lit(""))), lambda raw: let(stripped(raw), lambda bare: named(raw, bare)))
 
 
 def alias_set(c: Column) -> Column:

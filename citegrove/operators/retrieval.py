@@ -246,9 +246,9 @@ def packed_passages(text: Column, size: int = 1100, overlap: int = 150, least: i
     return F.filter(F.flatten(F.transform(starts, cut)), lambda p: F.length(p) > least)
 
 
-def passages(docs: DataFrame, key: str, text: str, size: int = 1100, overlap: int = 150, least: int = 200, mark: str = "\n\n") -> DataFrame:
-    """(key, pos, passage): each text's packed passages, numbered from 0; null and short texts have none."""
-    return docs.select(key, F.posexplode(packed_passages(F.col(text), size, overlap, least, mark)).alias("pos", "passage"))
+def passages(docs: DataFrame, key: str, text: str, *more: str, size: int = 1100, overlap: int = 150, least: int = 200, mark: str = "\n\n") -> DataFrame:
+    """(key, more, pos, passage): each text's packed passages, numbered from 0; null and short texts have none."""
+    return docs.select(key, *more, F.posexplode(packed_passages(F.col(text), size, overlap, least, mark)).alias("pos", "passage"))
 
 
 def within_budget(ranked: DataFrame, query: str, text: str, budget: int, group: str | None = None, cap: int = 3, k: int = 30) -> DataFrame:

@@ -10,7 +10,7 @@ from citegrove.functions import text
 from citegrove.operators import curation as c
 from citegrove.operators import quality
 from citegrove.plans.registry import REGISTRY
-from citegrove.plans.sqltext import ALIASES, CANON_GENERIC, SQUASH
+from citegrove.plans.sqltext import ALIASES, CANON_GENERIC, CANON_MODEL, SQUASH, strip_sql
 from citegrove.plans.text_queries import CONTENT
 from citegrove.session import table
 
@@ -53,7 +53,17 @@ def kind_quota(spark, d):
     return c.kind_quota(i, ["subfield"], [F.desc("n"), F.col("name"), F.col("item_id")], 6).select("subfield", "item_id", "kind")
 
 
-@q("allocate_exact")
+@q("allocate_exact", f"""with recursive i as (select key, lower(name) as low, min(item_id) as item_id, min(name) as name, list_distinct(list(subfield) filter (where subfield <> '')) as tags, max({_N}) as n from menu_item where name is not null group by key, lower(name)),
+ o as (select *, row_number() over (partition by key order by n desc, name, item_id) as at_ from i),
+ la as (select key, lane, list(item_id order by at_) as own, row_number() over (partition by key order by lane) - 1 as number from (select key, item_id, at_, unnest(tags) as lane from o) group by key, lane),
+ lk as (select key, count(*) as lanes from la group by key),
+ z as (select key, 0::bigint as step, []::bigint[] as dealt from lk
+  union all select z.key, z.step + 1, case when y.pick is null or len(z.dealt) >= 20 then z.dealt else list_append(z.dealt, y.pick) end
+   from z join lk using (key) join la on la.key = z.key and la.number = z.step % lk.lanes, lateral (select list_filter(la.own, lambda c: not list_contains(z.dealt, c))[1] as pick) y where z.step < lk.lanes * 20),
+ d as (select key, arg_max(dealt, step) as dealt from z group by key),
+ r as (select o.key, o.item_id, len(coalesce(d.dealt, [])) + row_number() over (partition by o.key order by o.at_) as place from o left join d using (key) where not list_contains(coalesce(d.dealt, []), o.item_id)),
+ u as (select key, unnest(dealt) as item_id, generate_subscripts(dealt, 1) as place from d union all select key, item_id, place from r)
+select key, item_id, place from u where place <= 20""")
 def allocate_exact(spark, d):
     """The slots of each key for items of several subfields: an item of one name carries all the subfields that list it."""
     i = _items(spark, d).filter("name is not null").groupBy("key", F.lower("name").alias("low")).agg(
@@ -67,13 +77,9 @@ def allocate_exact(spark, d):
 select item_a, item_b, round(k / (na + nb - k)::double, 6) as jaccard from p where k >= 0.6::double * (na + nb - k) or (k = least(na, nb) and k >= 2)""")
 def jaccard_pairs(spark, d):
     """Design items of one subfield and key that say the same: shared content words, or one within the other."""
-    i = _items(spark, d).filter(F.col("key").isin("threats", "evidence_standards", "protocols", "validity_checks")).select("item_id", "subfield", "key", text.content_words(F.col("name")).alias("ws"))
-    w = i.select("item_id", "subfield", "key", F.size("ws").alias("n"), F.explode("ws").alias("word"))
-    b = w.select("subfield", "key", "word", F.col("item_id").alias("item_b"), F.col("n").alias("nb"))
-    p = w.withColumnRenamed("item_id", "item_a").join(b, ["subfield", "key", "word"]).filter("item_a < item_b").groupBy("item_a", "item_b", "n", "nb").agg(F.count(F.lit(1)).alias("k"))
-    union = F.col("n") + F.col("nb") - F.col("k")
-    hit = (F.col("k") >= 0.6 * union) | ((F.col("k") == F.least("n", "nb")) & (F.col("k") >= 2))
-    return p.filter(hit).select("item_a", "item_b", F.round(F.col("k") / union, 6).alias("jaccard"))
+    i = _items(spark, d).filter(F.col("key").isin("threats", "evidence_standards", "protocols", "validity_checks") & F.col("subfield").isNotNull())
+    p = c.similar_names(i.select("subfield", "key", F.col("item_id").alias("id"), text.content_words(F.col("name")).alias("words")), ["subfield", "key"])
+    return p.select(F.least("a", "b").alias("item_a"), F.greatest("a", "b").alias("item_b"), F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("jaccard"))
 
 
 @q("alias_group", f"""with a as (select subfield, key, item_id, unnest({ALIASES('name')}) as alias from menu_item)
@@ -83,20 +89,58 @@ def alias_group(spark, d):
     return c.alias_edges(_items(spark, d), ["subfield", "key"])
 
 
-@q("alias_merge_exact")
+_CANON = f"case when key in ('models', 'baselines') then {CANON_MODEL('name')} else {CANON_GENERIC('name')} end"
+_SLOTS = f"""nn as (select key, coalesce(kind, '') as kind, {strip_sql('name')} as name, {_CANON} as canon, item_id from menu_item where name is not null),
+ na as (select key, kind, name, canon, min(item_id) as node, list_distinct(list_concat({ALIASES('name')}, [{SQUASH('canon')}])) as al from nn where canon <> '' group by key, kind, name, canon),
+ nr as (select *, row_number() over (partition by key, kind order by node) as i from na),
+ z as (select key, kind, 0::bigint as i, []::struct(slot bigint, al varchar[])[] as slots, null::bigint as node, null::bigint as slot from na group by key, kind
+  union all select z.key, z.kind, nr.i, case when y.at_ is null then list_append(z.slots, {{'slot': nr.node, 'al': nr.al}}) else list_transform(z.slots, lambda s: case when s.slot = y.at_ then {{'slot': s.slot, 'al': list_distinct(list_concat(s.al, nr.al))}} else s end) end, nr.node, coalesce(y.at_, nr.node)
+   from z join nr on nr.key = z.key and nr.kind = z.kind and nr.i = z.i + 1, lateral (select list_filter(z.slots, lambda s: list_has_any(s.al, nr.al))[1].slot as at_) y)"""
+
+
+@q("alias_merge_exact", f"with recursive {_SLOTS} select z.key, z.kind, nr.name, z.slot from z join nr on nr.key = z.key and nr.kind = z.kind and nr.node = z.node")
 def alias_merge_exact(spark, d):
-    """The exact greedy merge by names, kinds kept apart."""
-    i = _items(spark, d).withColumn("canon", text.canon_generic(F.col("name"))).withColumn("kind", F.coalesce("kind", F.lit("")))
-    return c.merge_aliases(i, ["subfield", "key", "kind"])
+    """The exact greedy merge of all subfields' items by their names, kinds kept apart."""
+    return c.alias_slots(_items(spark, d)).select("key", "kind", "name", "slot")
 
 
-@q("absorb_exact")
+@q("absorb_exact", f"""with recursive r as (select item_id, subfield, key, coalesce(kind, '') as kind, {CONTENT} as words, {_N} as n, name from menu_item where name is not null and key in ('threats', 'evidence_standards', 'protocols', 'validity_checks')),
+ o as (select *, row_number() over (partition by subfield, key, kind order by n desc, length(name), item_id) as i from r),
+ z as (select subfield, key, kind, 0::bigint as i, []::struct(host bigint, words varchar[])[] as hosts, null::bigint as item_id, null::bigint as host from r group by subfield, key, kind
+  union all select z.subfield, z.key, z.kind, o.i, case when y.at_ is null then list_append(z.hosts, {{'host': o.item_id, 'words': o.words}}) else z.hosts end, o.item_id, coalesce(y.at_, o.item_id)
+   from z join o on o.subfield is not distinct from z.subfield and o.key = z.key and o.kind = z.kind and o.i = z.i + 1, lateral (select list_filter(z.hosts, lambda s: len(s.words) > 0 and len(o.words) > 0 and
+    (len(list_intersect(s.words, o.words)) >= 0.6::double * len(list_distinct(list_concat(s.words, o.words))) or (len(list_intersect(s.words, o.words)) = least(len(s.words), len(o.words)) and len(list_intersect(s.words, o.words)) >= 2)))[1].host as at_) y)
+select subfield, key, kind, item_id, host from z where item_id is not null""")
 def absorb_exact(spark, d):
-    """The exact leader clustering of design items."""
+    """The exact leader clustering of design items within a subfield."""
     i = _items(spark, d).filter(F.col("key").isin("threats", "evidence_standards", "protocols", "validity_checks")).withColumn("kind", F.coalesce("kind", F.lit("")))
     return c.absorb(i, ["subfield", "key", "kind"])
 
 
+@q("menu_merged", f"""with recursive {_SLOTS}, ro as (select m.*, x.slot from menu_item m join (select z.key, z.kind, nr.name, z.slot from z join nr on nr.key = z.key and nr.kind = z.kind and nr.node = z.node) x on x.key = m.key and x.kind = coalesce(m.kind, '') and x.name = {strip_sql('m.name')}),
+ ev as (select slot, array_to_string(list_sort(list_distinct(list(e))), '|') as evidence from (select slot, unnest(evidence) as e from ro) where trim(e) <> '' group by slot),
+ sh as (select z.slot, arg_max(nr.canon, (length(nr.canon), -nr.node)) as name from z join nr on nr.key = z.key and nr.kind = z.kind and nr.node = z.node group by z.slot)
+select ro.slot as item_id, any_value(ro.key) as key, any_value(sh.name) as name, coalesce(any_value(ev.evidence), '') as evidence, array_to_string(list_sort(list_distinct(list(ro.subfield) filter (where trim(ro.subfield) <> ''))), '|') as subfields,
+ arg_max(ro.detail, (length(ro.detail), -ro.item_id)) filter (where ro.detail <> '') as detail from ro join sh on sh.slot = ro.slot left join ev on ev.slot = ro.slot group by ro.slot""")
+def menu_merged(spark, d):
+    """The merged menu of all subfields: the longest name of each slot, united evidence and subfields, the longest detail."""
+    m = c.merge_menu(_items(spark, d))
+    return m.select("item_id", "key", "name", F.array_join("evidence", "|").alias("evidence"), F.nullif(F.array_join("subfields", "|"), F.lit("")).alias("subfields"), "detail")
+
+
+@q("claim_card")
+def claim_card(spark, d):
+    """The whole chain: merge, absorption, pruning and allocation of a claim's card in format 2."""
+    card = c.curate(_items(spark, d), fmt="2")
+    return card.select("key", "place", "item_id", "name", "kind", F.size("evidence").alias("n_evidence"), F.array_join("subfields", "|").alias("subfields"), F.array_join("variants", "|").alias("variants"))
+
+
+@q("curation_report")
+def curation_report(spark, d):
+    """Items in and out of each key of the claim's card, and the slots of each subfield."""
+    items = _items(spark, d)
+    r = c.curation_report(c.absorb_design(c.merge_menu(items)), c.curate(items, fmt="2"))
+    return r.select("key", "n_in", "n_out", "relaxed", F.to_json("by_subfield").alias("by_subfield"))
 
 
 @q("grounding_guard", f"""with e as (select item_id, name, unnest(evidence) as title from menu_item where key in {_RES} and name is not null), p as (select item_id, any_value(name) as name, {SQUASH("string_agg(title, ' ' order by title)")} as pool from e where title is not null group by item_id)

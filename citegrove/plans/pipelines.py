@@ -7,8 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegrove.functions.text import canon_generic
 from citegrove.operators import curation, identity, ranking, retrieval, scoring
+from citegrove.plans.materialize import settle
 
 
 @dataclass(frozen=True)
@@ -33,22 +33,16 @@ def gather(papers: DataFrame, spec: GatherSpec, pool: str = "pool", bodies: Data
     return ranking.balanced_top_k(ranked, pool, spec.top_k, spec.now)
 
 
-def curate(items: DataFrame, least: int = 2, fmt: str = "0.4") -> DataFrame:
-    """Items merged by name, pruned by evidence and dealt over the subfields, with their place in each key."""
-    i = items.withColumn("canon", canon_generic(F.col("name"))).filter("canon <> ''")
-    merged = i.groupBy("key", "subfield", F.coalesce("kind", F.lit("")).alias("kind"), "canon").agg(
-        F.min("item_id").alias("item_id"), F.max_by("name", F.struct(F.length("name"), "name")).alias("name"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("evidence", F.array().cast("array<string>"))))).alias("evidence")
-    )
-    kept = curation.prune_relaxed(merged, ["subfield", "key"], least)
-    return curation.round_robin(kept, ["key"], "subfield", [F.desc("n"), F.col("name"), F.col("item_id")], curation.cap_of(F.col("key"), fmt))
+def curate(items: DataFrame, lanes: list[str] | None = None, fmt: str = "0.4", least: int = 2) -> DataFrame:
+    """The claim's card out of the menus of all its subfields: merged by names, absorbed, pruned by evidence, slots dealt over the subfields."""
+    return curation.curate(items, lanes, fmt, least)
 
 
 def retrieve(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, text: str, group: str, k: int = 30, cap: int = 3) -> DataFrame:
     """The k best passages of each query with cap of one group at most."""
-    cut = retrieval.passages(docs, key, text).withColumn("passage_id", F.concat_ws(":", key, F.lpad("pos", 6, "0")))
-    ranked = retrieval.bm25(queries, query_key, query_text, cut, "passage_id", "passage", 2_000_000_000)
-    place = cut.select("passage_id", key, "pos", "passage").join(docs.select(key, group), key)
-    return ranking.cap_per_group(ranked.join(place, "passage_id"), [query_key], group, cap, k)
+    cut = settle(retrieval.passages(docs.select(key, group, text), key, text, group).withColumn("passage_id", F.concat_ws(":", key, F.lpad("pos", 6, "0"))))
+    best = retrieval.bm25(queries, query_key, query_text, cut, "passage_id", "passage", k, group=group, cap=cap)
+    return best.join(cut, "passage_id").withColumnRenamed("rank", "place")
 
 
 def evaluate(passes: DataFrame, contested: str = "mean") -> DataFrame:

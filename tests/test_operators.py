@@ -1,7 +1,6 @@
 import math
 import random
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from citegrove.operators import curation, identity, models, quality, ranking, retrieval, scoring
@@ -73,12 +72,40 @@ def test_dense_rrf_caps(spark):
     assert sorted(x["rank"] for x in retrieval.within_budget(t, "q", "t", 85).collect()) == [1, 3]
 
 
-def test_chunks():
-    assert retrieval.pack_paragraphs(None) == [] and retrieval.pack_paragraphs("short") == []
+def test_passages(spark):
     long = "a" * 2500
-    cut = retrieval.pack_paragraphs(long)
-    assert [len(c) for c in cut] == [1100, 1100, 600] and cut[1] == long[950:2050]
-    assert retrieval.pack_paragraphs("b" * 300 + "\n\n" + "c" * 300 + "\n\n" + "d" * 900) == ["b" * 300 + "\n\n" + "c" * 300, "d" * 900]
+    rows = [(1, None), (2, "short"), (3, long), (4, "b" * 300 + "\n\n" + "c" * 300 + "\n\n \n\n" + "d" * 900), (5, "e" * 500 + "\n\n" + long + "\n\n" + "f" * 400 + "\n\n" + "g" * 200), (6, "")]
+    got = {}
+    for r in retrieval.passages(spark.createDataFrame(rows, "k long, t string"), "k", "t").orderBy("k", "pos").collect():
+        got.setdefault(r["k"], []).append(r["passage"])
+    assert set(got) == {3, 4, 5}
+    assert [len(c) for c in got[3]] == [1100, 1100, 600] and got[3][1] == long[950:2050]
+    assert got[4] == ["b" * 300 + "\n\n" + "c" * 300, "d" * 900]
+    assert got[5] == ["e" * 500, long[:1100], long[950:2050], long[1900:] + "\n\n" + "f" * 400, "g" * 200][:4]
+
+
+def test_bm25_with_a_cap(spark, monkeypatch):
+    """The cap of a group inside and both ways of joining give what a plain ranking gives, whatever the partitions."""
+    random.seed(5)
+    words = [f"w{i:02d}" for i in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(random.choices(words, k=8)), random.choice(["x", "y", "z", None])) for i in range(90)], "d long, t string, g string").repartition(5)
+    queries = spark.createDataFrame([(i, " ".join(random.choices(words, k=3))) for i in range(9)], "q long, t string")
+    full = retrieval.bm25(queries, "q", "t", docs, "d", "t", 1000).join(docs.select("d", "g"), "d").collect()
+    want, seen = {}, {}
+    for r in sorted(full, key=lambda r: (r["q"], r["rank"])):
+        seen[r["q"], r["g"]] = seen.get((r["q"], r["g"]), 0) + 1
+        if seen[r["q"], r["g"]] <= 2 and len(want.setdefault(r["q"], [])) < 5:
+            want[r["q"]].append(r["d"])
+    for travelling in (20_000, 1):
+        monkeypatch.setattr(retrieval, "TRAVELLING", travelling)
+        monkeypatch.setattr(retrieval, "DOC_BLOCK", 7)
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+        got = {}
+        for r in sorted(retrieval.bm25(queries, "q", "t", docs, "d", "t", 5, group="g", cap=2).collect(), key=lambda r: (r["q"], r["rank"])):
+            got.setdefault(r["q"], []).append(r["d"])
+        assert got == want
+    assert retrieval.bm25(queries, "q", "t", docs.filter("false"), "d", "t", 5).count() == 0
+    assert retrieval.bm25(queries.filter("false"), "q", "t", docs, "d", "t", 5).count() == 0
 
 
 def test_balanced_top_k(spark):
@@ -177,12 +204,26 @@ def test_curation(spark):
     )
     got = {r["item_id"]: r["relaxed"] for r in curation.prune_relaxed(items, ["subfield", "key"]).collect()}
     assert got == {1: False, 3: True, 4: False}
-    f = pd.DataFrame({"subfields": [["a"], ["a", "b"], ["b"], [], ["a"]]})
-    assert curation.allocate(f, ["a", "b"], 4) == [0, 1, 4, 2] and curation.allocate(f, ["a", "b"], 9) == [0, 1, 4, 2, 3]
-    names = spark.createDataFrame([(1, "g", "KN (Knowledge Neurons)", "KN"), (2, "g", "Knowledge Neurons (KN)", "Knowledge Neurons"), (3, "g", "ROME", "ROME"), (4, "g", None, "")], "item_id long, g string, name string, canon string")
-    assert {(r["item_id"], r["slot"]) for r in curation.merge_aliases(names, ["g"]).collect()} == {(1, 1), (2, 1), (3, 3)}
-    d = spark.createDataFrame([(1, "g", "Pre-edit model baseline", ["a", "b"]), (2, "g", "Pre-edit (unedited) model baseline", ["a"]), (3, "g", "Random seeds", [])], "item_id long, g string, name string, evidence array<string>")
-    assert {(r["item_id"], r["host"]) for r in curation.absorb(d, ["g"]).collect()} == {(1, 1), (2, 1), (3, 3)}
+    tags = [["a"], ["a", "b"], ["b"], [], ["a"]]
+    assert curation.allocate(tags, ["a", "b"], 4) == [0, 1, 4, 2] and curation.allocate(tags, ["a", "b"], 9) == [0, 1, 4, 2, 3] and curation.allocate(tags, ["b", "a"], 3) == [1, 0, 2]
+    kinds = ["control"] + ["confound"] * 4
+    assert curation.allocate_kinds(tags, kinds, ["a", "b"], 4) == [0, 1, 2, 4] and curation.allocate_kinds([["a"]] * 5, ["control"] * 5, ["a"], 4) == [0, 1, 2, 3]
+    names = spark.createDataFrame(
+        [
+            (1, "s", "baselines", None, "KN (Knowledge Neurons)", ["p"], "d"), (2, "t", "baselines", "", "Knowledge Neurons (KN)", ["q", "p"], "longer"), (3, "t", "baselines", None, "ROME", None, None), (4, "t", "baselines", None, None, ["z"], None),
+            (5, "s", "threats", "control", "Pre-edit model baseline", ["a", "b"], None), (6, "t", "threats", "control", "Pre-edit unedited model baseline", ["c"], "x"), (7, "t", "threats", "confound", "Pre-edit model baseline", ["a"], None), (8, "u", "threats", "control", "Random seeds", [" ", None], None),
+        ], "item_id long, subfield string, key string, kind string, name string, evidence array<string>, detail string",
+    ).withColumns({"applies_when": F.array(F.lit("Method comparison"), F.lit("odd")), "role": F.lit(None).cast("string"), "variants": F.lit("clash")})
+    assert {(r["node"], r["slot"]) for r in curation.alias_slots(names).collect()} == {(1, 1), (2, 1), (3, 3), (5, 5), (6, 6), (7, 7), (8, 8)}
+    m = {r["item_id"]: r for r in curation.merge_menu(names).collect()}
+    assert (m[1]["name"], m[1]["evidence"], m[1]["subfields"], m[1]["variants"], m[1]["detail"]) == ("Knowledge Neurons", ["p", "q"], ["s", "t"], ["KN", "KN (Knowledge Neurons)", "Knowledge Neurons (KN)"], "longer")
+    a = {r["item_id"]: r for r in curation.absorb_design(curation.merge_menu(names)).collect()}
+    assert set(a) == {1, 3, 5, 7, 8} and (a[5]["evidence"], a[5]["subfields"], a[5]["variants"], a[5]["detail"], a[5]["applies_when"]) == (["a", "b", "c"], ["s", "t"], ["Pre-edit unedited model baseline"], "x", ["method comparison"])
+    card = [(r["key"], r["place"], r["item_id"]) for r in curation.curate(names, ["t", "s"], "2").collect()]
+    assert sorted(card) == [("baselines", 1, 1), ("threats", 1, 5), ("threats", 2, 8), ("threats", 3, 7)]
+    assert curation.curate(names.filter("false")).count() == 0
+    d = spark.createDataFrame([(1, "g", "Pre-edit model baseline", ["a", "b"]), (2, "g", "Pre-edit (unedited) model baseline", ["a"]), (3, None, "Random seeds", []), (4, None, "the", None)], "item_id long, g string, name string, evidence array<string>")
+    assert {(r["g"], r["item_id"], r["host"]) for r in curation.absorb(d, ["g"]).collect()} == {("g", 1, 1), ("g", 2, 1), (None, 3, 3), (None, 4, 4)}
     k = spark.createDataFrame([(i, "g", "control" if i < 2 else "confound") for i in range(6)], "item_id long, g string, kind string")
     assert sorted(r["item_id"] for r in curation.kind_quota(k, ["g"], [F.col("item_id")], 5).collect()) == [0, 1, 2, 3, 4]
 
