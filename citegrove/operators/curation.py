@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrove.functions.rules import FAMILIES, GENERIC_CLASSES
-from citegrove.functions.text import alias_set, canon_generic, canon_model, claim_types, content_words, squash, strip, taxonomy_tokens, word_contains
+from citegrove.functions.text import alias_set, canon_generic, canon_model, claim_types, content_words, paper_of, squash, strip, taxonomy_tokens, word_contains
 from citegrove.operators.graph import connected, join_skewed
 from citegrove.plans.materialize import settle
 
@@ -321,9 +321,75 @@ def nearest_task(labels: DataFrame, label: str, taxonomy: DataFrame, least: floa
     return best.withColumn("task", F.when(F.col("j") >= least, F.col("task")))
 
 
-def grounded(name: Column, pool: Column) -> Column:
-    """Whether a resource is named in its papers: its squashed name, the name without brackets, or any six of its letters in a row."""
-    s, p = squash(name), squash(pool)
-    bare = squash(F.regexp_replace(name, r"\s*[\(\[].*?[\)\]]\s*", " "))
-    grams = F.when(F.length(s) >= 6, F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - 5)), lambda i: p.contains(F.substring(s, i, F.lit(6)))))
-    return F.coalesce((s != "") & p.contains(s), F.lit(False)) | F.coalesce((bare != "") & p.contains(bare), F.lit(False)) | F.coalesce(grams, F.lit(False))
+def grounded(name: Column, texts: Column) -> Column:
+    """Whether a resource is named in its paper's texts: its squashed name, the name without brackets, or any six of its letters in a row.
+
+    Texts are squashed one by one, so that no name is found across the border of two. A name without letters or digits isn't grounded.
+    """
+    whole = squash(name)
+    bare = squash(F.regexp_replace(name, r"\(.*?\)", ""))
+    pool = F.transform(F.filter(texts, lambda t: t.isNotNull()), squash)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(whole) - 5)), lambda i: F.substring(whole, i, F.lit(6)))
+    named = lambda x: F.coalesce((x != "") & F.exists(pool, lambda t: t.contains(x)), F.lit(False))
+    return named(whole) | named(bare) | F.coalesce((F.length(whole) >= 6) & F.exists(pool, lambda t: F.exists(grams, lambda g: t.contains(g))), F.lit(False))
+
+
+#: Words that two design items may share without saying the same; fixed values.
+SHARED_STOPS = ["the", "a", "an", "of", "for", "and", "or", "to", "on", "in", "with", "that", "is", "are", "be", "by", "as", "it", "this", "not", "same"]
+
+
+def prune_labels(labels: DataFrame, least: int, rounds: int = 2) -> DataFrame:
+    """(problem_id, label): labels of claims that least papers support; claims left without one take those of their paper's others. Repeated rounds times.
+
+    labels: problem_id, label, distinct.
+    """
+    every = labels.select("problem_id", paper_of(F.col("problem_id")).alias("paper")).distinct()
+    now = labels.select("problem_id", "label", paper_of(F.col("problem_id")).alias("paper"))
+    for _ in range(rounds):
+        enough = now.groupBy("label").agg(F.countDistinct("paper").alias("n")).filter(F.col("n") >= least).select("label")
+        kept = settle(now.join(enough, "label", "left_semi").select("problem_id", "label", "paper"))
+        bare = every.join(kept.select("problem_id").distinct(), "problem_id", "left_anti")
+        now = kept.unionByName(bare.join(kept.select("paper", "label").distinct(), "paper").select("problem_id", "label", "paper"))
+    return now.select("problem_id", "label")
+
+
+def telling_words(c: Column) -> Column:
+    """Distinct words of four letters or more that aren't stop words."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z]{4,})"), 1), lambda w: ~w.isin(*SHARED_STOPS)))
+
+
+def guard(items: DataFrame, extraction: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items with their supported evidence, counts): links of an item to a paper that doesn't say it are dropped, then items without a link.
+
+    items: item_id, key, name, text (all that the item says) and evidence (titles), with any other columns; extraction: title, key, text, what was
+    extracted from each paper, which is one row's size. A resource must be named in any of the paper's texts, a design item must share two telling words with
+    those under its own key. counts: key, links_dropped, items_dropped, kept. Null evidence is no link; a nameless item is dropped.
+    """
+    links = settle(items.filter("name <> ''").select("item_id", "key", "name", "text", F.explode(F.array_distinct(F.filter("evidence", lambda e: e.isNotNull()))).alias("title")))
+    papers = extraction.groupBy("title").agg(F.collect_set("text").alias("texts"))
+    own = extraction.groupBy("title", "key").agg(F.array_distinct(F.flatten(F.collect_set(telling_words(F.col("text"))))).alias("words"))
+    met = links.join(papers, "title", "left").join(own, ["title", "key"], "left")
+    shared = F.coalesce(F.size(F.array_intersect("words", telling_words(F.col("text")))) >= 2, F.lit(False))
+    checked = settle(met.select("item_id", "key", "title", F.when(F.col("key").isin(*DESIGN), shared).otherwise(F.coalesce(grounded(F.col("name"), F.col("texts")), F.lit(False))).alias("ok")))
+    supported = checked.filter("ok").groupBy("item_id").agg(F.array_sort(F.collect_list("title")).alias("evidence"))
+    kept = items.drop("evidence").join(supported, "item_id")
+    dropped = checked.groupBy("key").agg(F.count_if(~F.col("ok")).alias("links_dropped"))
+    n_kept = kept.groupBy("key").agg(F.count(F.lit(1)).alias("kept"))
+    n_in = items.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    counts = n_in.join(dropped, "key", "left").join(n_kept, "key", "left").select("key", zero("links_dropped").alias("links_dropped"), (F.col("n") - zero("kept")).alias("items_dropped"), zero("kept").alias("kept"))
+    return kept, counts
+
+
+def traceable(name: Column, known: Column) -> Column:
+    """Whether a recipe's name is, squashed, part of a known name of more than three letters or holds one; known: array of names."""
+    x = squash(name)
+    names = F.filter(F.transform(known, squash), lambda m: F.length(m) > 3)
+    return F.coalesce((x != "") & F.exists(names, lambda m: m.contains(x) | x.contains(m)), F.lit(False))
+
+
+def recipe_checks(recipes: DataFrame, known: Column, fields: list[str], metrics: str) -> DataFrame:
+    """recipes with checks (a flag for each field, and metrics, true if all are traceable) and untraceable (the metrics that aren't)."""
+    bad = F.filter(F.coalesce(metrics, F.array().cast("array<string>")), lambda m: ~traceable(m, known))
+    flags = F.struct(*(traceable(F.col(f), known).alias(f) for f in fields), (F.size(bad) == 0).alias("metrics"))
+    return recipes.withColumns({"untraceable": bad, "checks": flags})

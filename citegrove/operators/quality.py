@@ -18,6 +18,17 @@ def faults(*checks: tuple[Column, Column | str]) -> Column:
     return F.concat_ws("; ", *(F.when(F.coalesce(bad, F.lit(False)), m if isinstance(m, Column) else F.lit(m)) for bad, m in checks))
 
 
+def reference_messages(experiments: Column, roles: Column, claim: Column, draft: Column | None = None) -> Column:
+    """The faults of a reference, one message each, with the numbers of the experiments that are at fault; an empty array for none."""
+    length = lambda e: F.length(F.trim(F.coalesce(e, F.lit(""))))
+    short = F.transform(F.filter(F.transform(experiments, lambda e, i: F.struct(i.alias("i"), length(e).alias("n"))), lambda x: x["n"] < MIN_EXPERIMENT), lambda x: F.format_string("experiments[%d]: %d characters, %d at least", x["i"], x["n"], F.lit(MIN_EXPERIMENT)))
+    odd = F.transform(F.filter(F.transform(roles, lambda r, i: F.struct(i.alias("i"), r.alias("r"))), lambda x: ~F.coalesce(x["r"].isin(*ROLES), F.lit(False))), lambda x: F.format_string("roles[%d]: unknown role %s", x["i"], F.coalesce(x["r"], F.lit("null"))))
+    n, none = F.coalesce(F.size(experiments), F.lit(0)), F.array().cast("array<string>")
+    one = lambda bad, m: F.when(F.coalesce(bad, F.lit(False)), F.array(F.lit(m))).otherwise(none)
+    parts = [one(F.lit(False) if draft is None else draft, "still a draft"), one(n < 2, "needs two experiments"), F.coalesce(short, none), one(F.trim(F.coalesce(claim, F.lit(""))) == "", "claim is blank"), one(F.size(roles) != n, "roles are not parallel"), F.coalesce(odd, none)]
+    return F.concat(*parts)
+
+
 def reference_faults(experiments: Column, roles: Column, claim: Column) -> Column:
     """Faults of a reference: fewer than two experiments, short ones, no claim, roles that aren't parallel or aren't known."""
     short = F.size(F.filter(experiments, lambda e: F.length(F.trim(F.coalesce(e, F.lit("")))) < MIN_EXPERIMENT))
@@ -69,21 +80,28 @@ def audit_faults(rows: DataFrame, by: list[str], index: str, bears: str, duplica
     )
 
 
-def leaked(bundle: DataFrame, sources: DataFrame, block: int = 8, prefix: int = 60, least: int = 25) -> DataFrame:
+def leaked(bundle: DataFrame, sources: DataFrame, block: int = 24, prefix: int = 60, least: int = 25) -> DataFrame:
     """(seq, source_seq): papers of a bundle that are a source paper: equal arXiv number, or a squashed title that contains the other's start.
 
-    bundle and sources: seq, title, arxiv_id, pdf_url, url, doi. Titles are compared where the bundle's has more than least letters. Containment is found by the
-    first block letters of the shorter start, which must stand in the other title, instead of by comparing all with all.
+    bundle and sources: seq, title, arxiv_id, pdf_url, url, doi. Titles are compared where the bundle's has more than least letters; a source's may be
+    of any length but 0. Containment is found by the first block letters of the start, or all of it where it is shorter, which must stand in the other
+    title, instead of by comparing all with all. Null titles and numbers say nothing.
     """
     ids = lambda df: arxiv_number(df["arxiv_id"], df["pdf_url"], df["url"], df["doi"])
     b = bundle.select("seq", ids(bundle).alias("ax"), squash(F.coalesce("title", F.lit(""))).alias("t"))
     s = sources.select(F.col("seq").alias("source_seq"), ids(sources).alias("ax"), squash(F.coalesce("title", F.lit(""))).alias("u"))
     by_id = b.filter("ax <> ''").join(s.filter("ax <> ''"), "ax").select("seq", "source_seq")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - block + 1), lambda i: F.substring(c, i, F.lit(block))))
-    long_b, long_s = b.filter(F.length("t") > least), s.filter(F.length("u") > least)
+
+    def grams(c: Column, n: int) -> Column:
+        at = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(n))))
+
+    long_b, some_s = b.filter(F.length("t") > least), s.filter("u <> ''")
+    lengths = [r["n"] for r in some_s.select(F.least(F.length("u"), F.lit(block)).alias("n")).distinct().collect()]  # block values at most
     start = lambda c: F.left(c, F.lit(prefix))
-    ours_in_theirs = long_b.withColumn("g", F.left("t", F.lit(block))).join(long_s.withColumn("g", F.explode(grams(F.col("u")))), "g").filter(F.col("u").contains(start(F.col("t"))))
-    theirs_in_ours = long_s.withColumn("g", F.left("u", F.lit(block))).join(long_b.withColumn("g", F.explode(grams(F.col("t")))), "g").filter(F.col("t").contains(start(F.col("u"))))
+    ours_in_theirs = long_b.withColumn("g", F.left("t", F.lit(block))).join(some_s.withColumn("g", F.explode(grams(F.col("u"), block))), "g").filter(F.col("u").contains(start(F.col("t"))))
+    all_grams = F.concat(F.array().cast("array<string>"), *(grams(F.col("t"), n) for n in sorted(lengths)))
+    theirs_in_ours = some_s.withColumn("g", F.left("u", F.lit(block))).join(long_b.withColumn("g", F.explode(all_grams)), "g").filter(F.col("t").contains(start(F.col("u"))))
     return by_id.unionByName(ours_in_theirs.select("seq", "source_seq")).unionByName(theirs_in_ours.select("seq", "source_seq")).distinct()
 
 

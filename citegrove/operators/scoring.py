@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from statistics import fmean
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,6 +65,34 @@ def aggregate_runs(passes: DataFrame, order: str = "judged_at") -> DataFrame:
     ).withColumnRenamed("winner", "status")
 
 
+def run_statuses(passes: DataFrame, order: str = "judged_at") -> DataFrame:
+    """(item, run_statuses): the statuses of an item's passes in order, null ones kept."""
+    each = passes.groupBy(*ITEM).agg(F.array_sort(F.collect_list(F.struct(order, "status"))).alias("x"))
+    return each.select(*ITEM, F.transform("x", lambda x: x["status"]).alias("run_statuses"))
+
+
+def aggregate_sufficiency(runs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n_runs, sufficiency, reasoning, missing, missing_all_runs): what an arm's runs say as a whole.
+
+    runs: by, run, sufficiency, reasoning, missing (array). sufficiency needs a strict majority of the non-null ones, else it is null; reasoning and
+    missing are those of the first run of that sufficiency, null counting as one, or of the first run; missing_all_runs is the sorted union.
+    """
+    x = runs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("run", "sufficiency", "reasoning", "missing"))).alias("x"))
+    said = F.filter(F.transform("x", lambda r: r["sufficiency"]), lambda s: s.isNotNull())
+    most = F.get(F.filter(F.array_distinct(said), lambda s: 2 * F.size(F.filter(said, lambda t: t == s)) > F.size(said)), F.lit(0))
+    x = x.withColumn("sufficiency", most)
+    first = F.coalesce(F.get(F.filter("x", lambda r: r["sufficiency"].eqNullSafe(F.col("sufficiency"))), F.lit(0)), F.get("x", F.lit(0)))
+    none = F.array().cast("array<string>")
+    union = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform("x", lambda r: F.coalesce(r["missing"], none))), lambda m: m.isNotNull())))
+    return x.withColumn("first", first).select(*by, F.size("x").cast("long").alias("n_runs"), "sufficiency", F.coalesce("first.reasoning", F.lit("")).alias("reasoning"), F.coalesce("first.missing", none).alias("missing"), union.alias("missing_all_runs"))
+
+
+def run_scores(items: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n_contested, judge_runs, run_agreement): items without a majority, the most passes of an item, and the share of items with one."""
+    contested = F.col("status") == CONTESTED
+    return items.groupBy(*by).agg(F.count_if(contested).alias("n_contested"), F.max("passes").alias("judge_runs"), F.avg((~F.coalesce(contested, F.lit(False))).cast("double")).alias("run_agreement"))
+
+
 def item_value(contested: str = "mean") -> Column:
     """The worth of an aggregated item; a contested one counts its mean or zero."""
     return F.when(F.col("status") == CONTESTED, F.col("mean_value") if contested == "mean" else F.lit(0.0)).otherwise(value_of(F.col("status")))
@@ -76,8 +105,13 @@ def recall(items: DataFrame, by: list[str], contested: str = "mean") -> DataFram
 
 def recall_at(items: DataFrame, by: list[str], k: int, contested: str = "zero") -> DataFrame:
     """Worth recovered if only the first k experiments were run: an item counts if one of them is among its experiments."""
+    return items.groupBy(*by).agg(recall_within(k, contested).alias("recall_at"))
+
+
+def recall_within(k: int, contested: str = "zero") -> Column:
+    """The aggregate of recall_at, so that several k can share one pass."""
     hit = F.coalesce(F.array_min("covered_by") < k, F.lit(False))
-    return items.groupBy(*by).agg(F.avg(F.when(hit, F.coalesce(item_value(contested), F.lit(0.0))).otherwise(0.0)).alias("recall_at"))
+    return F.avg(F.when(hit, F.coalesce(item_value(contested), F.lit(0.0))).otherwise(0.0))
 
 
 def score_run(items: DataFrame, by: list[str], proposed: int) -> DataFrame:
@@ -138,9 +172,9 @@ def matched(items: DataFrame, by: list[str], k: int | None, proposed: int | str)
 
 
 def paired(scores: DataFrame, unit: list[str], arm: str, value: str, a: str, b: str) -> DataFrame:
-    """(unit, a, b, delta): the value in both arms, units without one of them left out."""
+    """(unit, a, b, delta): the value in both arms and b less a, units without one of them left out."""
     wide = scores.filter(F.col(arm).isin(a, b)).groupBy(*unit).pivot(arm, [a, b]).agg(F.avg(value))
-    return wide.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*unit, F.col(a).alias("a"), F.col(b).alias("b"), (F.col(a) - F.col(b)).alias("delta"))
+    return wide.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*unit, F.col(a).alias("a"), F.col(b).alias("b"), (F.col(b) - F.col(a)).alias("delta"))
 
 
 def hash_bootstrap(pairs: DataFrame, group: list[str], value: Column, order: str, rounds: int, seed: str, size: Column | None = None) -> DataFrame:
@@ -173,8 +207,8 @@ def seeded_bootstrap(pairs: DataFrame, group: list[str], value: str, order: str,
     def draw(f: pd.DataFrame) -> pd.DataFrame:
         v = f.sort_values(order)[value].tolist()
         rng = random.Random(seed)
-        means = sorted(sum(rng.choice(v) for _ in v) / len(v) for _ in range(rounds))
-        row = {c: f[c].iloc[0] for c in group} | {"n": len(v), "mean": sum(v) / len(v), "lo": means[int(0.025 * rounds)], "hi": means[int(0.975 * rounds)]}
+        means = sorted(fmean(rng.choices(v, k=len(v))) for _ in range(rounds))
+        row = {c: f[c].iloc[0] for c in group} | {"n": len(v), "mean": fmean(v), "lo": means[int(0.025 * rounds)], "hi": means[int(0.975 * rounds)]}
         return pd.DataFrame([row])
 
     kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in group)

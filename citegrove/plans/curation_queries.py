@@ -10,7 +10,7 @@ from citegrove.functions import text
 from citegrove.operators import curation as c
 from citegrove.operators import quality
 from citegrove.plans.registry import REGISTRY
-from citegrove.plans.sqltext import ALIASES, CANON_GENERIC, CANON_MODEL, SQUASH, strip_sql
+from citegrove.plans.sqltext import ALIASES, CANON_GENERIC, CANON_MODEL, NORM_TITLE, SQUASH, strip_sql
 from citegrove.plans.text_queries import CONTENT
 from citegrove.session import table
 
@@ -143,17 +143,16 @@ def curation_report(spark, d):
     return r.select("key", "n_in", "n_out", "relaxed", F.to_json("by_subfield").alias("by_subfield"))
 
 
-@q("grounding_guard", f"""with e as (select item_id, name, unnest(evidence) as title from menu_item where key in {_RES} and name is not null), p as (select item_id, any_value(name) as name, {SQUASH("string_agg(title, ' ' order by title)")} as pool from e where title is not null group by item_id)
-select item_id, ({SQUASH('name')} <> '' and contains(pool, {SQUASH('name')})) or (length({SQUASH('name')}) >= 6 and len(list_filter(range(1, greatest(2, length({SQUASH('name')}) - 4)), lambda i: contains(pool, substr({SQUASH('name')}, i::int, 6)))) > 0) as grounded from p""")
-def grounding_guard(spark, d):
-    """Whether each resource is named, whole or by six letters in a row, in the titles that vouch for it."""
-    i = _items(spark, d).filter(F.col("key").isin(*c.RESOURCES) & F.col("name").isNotNull())
-    pool = F.array_join(F.array_sort(F.filter("evidence", lambda t: t.isNotNull())), " ")
-    return i.filter(F.exists("evidence", lambda t: t.isNotNull())).select("item_id", _whole_or_gram(F.col("name"), pool).alias("grounded"))
+_W = SQUASH('name')
+_B = SQUASH(r"regexp_replace(name, '\(.*?\)', '', 'g')")
 
 
-def _whole_or_gram(name, pool):
-    return c.grounded(F.regexp_replace(name, r"[\(\)\[\]]", ""), pool)
+@q("grounding_guard", f"""with e as (select item_id, name, unnest(evidence) as title from menu_item where key in {_RES} and name is not null), p as (select item_id, any_value(name) as name, list({SQUASH("title")}) as pool from e where title is not null group by item_id)
+select item_id, len(list_filter(pool, lambda t: ({_W} <> '' and contains(t, {_W})) or ({_B} <> '' and contains(t, {_B})) or (length({_W}) >= 6 and len(list_filter(range(1, greatest(2, length({_W}) - 4)), lambda i: contains(t, substr({_W}, i::int, 6)))) > 0))) > 0 as grounded from p""")
+def grounding_guard(spark, d):
+    """Whether each resource is named, whole, without brackets or by six letters in a row, in a title that vouches for it."""
+    i = _items(spark, d).filter(F.col("key").isin(*c.RESOURCES) & F.col("name").isNotNull() & F.exists("evidence", lambda t: t.isNotNull()))
+    return i.select("item_id", c.grounded(F.col("name"), F.col("evidence")).alias("grounded"))
 
 
 @q("render_section", f"""with {_PRUNED}, z as (select *, row_number() over (partition by subfield, key order by n desc, name, item_id) as rank from p)
@@ -213,24 +212,29 @@ def label_consolidate(spark, d):
     return k.groupBy("seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "f"))), lambda y: y["f"]), ",").alias("labels"))
 
 
-@q("support_prune", """with l0 as (select distinct problem_id, r as label from (select problem_id, unnest(roles) as r from benchmark_problem) where r is not null),
- s1 as (select label from l0 group by label having count(distinct problem_id) >= 3), l1 as (select * from l0 where label in (select label from s1)),
- s2 as (select label from l1 group by label having count(distinct problem_id) >= 3) select problem_id, label from l1 where label in (select label from s2)""")
+_PAPER_OF = r"regexp_replace(problem_id, '_c\d+$', '')"
+
+
+def _prune_sql(before: str, n: int) -> str:
+    return f"""s{n} as (select label from {before} group by label having count(distinct {_PAPER_OF}) >= 3), k{n} as (select * from {before} where label in (select label from s{n})),
+ l{n} as (select problem_id, label from k{n} union select p.problem_id, k.label from (select problem_id from l0 where problem_id not in (select problem_id from k{n})) p join k{n} k on {_PAPER_OF.replace('problem_id', 'k.problem_id')} = {_PAPER_OF.replace('problem_id', 'p.problem_id')})"""
+
+
+@q("support_prune", f"""with l0 as (select distinct problem_id, r as label from (select problem_id, unnest(roles) as r from benchmark_problem) where r is not null), {_prune_sql('l0', 1)}, {_prune_sql('l1', 2)}
+select problem_id, label from l2""")
 def support_prune(spark, d):
-    """Labels that three problems support, pruned twice."""
-    labels = table(spark, d, "benchmark_problem").select("problem_id", F.explode("roles").alias("label")).filter("label is not null").distinct()
-    for _ in range(2):
-        kept = labels.groupBy("label").agg(F.countDistinct("problem_id").alias("n")).filter("n >= 3").select("label")
-        labels = labels.join(kept, "label", "left_semi")
-    return labels.select("problem_id", "label")
+    """Labels that three papers support, pruned twice; a claim that loses all takes those of its paper's other claims."""
+    first = table(spark, d, "benchmark_problem").select("problem_id", F.explode("roles").alias("label")).filter("label is not null").distinct()
+    return c.prune_labels(first, 3)
 
 
-@q("sibling_fill", r"""with b as (select problem_id, regexp_replace(problem_id, '_c\d+$', '') as paper, field from benchmark_problem)
-select a.problem_id, coalesce(a.field, min(s.field)) as field from b a left join b s on s.paper = a.paper and s.problem_id <> a.problem_id group by a.problem_id, a.field""")
+@q("sibling_fill", r"""with b as (select problem_id, regexp_replace(problem_id, '_c\d+$', '') as paper, field from benchmark_problem), f as (select paper, field, min(problem_id) as first from b where field is not null group by all), s as (select paper, string_agg(field, '; ' order by first) as fields from f group by paper)
+select problem_id, coalesce(b.field, s.fields) as field from b left join s using (paper)""")
 def sibling_fill(spark, d):
-    """A claim without a field takes that of the claims of the same paper."""
+    """A claim without a field takes those of the other claims of its paper, in order, each once."""
     b = table(spark, d, "benchmark_problem").select("problem_id", text.paper_of(F.col("problem_id")).alias("paper"), "field")
-    known = b.groupBy("paper").agg(F.min("field").alias("sibling"))
+    f = b.filter("field is not null").groupBy("paper", "field").agg(F.min("problem_id").alias("first"))
+    known = f.groupBy("paper").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "field"))), lambda x: x["field"]), "; ").alias("sibling"))
     return b.join(known, "paper", "left").select("problem_id", F.coalesce("field", "sibling").alias("field"))
 
 
@@ -294,7 +298,7 @@ def dq_audit(spark, d):
 
 _AX = r"regexp_replace(regexp_replace(coalesce(nullif(arxiv_id, ''), nullif(regexp_extract(coalesce(doi, ''), '(?i)10[.]48550/arxiv[.]([0-9]{4}[.][0-9]{4,5})', 1), ''), ''), '^\s+|\s+$', '', 'g'), 'v\d+$', '')"
 _LEAK = f"""b as (select seq, {_AX} as ax, {SQUASH("coalesce(title, '')")} as t from paper where paper_type <> 'survey' or paper_type is null), s as (select seq as source_seq, {_AX} as ax, {SQUASH("coalesce(title, '')")} as u from paper where paper_type = 'survey'),
- lk as (select distinct b.seq, s.source_seq from b join s on (b.ax <> '' and b.ax = s.ax) or (length(b.t) > 25 and length(s.u) > 25 and (contains(s.u, left(b.t, 60)) or contains(b.t, left(s.u, 60)))))"""
+ lk as (select distinct b.seq, s.source_seq from b join s on (b.ax <> '' and b.ax = s.ax) or (length(b.t) > 25 and s.u <> '' and (contains(s.u, left(b.t, 60)) or contains(b.t, left(s.u, 60)))))"""
 
 
 def _leaks(spark, d):
@@ -329,11 +333,13 @@ def key_symdiff(spark, d):
     return quality.symmetric_difference(a, table(spark, d, "taxonomy").select(F.col("task").alias("label")), ["label"])
 
 
-@q("screen_keep", "select p.seq from paper p left join (select distinct hit_id, bucket = 'norms' as keep from paper_hit) h on h.hit_id = p.seq where coalesce(h.keep, true)")
+@q("screen_keep", f"""with h as (select {NORM_TITLE('title')} as t, bool_or(bucket = 'norms') as keep from paper_hit where bucket is not null group by 1)
+select p.seq from paper p left join h on h.t = {NORM_TITLE('p.title')} where coalesce(h.keep, true)""")
 def screen_keep(spark, d):
-    """Papers kept unless the screen says no; where the screen has nothing, the paper stays."""
-    h = table(spark, d, "paper_hit").select(F.col("hit_id").alias("seq"), (F.col("bucket") == "norms").alias("keep")).distinct()
-    return table(spark, d, "paper").select("seq").join(h, "seq", "left").filter(F.coalesce("keep", F.lit(True))).select("seq")
+    """Papers kept unless the screen, here the buckets of the hits of their title, says no; where it has nothing, the paper stays."""
+    h = table(spark, d, "paper_hit").filter("bucket is not null").groupBy(text.normalize_title(F.col("title")).alias("t")).agg(F.max(F.col("bucket") == "norms").alias("keep"))
+    p = table(spark, d, "paper").select("seq", text.normalize_title(F.col("title")).alias("t"))
+    return p.join(h, "t", "left").filter(F.coalesce("keep", F.lit(True))).select("seq")
 
 
 @q("fulltext_semi", "select seq from paper where seq in (select doc_id from documents where length(text) >= 500)")

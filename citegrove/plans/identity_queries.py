@@ -31,12 +31,12 @@ _FLAT = """seq, n, title, venue, url, doi, arxiv_id, length(abstract) as abstrac
   array_to_string(sources, ',') as sources, array_to_string(topic_ids, ',') as topics, array_to_string(buckets, ',') as buckets"""
 
 
-def _flat(df):
+def _flat(df, *more):
     some = lambda c: F.filter(c, lambda x: x.isNotNull())
     return df.select(
         "seq", "n", "title", "venue", "url", "doi", "arxiv_id", F.length(F.coalesce("abstract", F.lit(""))).cast("long").alias("abstract_length"), F.get("authors", F.lit(0)).alias("author"),
         "year", "citations", F.round("semantic_score", 6).alias("semantic_score"),
-        *(F.array_join(some(c), ",").alias(a) for c, a in (("sources", "sources"), ("topic_ids", "topics"), ("buckets", "buckets"))),
+        *(F.array_join(some(c), ",").alias(a) for c, a in (("sources", "sources"), ("topic_ids", "topics"), ("buckets", "buckets"))), *more,
     )
 
 
@@ -52,7 +52,7 @@ def merge_records(spark, d):
 select {_FLAT}, true as keyed from again union all select {_FLAT.replace('seq, n,', 'seq, 1::bigint as n,', 1)}, false from v where version = ''""")
 def dedup_version(spark, d):
     v = identity.merge_by_version(identity.merge_by_identity(table(spark, d, "paper")))
-    return _flat(v).join(v.select("seq", "keyed"), "seq")
+    return _flat(v, "keyed")
 
 
 @q("dedup_representative", f"""with k as (select seq, title, authors, coalesce(abstract, '') as abstract, {DEDUP_KEY} as key from paper),

@@ -47,6 +47,18 @@ def aggregate_runs(spark, d):
     return i.select(*s.ITEM, "status", F.array_join(F.col("covered_by").cast("array<string>"), ",").alias("covered_by"), r6("mean_value", "mean_value"), F.col("chain").cast("long").alias("chain"), "passes")
 
 
+@q("run_statuses", f"with {_PASSES} select problem_id, model, condition, ref_index, string_agg(coalesce(status, '-'), ',' order by judged_at, status nulls first) as run_statuses from v group by all")
+def run_statuses(spark, d):
+    """The statuses of each item's passes in order of time."""
+    r = s.run_statuses(_passes(spark, d))
+    return r.select(*s.ITEM, F.array_join("run_statuses", ",", "-").alias("run_statuses"))
+
+
+@q("run_scores", f"with {_ITEMS} select problem_id, model, condition, count(*) filter (where status = 'CONTESTED') as n_contested, max(passes) as judge_runs, round(avg(case when status = 'CONTESTED' then 0.0 else 1.0 end)::double, 6) as run_agreement from iv group by problem_id, model, condition")
+def run_scores(spark, d):
+    return s.run_scores(_items(spark, d), s.ARM).select(*s.ARM, "n_contested", "judge_runs", r6("run_agreement", "run_agreement"))
+
+
 @q("label_vote", f"""with {_PASSES}, t as (select problem_id, ref_index, status, count(distinct judge) as n from v where status is not null group by all)
 select problem_id, ref_index, array_to_string(list(status order by status), ',') as kept from t where n >= 2 group by all""")
 def label_vote(spark, d):
@@ -62,8 +74,7 @@ _RECALL = "count(*) as n, round(avg(value), 6) as recall, round(avg(case when st
 def recall(spark, d):
     """Recall of each arm, a contested item at its mean and at zero."""
     i = _items(spark, d)
-    zero = s.recall(i, s.ARM, "zero").select(*s.ARM, r6("recall", "recall_zero"))
-    return s.recall(i, s.ARM).select(*s.ARM, "n", r6("recall", "recall"), r6("strict", "strict")).join(zero, s.ARM)
+    return i.groupBy(*s.ARM).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(s.item_value()), "recall"), r6(F.avg((F.col("status") == "covered").cast("double")), "strict"), r6(F.avg(s.item_value("zero")), "recall_zero"))
 
 
 @q("strict_recall", f"with {_ITEMS}, b as (select distinct problem_id, ref_index, role from (select problem_id, unnest(roles) as role, generate_subscripts(roles, 1) - 1 as ref_index from benchmark_problem)) select model, condition, count(*) as n, round(avg(case when status = 'covered' then 1.0::double when status is not null then 0.0::double end), 6) as strict from iv join b using (problem_id, ref_index) where role in ('control', 'confound') group by model, condition")
@@ -116,15 +127,15 @@ def unused_proposed(spark, d):
 
 @q("recall_at_k", f"with {_ITEMS} select problem_id, model, condition, " + ", ".join(f"round(avg(case when list_min(covered_by) < {k} then coalesce(value0, 0) else 0.0 end)::double, 6) as r{k}" for k in (1, 3, 6)) + " from iv group by problem_id, model, condition")
 def recall_at_k(spark, d):
-    i = _items(spark, d)
-    out = None
-    for k in (1, 3, 6):
-        one = s.recall_at(i, s.ARM, k).select(*s.ARM, r6("recall_at", f"r{k}"))
-        out = one if out is None else out.join(one, s.ARM)
-    return out
+    return _items(spark, d).groupBy(*s.ARM).agg(*(r6(s.recall_within(k), f"r{k}") for k in (1, 3, 6)))
+
 
+_NAMED = ", ".join(f"count(*) filter (where status = 'covered' and ({' or '.join(f'list_contains(covered_by, {e})' for e in es)})) as n{''.join(map(str, es))}" for es in ((0,), (1,), (2,), (0, 1), (0, 2), (1, 2), (0, 1, 2)))
 
-@q("matched_at_k")
+
+@q("matched_at_k", f"""with {_ITEMS}, h as (select problem_id, model, condition, count(*) as n_items, {_NAMED} from iv group by all),
+ ma as (select *, least(3, n0 + 2, n1 + 2, n2 + 2, n01 + 1, n02 + 1, n12 + 1, n012) as matched from h)
+select problem_id, model, condition, n_items, 3::bigint as k, matched, matched / 3::double as precision, 2 * matched / (3 + n_items)::double as f1 from ma""")
 def matched_at_k(spark, d):
     """Largest strict matching among the first three experiments of each arm."""
     return s.matched(_items(spark, d), s.ARM, 3, 5)
@@ -181,13 +192,13 @@ def _one(spark, d):
 
 # few claims have a model's arms in two conditions here, so the pairs are those of a judge and model over whatever they saw
 _PAIRED = _ONE + """, us as (select judge, model, condition, avg(case status when 'covered' then 1.0::double when 'partial' then 0.5::double else 0.0::double end) as recall from one group by all),
- pd as (select judge, model, avg(recall) filter (where condition = 'card') as a, avg(recall) filter (where condition = 'nocard') as b from us group by all),
- pr as (select judge, model, a, b, a - b as delta from pd where a is not null and b is not null)"""
+ pd as (select judge, model, avg(recall) filter (where condition = 'nocard') as a, avg(recall) filter (where condition = 'card') as b from us group by all),
+ pr as (select judge, model, a, b, b - a as delta from pd where a is not null and b is not null)"""
 
 
 def _paired(spark, d):
     seen = _one(spark, d).groupBy("judge", "model", "condition").agg(F.avg(s.value_of(F.col("status"))).alias("recall"))
-    return s.paired(seen, ["judge", "model"], "condition", "recall", "card", "nocard")
+    return s.paired(seen, ["judge", "model"], "condition", "recall", "nocard", "card")
 
 
 @q("paired_delta", f"with {_PAIRED} select judge, model, round(a, 6) as a, round(b, 6) as b, round(delta, 6) as delta from pr")
@@ -294,12 +305,21 @@ def complete_case_intersect(spark, d):
     return arms[0].intersect(arms[1]).intersect(arms[2])
 
 
-@q("suite_report", f"""with {_ONE}, x as (select *, status = 'covered' as ok, ref_index = 0 as target from one) select judge, count(*) filter (where target) as n_target, count(*) filter (where target and ok) as passed, count(*) filter (where not target) as n_other, count(*) filter (where not target and not ok) as collateral from x group by judge""")
+@q("suite_report", f"""with {_ONE}, x as (select *, status = 'covered' as ok, ref_index = 0 as target from one),
+ pa as (select problem_id, model, condition, ref_index, judge, run, arg_max(status, (judged_at, status)) as status from v where status is not null and judge is not null group by all),
+ ag as (select judge, count(*) as n_again, count(*) filter (where k = 1) as same from (select judge, count(distinct status) as k, count(*) as n from pa group by problem_id, model, condition, ref_index, judge) where n > 1 group by judge),
+ r as (select judge, count(*) filter (where target) as n_target, count(*) filter (where target and ok) as passed, count(*) filter (where not target) as n_other, count(*) filter (where not target and not ok) as collateral from x group by judge)
+select r.*, coalesce(n_again, 0) as n_again, round(same / n_again::double, 6) as self_agreement from r left join ag using (judge)""")
 def suite_report(spark, d):
-    """Passes on the target item and collateral misses on the others, by judge."""
+    """Passes on the target item, collateral misses on the others, and the share of items on which all passes agree, by judge."""
     x = _one(spark, d).withColumn("ok", F.col("status") == "covered").withColumn("target", F.col("ref_index") == 0)
     t, ok = F.col("target"), F.col("ok")
-    return x.groupBy("judge").agg(F.count_if(t).alias("n_target"), F.count_if(t & ok).alias("passed"), F.count_if(~t).alias("n_other"), F.count_if(~t & ~ok).alias("collateral"))
+    r = x.groupBy("judge").agg(F.count_if(t).alias("n_target"), F.count_if(t & ok).alias("passed"), F.count_if(~t).alias("n_other"), F.count_if(~t & ~ok).alias("collateral"))
+    v = _passes(spark, d).filter("status is not null and judge is not null")
+    runs = v.groupBy(*s.ITEM, "judge", "run").agg(F.max_by("status", F.struct("judged_at", "status")).alias("status"))
+    again = runs.groupBy(*s.ITEM, "judge").agg(F.countDistinct("status").alias("k"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    agree = again.groupBy("judge").agg(F.count(F.lit(1)).alias("n_again"), r6(F.avg((F.col("k") == 1).cast("int")), "self_agreement"))
+    return r.join(agree, "judge", "left").withColumn("n_again", F.coalesce("n_again", F.lit(0)))
 
 
 @q("band_check", f"with {_ARMSQL}, bd(condition, low, high) as (values ('nocard', 0.2, 0.5), ('rag', 0.4, 0.6), ('retr', 0.4, 0.6), ('card', 0.5, 0.9)) select condition, n, round(recall, 6) as recall, recall between low::double and high::double as in_band from (select condition, count(*) as n, avg(recall) as recall from ar group by condition) join bd using (condition)")

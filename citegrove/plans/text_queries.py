@@ -105,7 +105,8 @@ _TYPES = "[" + ", ".join(f"'{t}'" for t in text.CLAIM_TYPES) + "]"
  o as (select t, i from (select unnest({_TYPES}) as t, generate_subscripts({_TYPES}, 1) as i))
 select s.subfield, coalesce(string_agg(o.t, '; ' order by o.i), '') as types from (select distinct subfield from menu_item) s left join t on t.subfield is not distinct from s.subfield left join o on o.t = t.t group by s.subfield""")
 def claim_types(spark, d):
-    g = table(spark, d, "menu_item").groupBy("subfield").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("applies_when", F.array().cast("array<string>"))))).alias("tags"))
+    m = table(spark, d, "menu_item").select("subfield", F.explode_outer("applies_when").alias("tag")).withColumn("tag", text.strip(F.lower("tag")))
+    g = m.withColumn("tag", F.when(F.col("tag").isin(*text.CLAIM_TYPES), F.col("tag"))).groupBy("subfield").agg(F.collect_set("tag").alias("tags"))
     return g.select("subfield", F.array_join(text.claim_types(F.col("tags")), "; ").alias("types"))
 
 
@@ -134,9 +135,9 @@ def html_text_exact(spark, d):
     return p.select("doc_id", html.html_text_exact(F.col("page")).alias("body"))
 
 
-def _positions(pattern: str, name: str) -> str:
+def _positions(pattern: str, name: str, wanted: str = "true") -> str:
     return rf"""{name}p as (select doc_id, unnest(regexp_split_to_array(text, '{pattern}')) as part, generate_subscripts(regexp_split_to_array(text, '{pattern}'), 1) as i, regexp_extract_all(text, '{pattern}') as hits from documents where text is not null),
- {name} as (select doc_id, pos from (select doc_id, i <= len(hits) as hit, sum(length(part) + coalesce(length(hits[i]), 0)) over (partition by doc_id order by i) - coalesce(length(hits[i]), 0) as pos from {name}p) where hit)"""
+ {name} as (select doc_id, pos from (select doc_id, i <= len(hits) as hit, sum(length(part) + coalesce(length(hits[i]), 0)) over (partition by doc_id order by i) - coalesce(length(hits[i]), 0) as pos, coalesce({wanted}, false) as wanted from {name}p) where hit and wanted)"""
 
 
 @q("main_body", rf"""with {_positions('[0-9]+', 'nu')}, {_positions('Table|Fig', 'he')}, mk as (select doc_id, pos, 1 as num from nu union all select doc_id, pos, 0 from he),
@@ -148,6 +149,15 @@ def main_body(spark, d):
     return retrieval.main_body(table(spark, d, "documents"), "doc_id", "text", "[0-9]+", "Table|Fig", least=3, least_alone=8)
 
 
+@q("main_body_references", rf"""with {_positions('[0-9]+', 'nu', "length(hits[i]) = 4 and hits[i] between '1950' and '2039'")}, {_positions(text.REFERENCES, 'he')}, mk as (select doc_id, pos, 1 as num from nu union all select doc_id, pos, 0 from he),
+ ct as (select *, sum(num) over (partition by doc_id order by pos range between current row and 2999 following) as n from mk), dl as (select doc_id, length(text) as size from documents where text is not null),
+ cu as (select doc_id, coalesce(min(pos) filter (where num = 0 and n >= 10), min(pos) filter (where num = 1 and n >= 22)) as cut from ct join dl using (doc_id) where pos >= floor(size * 0.3::double) group by doc_id)
+select doc_id, cast(coalesce(cut, size) as bigint) as cut from dl left join cu using (doc_id)""")
+def main_body_references(spark, d):
+    """Where each text's main body ends, by headings and years of reference lists."""
+    return retrieval.main_body(table(spark, d, "documents"), "doc_id", "text", text.YEAR, text.REFERENCES)
+
+
 @q("chunk_window", """select doc_id, i as pos, md5(substr(text, i * 950 + 1, 1100)) as piece from (
   select doc_id, text, unnest(range(0, greatest(1, cast(ceil((length(text) - 150) / 950.0) as int)))) as i from documents where length(text) > 0)
 where length(substr(text, i * 950 + 1, 1100)) > 200""")
@@ -199,11 +209,17 @@ def problem_ids(spark, d):
     return b.select("problem_id", paper.alias("paper"), text.problem_id(paper, claim).alias("again"))
 
 
-SELF_REF = r"(?i)\b(we|our)\b"
-FIGURE = r"(?i)\b(table|fig\.|figure)\s*\d+"
+# Wordings that point back at the paper, or at what its reader can't see.
+SELF_REF = r"(?i)\bthe authors'?\b|\bthis (?:paper|work|study)\b|\bwe (?:propose|introduce|present)\b|\bour (?:method|approach|system|model)\b"
+FIGURE = (
+    r"(?i)\b(?:orange|green|blue|red|purple|dashed|solid)\s+(?:line|curve|bar)s?\b|\bFig(?:ure)?\.?\s*\d|\bTable\s*\d|\bpanel\b|\bsubplot\b"
+    r"|\bleft (?:panel|plot)\b|\bas shown in the (?:figure|plot|chart)\b"
+)
+VENUE_BAD = r"(?i)under review|submitted to|submission|workshop|findings|tiny paper|position|blog|demo track|student"
+VENUE_GOOD = r"(?i)accept|to appear|camera|published|proceedings|main (?:track|conference)|oral|spotlight|poster|^\s*(?:neurips|icml|iclr|cvpr|eccv|acl|emnlp|naacl|corl|rss|icra|aaai) 20"
 
 
-@q("selfref_flags", r"select doc_id, regexp_matches(text, '(?i)\b(we|our)\b') as self_ref, nullif(regexp_extract(text, '(?i)\b(table|fig\.|figure)\s*\d+', 0), '') as figure from documents where text is not null")
+@q("selfref_flags", f"select doc_id, regexp_matches(text, '{SELF_REF.replace(chr(39), chr(39) * 2)}') as self_ref, nullif(regexp_extract(text, '{FIGURE}', 0), '') as figure from documents where text is not null")
 def selfref_flags(spark, d):
     docs = table(spark, d, "documents").filter("text is not null")
     return docs.select("doc_id", F.col("text").rlike(SELF_REF).alias("self_ref"), F.nullif(F.regexp_extract("text", FIGURE, 0), F.lit("")).alias("figure"))
@@ -218,9 +234,11 @@ def paper_type(spark, d):
     return table(spark, d, "paper").select("seq", text.paper_type(F.col("title"), F.col("abstract")).alias("kind"))
 
 
-@q("venue_ok", "select seq, coalesce(regexp_matches(venue, '(?i)conference|journal|annals|transactions|symposium') and not regexp_matches(venue, '(?i)workshop|preprint|proc'), false) as ok from paper")
+@q("venue_ok", f"select seq, coalesce(regexp_matches(venue, '{VENUE_GOOD}') and not regexp_matches(venue, '{VENUE_BAD}'), false) as ok from (select seq, case when seq % 3 = 0 then 'Accepted at ' || venue || ', oral' else venue end as venue from paper)")
 def venue_ok(spark, d):
-    return table(spark, d, "paper").select("seq", text.matches_but_not(F.col("venue"), "(?i)conference|journal|annals|transactions|symposium", "(?i)workshop|preprint|proc").alias("ok"))
+    """Whether a comment names an accepted main paper; the papers' venues, every third with a remark as authors add it."""
+    comment = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("Accepted at "), "venue", F.lit(", oral"))).otherwise(F.col("venue"))
+    return table(spark, d, "paper").select("seq", text.matches_but_not(comment, VENUE_GOOD, VENUE_BAD).alias("ok"))
 
 
 AUTHORITY = "case when coalesce(year, 0) between 1 and 2026 then ln(1 + coalesce(citations, 0)::double / greatest(1, 2026 - year + 1)) else 0.5 * ln(1 + coalesce(citations, 0)::double) end"

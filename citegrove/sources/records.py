@@ -116,6 +116,7 @@ class Sources:
 
     def __init__(self) -> None:
         self._by_name: dict[str, Callable[[str, int], DataFrame]] = {}
+        self.failed: list[tuple[int, str, str, str]] = []
 
     def register(self, name: str, search: Callable[[str, int], DataFrame]) -> None:
         self._by_name[name] = search
@@ -126,10 +127,18 @@ class Sources:
         return {n: self._by_name[n] for n in names}
 
     def search(self, names: list[str], queries: list[tuple[str, str]], limit: int) -> DataFrame:
-        """The union of all sources over (query, bucket) pairs, tagged with both and numbered by call; a source that fails gives its error."""
-        legs = []
+        """The union of all sources over (query, bucket) pairs, tagged with both and numbered by call.
+
+        A call that fails is left out and its error noted in failed, as (call, source, query, error); if none is left, an error is raised.
+        """
+        legs, self.failed = [], []
         for call, (query, bucket, name, search) in enumerate((q, b, n, s) for q, b in queries for n, s in self.get(names).items()):
-            legs.append(stamped(search(query, limit), name, query, bucket).withColumn("call", F.lit(call)))
+            try:
+                legs.append(stamped(search(query, limit), name, query, bucket).withColumn("call", F.lit(call)))
+            except Exception as e:
+                self.failed.append((call, name, query, f"{type(e).__name__}: {e}"[:300]))
+        if not legs:
+            raise ValueError(f"no call gave an answer: {self.failed or 'no query or no source'}")
         out = legs[0]
         for leg in legs[1:]:
             out = out.unionByName(leg)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from citegrove.operators.identity import missing_keys, upsert_latest
@@ -25,9 +25,9 @@ def append_new(df: DataFrame, path: str, key: str) -> int:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     old = _old(df.sparkSession, path, schema)
     new = df if old is None else missing_keys(df, old, [key])
-    before = 0 if old is None else old.count()
-    new.write.mode("append").json(path)
-    return df.sparkSession.read.schema(schema).json(path).count() - before
+    seen = Observation()
+    new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").json(path)
+    return seen.get["n"]
 
 
 def upsert_file(new: DataFrame, path: str, key: str, version: str, to: str) -> None:

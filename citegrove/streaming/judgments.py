@@ -17,7 +17,7 @@ def read_judgments(spark: SparkSession, folder: str, delay: str = "1 day") -> Da
 
 
 def keep_latest(stream: DataFrame, table: str, checkpoint: str, key: list[str]) -> StreamingQuery:
-    """Upserts each batch into the Parquet folders table/0, table/1, ... in turn; the highest number is the whole table."""
+    """Upserts each batch into the Parquet folders table/0, table/1, ... in turn; the highest number is the whole table, the one before is kept for a batch made again."""
     from pyspark.sql import functions as F
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -29,5 +29,7 @@ def keep_latest(stream: DataFrame, table: str, checkpoint: str, key: list[str])
             cols = [c for c in new.columns if c != "key"]
             new = new.groupBy("key").agg(F.max_by(F.struct(*cols), "judged_at").alias("r")).select("key", "r.*")
         new.write.mode("overwrite").parquet(f"{table}/{number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/{number - 2}")  # the last but one is no batch's input any more
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

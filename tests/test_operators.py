@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from citegrove.operators import curation, identity, models, quality, ranking, retrieval, scoring
@@ -192,8 +193,10 @@ def test_bootstrap_parity(spark):
     df = spark.createDataFrame([("g", i, x) for i, x in enumerate(v)], "g string, o int, v double")
     r = scoring.seeded_bootstrap(df, ["g"], "v", "o", rounds=200, seed=7).first()
     rng = random.Random(7)
-    means = sorted(sum(rng.choice(v) for _ in v) / 5 for _ in range(200))
-    assert (r["lo"], r["hi"]) == (means[5], means[195])
+    means = sorted(sum(rng.choices(v, k=5)) / 5 for _ in range(200))
+    assert (r["lo"], r["hi"]) == pytest.approx((means[5], means[195]))
+    p = spark.createDataFrame([("u", "none", 0.25), ("u", "card", 1.0), ("w", "card", 1.0)], "u string, arm string, v double")
+    assert [tuple(r) for r in scoring.paired(p, ["u"], "arm", "v", "none", "card").collect()] == [("u", 0.25, 1.0, 0.75)]
     h = scoring.hash_bootstrap(df, ["g"], F.col("v"), "o", 100, "s").first()
     assert h["n"] == 5 and h["lo"] <= h["mean"] <= h["hi"]
 
@@ -229,8 +232,33 @@ def test_curation(spark):
 
 
 def test_grounded(spark):
-    df = spark.createDataFrame([("AdvBench", "on advbench data"), ("Adv-Bench-XL", "the dvbenc thing"), ("QQ (full)", "a qq b"), ("Zeta", "none"), (None, "x")], "n string, p string")
-    assert [r[0] for r in df.select(curation.grounded(F.col("n"), F.col("p"))).collect()] == [True, True, True, False, False]
+    rows = [("AdvBench", ["on advbench data"]), ("Adv-Bench-XL", ["the dvbenc thing"]), ("QQ (full)", ["a qq b"]), ("Zeta", ["none", None]), (None, ["x"]), ("xyzabc", ["ends in xyz", "abc begins"]), ("Ab", None), ("?", ["?"])]
+    df = spark.createDataFrame(rows, "n string, p array<string>")
+    assert [r[0] for r in df.select(curation.grounded(F.col("n"), F.col("p"))).collect()] == [True, True, True, False, False, False, False, False]
+
+
+def test_guard(spark):
+    items = spark.createDataFrame(
+        [
+            (1, "datasets", "AdvBench", "AdvBench", ["P", "Q", None]), (2, "threats", "Random seed control", "Random seed control across training runs", ["P", "Q"]), (3, "threats", "Same prompt", "Same prompt", ["P"]),
+            (4, "datasets", "Other", "Other", []), (5, "datasets", None, "x", ["P"]),
+        ], "item_id long, key string, name string, text string, evidence array<string>",
+    )
+    said = spark.createDataFrame([("P", "datasets", "Adv-Bench (small)"), ("P", "threats", "control runs with random seeds, training apart"), ("Q", "protocols", "random control of training")], "title string, key string, text string")
+    kept, counts = curation.guard(items, said)
+    assert {r["item_id"]: r["evidence"] for r in kept.collect()} == {1: ["P"], 2: ["P"]}
+    assert {r["key"]: tuple(r)[1:] for r in counts.collect()} == {"datasets": (1, 2, 1), "threats": (2, 1, 1)}
+    r = spark.createDataFrame([("AdvBench test", "nothing", ["accuracy", "zzz"]), (None, "Llama", None)], "dataset string, model string, metrics array<string>")
+    known = F.array(*map(F.lit, ["advbench", "Llama-3", "Accuracy", "abc"]))
+    got = [(x["checks"].asDict(), x["untraceable"]) for x in curation.recipe_checks(r, known, ["dataset", "model"], "metrics").collect()]
+    assert got == [({"dataset": True, "model": False, "metrics": False}, ["zzz"]), ({"dataset": False, "model": True, "metrics": True}, [])]
+
+
+def test_sufficiency(spark):
+    rows = [("a", 0, "no", "r0", ["m1"]), ("a", 1, "yes", "r1", ["m2", None]), ("a", 2, "yes", "r2", None), ("b", 0, "yes", "q0", None), ("b", 1, "no", "q1", ["z"]), ("c", 0, None, None, ["k"])]
+    df = spark.createDataFrame(rows, "arm string, run int, sufficiency string, reasoning string, missing array<string>").repartition(3)
+    got = {r["arm"]: (r["n_runs"], r["sufficiency"], r["reasoning"], r["missing"], r["missing_all_runs"]) for r in scoring.aggregate_sufficiency(df, ["arm"]).collect()}
+    assert got == {"a": (3, "yes", "r1", ["m2", None], ["m1", "m2"]), "b": (2, None, "q0", [], ["z"]), "c": (1, None, "", ["k"], ["k"])}
 
 
 def test_quality(spark):
@@ -241,6 +269,10 @@ def test_quality(spark):
     bundle = spark.createDataFrame([(1, "A Very Long Title About Steering Vectors", "", None, None, None), (2, "Other", "2401.00001v2", None, None, None), (3, None, None, None, None, None)], cols)
     source = spark.createDataFrame([(9, "a very long title about steering vectors, extended", None, None, None, None), (8, "Zzz", None, None, None, "10.48550/arXiv.2401.00001")], cols)
     assert {(r["seq"], r["source_seq"]) for r in quality.leaked(bundle, source).collect()} == {(1, 9), (2, 8)}
+    short = spark.createDataFrame([(5, "Steering, Vectors", None, None, None, None), (6, "zz", None, None, None, None), (7, None, None, None, None, None)], cols)
+    assert {(r["seq"], r["source_seq"]) for r in quality.leaked(bundle, short).collect()} == {(1, 5)}
+    said = df.select(quality.reference_messages(F.col("e"), F.col("r"), F.col("c"), F.lit(True)).alias("m")).collect()
+    assert said[0]["m"] == ["still a draft"] and "experiments[0]: 5 characters, 120 at least" in said[1]["m"] and "roles[0]: unknown role odd" in said[1]["m"] and len(said[2]["m"]) == 3
     assert quality.leaked(bundle.filter("false"), source).count() == 0
     a, b = (spark.createDataFrame([(x,) for x in xs], "k string") for xs in ("ab", "bc"))
     assert {tuple(r) for r in quality.symmetric_difference(a, b, ["k"]).collect()} == {("a", "left"), ("c", "right")}

@@ -71,6 +71,10 @@ def test_registry(spark):
     s.register("a", lambda q, n: one.limit(n))
     got = s.search(["a"], [("q1", "norms"), ("q2", "claim")], 5).orderBy("call").collect()
     assert [(r["sources"], r["queries"], r["buckets"]) for r in got] == [(["a"], ["q1"], ["norms"]), (["a"], ["q2"], ["claim"])]
+    s.register("bad", lambda q, n: 1 / 0)
+    assert s.search(["a", "bad"], [("q1", "norms")], 5).count() == 1 and [f[1:3] for f in s.failed] == [("bad", "q1")]
+    with pytest.raises(ValueError, match="ZeroDivisionError"):
+        s.search(["bad"], [("q1", "norms")], 5)
     with pytest.raises(KeyError, match="unknown"):
         s.get(["b"])
 
