@@ -1,29 +1,7 @@
-"""Integer dictionaries and joins with them that no frequent value can clog."""
+"""Integer dictionaries: joins with them that no frequent value can clog."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from citegrove.operators.graph import join_skewed as encode
 
-#: A value in more than one row of so many meets the dictionary by broadcast; there are at most that many such values.
-HEAVY_SHARE = 64
-#: Values in fewer rows than this are never frequent, however small the table.
-HEAVY_FLOOR = 1000
-
-
-def encode(rows: DataFrame, book: DataFrame, on: list[str], n_rows: int) -> DataFrame:
-    """rows joined with book on the columns on; book has one row a value and the value's number of rows as n.
-
-    Values with n above n_rows / HEAVY_SHARE are joined from a broadcast list (at most HEAVY_SHARE values, of whatever table),
-    the others by a shuffle join in which no key has more rows than that.
-    """
-    heavy_from = max(HEAVY_FLOOR, n_rows // HEAVY_SHARE)
-    if n_rows < heavy_from:
-        return rows.join(book.drop("n"), on)
-    more = [c for c in book.columns if c not in (*on, "n")]
-    heavy = book.filter(F.col("n") >= heavy_from).select(*on, F.struct(*more).alias("_heavy"))
-    met = rows.join(F.broadcast(heavy), on, "left")
-    own = rows.columns
-    frequent = met.filter("_heavy is not null").select(*own, *(F.col(f"_heavy.{c}").alias(c) for c in more))
-    others = met.filter("_heavy is null").select(*own).join(book.filter(F.col("n") < heavy_from).drop("n"), on)
-    return frequent.unionByName(others)
+__all__ = ["encode"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrove.llm.dictionary import encode
+from citegrove.operators.graph import connected
 from citegrove.plans.materialize import settle
 
 #: Prefix of preprint DOIs, and the mark of DOIs of whole volumes; fixed values of the data.
@@ -103,37 +104,6 @@ def _components(k: DataFrame) -> DataFrame:
     return met.select("seq", "first_seq").unionByName(k.filter(keyless).select("seq", F.col("seq").alias("first_seq")))
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, first): of each node (a number) that shares a key with another, directly or through others, the smallest node of them all.
-
-    edges: node and key, distinct. Each round gives every node that still shares a key the neighbour of the least random number, or that
-    one's own, then makes one node of those with the same. Keys of one node only drop out, so finished groups do too, and what is
-    left shrinks by a part of itself each round; the rounds' steps are put together at the end. Nodes and keys of many edges are joined from short broadcast lists.
-    """
-    steps, left, number = [], edges, 0
-    while True:
-        busy = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("at"), "node")).alias("low")).filter("n > 1")
-        left = settle(encode(left, settle(busy), ["key"], left.count()))
-        n_edges = left.count()
-        if not n_edges:
-            break
-        near = settle(left.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low")).select("node", "n", F.col("low.node").alias("to")))
-        jump = near.groupBy("to").agg(F.count(F.lit(1)).alias("n")).join(near.select(F.col("node").alias("to"), F.col("to").alias("next")), "to")
-        near = settle(encode(near.select("node", F.col("n").alias("edges"), "to"), jump, ["to"], n_edges).select("node", F.col("edges").alias("n"), F.col("next").alias("to")))
-        steps.append(near.select("node", "to"))
-        left = encode(left.select("node", "key"), near, ["node"], n_edges).select(F.col("to").alias("node"), "key").distinct()
-        number += 1
-    if not steps:
-        return edges.filter("false").select("node", F.col("node").alias("first"))
-    whole = steps[-1]
-    for step in reversed(steps[:-1]):
-        last = whole.select(F.col("node").alias("to"), F.col("to").alias("root"))
-        many = step.groupBy("to").agg(F.count(F.lit(1)).alias("n"))
-        whole = settle(encode(step, last.join(many, "to"), ["to"], step.count()).select("node", F.col("root").alias("to")).unionByName(step.join(last, "to", "left_anti").select("node", "to")))
-    least = settle(whole.groupBy("to").agg(F.least(F.min("node"), F.first("to")).alias("first"), F.count(F.lit(1)).alias("n")))
-    return encode(whole, least, ["to"], whole.count()).select("node", "first")
-
-
 def _real_abstracts(texts: DataFrame) -> DataFrame:
     """The distinct (first_seq, text) that are abstracts: long enough, and not made of notices that stand in many records."""
     t = settle(texts.filter(F.size(F.split("text", " ")) >= LEAST_WORDS).select("first_seq", "text").distinct())

@@ -10,7 +10,8 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from citegrove.llm import bpe, canonmap, consensus, dictionary, packing, queries, readability, setjoin, survivor, termcount, twins
+from citegrove.llm import bpe, canonmap, consensus, packing, queries, readability, setjoin, survivor, termcount, twins
+from citegrove.operators import graph
 
 SF = "/root/testdata/sf0.001"
 
@@ -96,29 +97,6 @@ def test_survivors(spark):
     assert survivor.survivors(df.drop("first_seq").filter("false")).count() == 0
 
 
-def test_connected(spark, monkeypatch):
-    """Chains, stars and cliques against union-find, with hot keys and nodes by broadcast; an empty table has none."""
-    monkeypatch.setattr(dictionary, "HEAVY_FLOOR", 4)
-    rng = random.Random(9)
-    edges = {(i, f"c{j}") for i in range(100, 140) for j in (i, i + 1)} | {(i, "hub") for i in range(0, 60, 3)} | {(rng.randrange(200, 300), f"k{rng.randrange(90)}") for _ in range(150)} | {(999, "alone")}
-    parent = {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for n, k in sorted(edges):
-        parent[find(k)] = find(n)
-    members = {}
-    for n in {n for n, _ in edges}:
-        members.setdefault(find(n), set()).add(n)
-    want = {n: min(g) for g in members.values() if len(g) > 1 for n in g}
-    df = spark.createDataFrame(sorted(edges), "node long, key string")
-    assert {r["node"]: r["first"] for r in survivor.connected(df).collect()} == want
-    assert survivor.connected(df.filter("false")).count() == 0
-
-
 def test_judged_as_by_hand(spark):
     """The sums by work and field give what a loop over all values and sources gives."""
     import math
@@ -185,7 +163,7 @@ def test_twins(spark):
 
 
 def test_heavy_values(spark, monkeypatch):
-    monkeypatch.setattr(dictionary, "HEAVY_FLOOR", 5)
+    monkeypatch.setattr(graph, "HEAVY_FLOOR", 5)
     rows = [(i, "Same title" if i % 2 else f"t{i}", f"year: {i % 3}") for i in range(200)]
     df = spark.createDataFrame(rows, "hit_id long, title string, record string")
     got = {r["hit_id"]: r["n_copies"] for r in twins.collapse_copies(df, "hit_id", twins.paper_hit_record(), "title").collect()}
