@@ -183,14 +183,15 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(d, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
 
 
-def dense_top_k(queries: DataFrame, query_key: str, docs: DataFrame, key: str, vector: str, k: int, blocks: int = 16) -> DataFrame:
+def dense_top_k(queries: DataFrame, query_key: str, docs: DataFrame, key: str, vector: str, k: int, block: int = 256) -> DataFrame:
     """(query_key, key, cosine, rank): exact cosine of each query vector against all documents, ties to the larger key.
 
-    The queries travel to the documents in blocks: each block of queries is one row, joined to every partition of documents,
+    The queries travel to the documents in blocks of about block: each is one row, joined to every partition of documents,
     and each pair of block and document gives its cosines at once. Vectors are doubles before they are multiplied.
     """
     unit = docs.select(key, l2_normalize(F.col(vector)).alias("v"))
     q = queries.select(query_key, l2_normalize(F.col(vector)).alias("qv"))
+    blocks = max(1, -(-queries.count() // block))
     parts = q.withColumn("block", F.pmod(F.xxhash64(query_key), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct(F.col(query_key).alias("q"), "qv")).alias("qs"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     pairs = unit.crossJoin(parts).select(key, F.explode(F.transform("qs", lambda x: F.struct(x["q"].alias("q"), dot(x["qv"], F.col("v")).alias("cosine")))).alias("x"))

@@ -8,6 +8,7 @@ import citegrove.plans.curation_queries  # noqa: E402,F401
 import citegrove.plans.identity_queries  # noqa: E402,F401
 import citegrove.plans.retrieval_queries  # noqa: E402,F401
 import citegrove.plans.scoring_queries  # noqa: E402,F401
+import citegrove.plans.source_queries  # noqa: E402,F401
 import citegrove.plans.text_queries  # noqa: E402,F401,I001
 
 __all__ = ["REGISTRY"]

@@ -23,11 +23,11 @@ _SERP = "title string, link string, snippet string, publication_info struct<summ
 _PWC = "title string, abstract string, authors array<string>, published string, proceeding string, url_abs string, url_pdf string, arxiv_id string, tasks variant, methods variant, datasets variant, metrics variant"
 
 
-def as_papers(df: DataFrame, **columns: Column) -> DataFrame:
-    """df as paper records: the columns given, '' or empty for the others."""
+def as_papers(df: DataFrame, keep: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """df as paper records: the columns given, '' or empty for the others, after those of df to keep."""
     blank = {"string": F.lit(""), "int": F.lit(None), "bigint": F.lit(0), "double": F.lit(0.0)}
     full = [F.coalesce(columns.get(n, F.lit(None).cast(t)), blank.get(t, F.lit(None)).cast(t) if t in blank else (F.array() if t.startswith("array") else F.create_map()).cast(t)).alias(n) for n, t in PAPER_COLUMNS]
-    return df.select(*full)
+    return df.select(*keep, *full)
 
 
 def _line(c: Column) -> Column:
@@ -47,37 +47,37 @@ def inverted_text(index: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ")
 
 
-def from_openalex(works: DataFrame, json: str) -> DataFrame:
+def from_openalex(works: DataFrame, json: str, *keep: str) -> DataFrame:
     """Works as JSON texts: bare DOI, 25 authors, six concepts, topic ids without their address."""
-    w = works.select(F.from_json(json, _OPENALEX).alias("w")).select("w.*")
+    w = works.select(*keep, F.from_json(json, _OPENALEX).alias("w")).select(*keep, "w.*")
     tail = lambda c: F.element_at(F.split(c, "/"), -1)
     return as_papers(
-        w, title=F.col("title"), abstract=inverted_text(F.col("abstract_inverted_index")), authors=F.slice(F.transform("authorships", lambda a: a["author"]["display_name"]), 1, 25), year=F.col("publication_year"), venue=F.col("primary_location.source.display_name"),
+        w, keep, title=F.col("title"), abstract=inverted_text(F.col("abstract_inverted_index")), authors=F.slice(F.transform("authorships", lambda a: a["author"]["display_name"]), 1, 25), year=F.col("publication_year"), venue=F.col("primary_location.source.display_name"),
         citations=F.col("cited_by_count"), url=F.coalesce("primary_location.landing_page_url", "id"), pdf_url=F.coalesce("primary_location.pdf_url", "open_access.oa_url"), doi=F.regexp_replace("doi", r"^https?://doi\.org/", ""),
         fields_of_study=F.slice(F.transform("concepts", lambda c: c["display_name"]), 1, 6), topic_ids=F.transform("topics", lambda t: tail(t["id"])), semantic_score=F.col("relevance_score"),
     )
 
 
-def from_scholar(works: DataFrame, json: str) -> DataFrame:
+def from_scholar(works: DataFrame, json: str, *keep: str) -> DataFrame:
     """Works as JSON texts; the short summary stands in for a missing abstract."""
-    w = works.select(F.from_json(json, _SCHOLAR).alias("w")).select("w.*")
+    w = works.select(*keep, F.from_json(json, _SCHOLAR).alias("w")).select(*keep, "w.*")
     return as_papers(
-        w, title=F.col("title"), abstract=F.coalesce(F.nullif("abstract", F.lit("")), F.col("tldr.text")), authors=F.slice(F.transform("authors", lambda a: a["name"]), 1, 25), year=F.col("year"), venue=F.col("venue"), citations=F.col("citationCount"),
+        w, keep, title=F.col("title"), abstract=F.coalesce(F.nullif("abstract", F.lit("")), F.col("tldr.text")), authors=F.slice(F.transform("authors", lambda a: a["name"]), 1, 25), year=F.col("year"), venue=F.col("venue"), citations=F.col("citationCount"),
         url=F.col("url"), pdf_url=F.col("openAccessPdf.url"), doi=F.col("externalIds.DOI"), arxiv_id=F.col("externalIds.ArXiv"), fields_of_study=F.col("fieldsOfStudy"),
     )
 
 
-def from_serp(results: DataFrame, json: str) -> DataFrame:
+def from_serp(results: DataFrame, json: str, *keep: str) -> DataFrame:
     """Search results as JSON texts: authors and year read out of the summary line."""
-    r = results.select(F.from_json(json, _SERP).alias("r")).select("r.*").withColumn("s", F.coalesce("publication_info.summary", F.lit("")))
+    r = results.select(*keep, F.from_json(json, _SERP).alias("r")).select(*keep, "r.*").withColumn("s", F.coalesce("publication_info.summary", F.lit("")))
     year = F.get(F.filter(F.split("s", r"[\s,]+"), lambda t: t.rlike(r"^\d{4}$")), F.lit(0))
     names = F.filter(F.transform(F.split(F.get(F.split("s", " - "), F.lit(0)), ","), lambda a: F.trim(a)), lambda a: a != "")
-    return as_papers(r, title=F.col("title"), abstract=F.col("snippet"), authors=names, year=year.cast("int"), url=F.col("link"), citations=F.col("inline_links.cited_by.total"))
+    return as_papers(r, keep, title=F.col("title"), abstract=F.col("snippet"), authors=names, year=year.cast("int"), url=F.col("link"), citations=F.col("inline_links.cited_by.total"))
 
 
-def from_task_papers(papers: DataFrame, json: str) -> DataFrame:
+def from_task_papers(papers: DataFrame, json: str, *keep: str) -> DataFrame:
     """Papers listed under a task as JSON texts; lists hold names or objects with a name."""
-    p = papers.select(F.from_json(json, _PWC).alias("p")).select("p.*")
+    p = papers.select(*keep, F.from_json(json, _PWC).alias("p")).select(*keep, "p.*")
 
     def names(c: str) -> Column:
         items = F.from_json(F.to_json(F.col(c)), "array<variant>")
@@ -85,7 +85,7 @@ def from_task_papers(papers: DataFrame, json: str) -> DataFrame:
         return F.coalesce(F.filter(named, lambda x: x != ""), F.array().cast("array<string>"))
 
     tags = F.map_filter(F.create_map(*(x for c in ("tasks", "methods", "datasets", "metrics") for x in (F.lit(c), names(c)))), lambda _, v: F.size(v) > 0)
-    return as_papers(p, title=F.col("title"), abstract=F.col("abstract"), authors=F.slice("authors", 1, 25), year=F.left("published", F.lit(4)).cast("int"), venue=F.col("proceeding"), url=F.col("url_abs"), pdf_url=F.col("url_pdf"), arxiv_id=F.col("arxiv_id"), tags=tags)
+    return as_papers(p, keep, title=F.col("title"), abstract=F.col("abstract"), authors=F.slice("authors", 1, 25), year=F.left("published", F.lit(4)).cast("int"), venue=F.col("proceeding"), url=F.col("url_abs"), pdf_url=F.col("url_pdf"), arxiv_id=F.col("arxiv_id"), tags=tags)
 
 
 def stamped(papers: DataFrame, source: str, query: str, bucket: str | None = None) -> DataFrame:
