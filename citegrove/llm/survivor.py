@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrove.llm.dictionary import encode
@@ -140,23 +140,31 @@ def judge_values(claims: DataFrame) -> DataFrame:
     sources that do give the value add the difference, so that the cost is that of the claims and not of values times sources.
     """
     c = claims.filter("work is not null and value is not null and source is not null")
-    one = settle(c.groupBy("work", "field", "value", "source").agg(F.count(F.lit(1)).cast("double").alias("yes")))
-    cover = settle(one.groupBy("work", "field", "source").agg(F.sum("yes").alias("given")))
-    fact, where, who = ["work", "field", "value"], ["work", "field"], ["field", "source"]
-    counted = one.groupBy(*fact).agg(F.sum("yes").alias("n"))
-    facts = settle(counted.join(cover.groupBy(*where).agg(F.sum("given").alias("all")), where).select(*fact, "n", F.lit(0.0).alias("score"), (F.col("n") / F.col("all")).alias("p")))
+    one = c.groupBy("work", "field", "value", "source").agg(F.count(F.lit(1)).cast("double").alias("yes"))
+    # rows of a claim, and with the flag whole and no value those of all that a source claims of a work's field
+    votes = one.select("work", "field", "value", F.lit(False).alias("whole"), "source", "yes").unionByName(
+        one.groupBy("work", "field", "source").agg(F.sum("yes").alias("yes")).select("work", "field", F.lit("").alias("value"), F.lit(True).alias("whole"), "source", "yes")
+    )
+    votes = settle(votes)
+    fact, where, who, whole = ["work", "field", "value", "whole"], ["work", "field"], ["field", "source"], F.col("whole")
+    counted = settle(votes.groupBy(*fact).agg(F.sum("yes").alias("n")))
+    facts = counted.filter(~whole).join(counted.filter(whole).select(*where, F.col("n").alias("all")), where).select(*fact, "n", F.lit(0.0).alias("score"), (F.col("n") / F.col("all")).alias("p"))
     for _ in range(ROUNDS):
-        yes = one.join(facts.select(*fact, "p"), fact).groupBy(*who).agg(F.sum(F.col("p") * F.col("yes")).alias("tp"), F.sum((1 - F.col("p")) * F.col("yes")).alias("fp"))
-        true_false = facts.groupBy(*where).agg(F.sum("p").alias("t"), F.sum(1 - F.col("p")).alias("f"))
-        given = cover.join(true_false, where).groupBy(*who).agg(F.sum(F.col("t") * F.col("given")).alias("t"), F.sum(F.col("f") * F.col("given")).alias("f"))
+        facts = settle(facts)
+        true_false = facts.select(*fact, "p", (1 - F.col("p")).alias("q")).unionByName(facts.groupBy(*where).agg(F.sum("p").alias("p"), F.sum(1 - F.col("p")).alias("q")).select(*where, F.lit("").alias("value"), F.lit(True).alias("whole"), "p", "q"))
+        part = lambda c, ok: F.coalesce(F.sum(F.when(ok, F.col("yes") * F.col(c))), F.lit(0.0))
+        seen = votes.join(true_false, fact).groupBy(*who).agg(part("p", ~whole).alias("tp"), part("q", ~whole).alias("fp"), part("p", whole).alias("t"), part("q", whole).alias("f"))
         sens = (F.col("tp") + TRUE_PRIOR[0]) / (F.col("t") + sum(TRUE_PRIOR))
         spec = (F.col("f") - F.col("fp") + FALSE_PRIOR[1]) / (F.col("f") + sum(FALSE_PRIOR))
-        weights = settle(yes.join(given, who).select(*who, "t", "f", F.log(sens / (1 - spec)).alias("pro"), F.log((1 - sens) / spec).alias("contra")))
-        prior = weights.groupBy("field").agg(F.log((1 + F.sum("t")) / (1 + F.sum("f"))).alias("prior"))
-        against = cover.join(weights, who).groupBy(*where).agg(F.sum(F.col("given") * F.col("contra")).alias("against"))
-        for_it = one.join(weights, who).groupBy(*fact).agg(F.sum("yes").alias("n"), F.sum(F.col("yes") * (F.col("pro") - F.col("contra"))).alias("pro"))
-        facts = settle(for_it.join(against, where).join(prior, "field").select(*fact, "n", (F.col("prior") + F.col("against") + F.col("pro")).alias("score")).withColumn("p", 1 / (1 + F.exp(-F.col("score")))))
-    return facts.select(*fact, "p", "score", F.col("n").cast("long").alias("n"))
+        of_field = Window.partitionBy("field")
+        prior = F.log((1 + F.sum("t").over(of_field)) / (1 + F.sum("f").over(of_field)))
+        weights = settle(seen.select(*who, prior.alias("prior"), F.log(sens / (1 - spec)).alias("pro"), F.log((1 - sens) / spec).alias("contra")))
+        told = F.col("yes") * F.when(whole, F.col("contra")).otherwise(F.col("pro") - F.col("contra"))
+        sums = votes.join(weights, who).groupBy(*fact).agg(F.sum("yes").alias("n"), F.sum(told).alias("told"), F.max("prior").alias("prior"))
+        against = sums.filter(whole).select(*where, F.col("told").alias("against"))
+        scored = sums.filter(~whole).join(against, where).select(*fact, "n", (F.col("prior") + F.col("against") + F.col("told")).alias("score"))
+        facts = scored.withColumn("p", 1 / (1 + F.exp(-F.col("score"))))
+    return facts.select("work", "field", "value", "p", "score", F.col("n").cast("long").alias("n"))
 
 
 def survivors(papers: DataFrame) -> DataFrame:
