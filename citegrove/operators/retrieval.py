@@ -29,10 +29,14 @@ def term_stats(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     return postings, df, size
 
 
-#: Queries up to which they travel to the documents; more are joined with the postings by term.
+#: Queries that travel to the documents at once; more take several rounds.
 TRAVELLING = 20_000
-#: Queries that are scored as one matrix, and documents at a time.
-QUERY_BLOCK, DOC_BLOCK = 512, 1024
+#: Queries whose lists are merged at once, and documents that are scored at once at most.
+QUERY_BLOCK, DOC_BLOCK = 512, 4096
+#: Weights of terms and documents that a task holds at most, where a block has 64 documents or more.
+WEIGHTS_HELD = 1 << 23
+#: Groups whose least scores are kept for queries with less than k documents.
+GROUPS_KEPT = 64
 _TOKEN = re.compile(r"[a-z0-9][a-z0-9\-]{2,}").findall
 
 
@@ -42,138 +46,187 @@ def bm25(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, k
     A query's terms count once. Terms that no document holds and documents of score 0 are left out. A null text is an empty one, documents of a
     null group are a group. Queries of equal terms are scored once.
 
-    Up to TRAVELLING queries go to the documents: a first pass counts how many documents hold each term of the queries, a second scores
-    documents in blocks against blocks of queries as a product of matrices and keeps the k best of its own documents, so that only k rows a query
-    and task are shuffled. That is exact with a cap too: what a group's cap takes from a task's list, better documents of that group replace
-    elsewhere. More queries are joined with the postings by term.
+    Documents are cut into tokens once, and the numbers of the queries' terms are written. The queries go to them in rounds of about TRAVELLING:
+    every task scores all its documents for each query of the round and keeps the k best, so only k rows a query and task are
+    shuffled, however many pairs have a term in common. That is exact with a cap too: what a group's cap takes from a task's list, better
+    documents of that group replace elsewhere.
     """
     bags = queries.select(query_key, F.array_sort(F.array_distinct(bm25_tokens(F.col(query_text)))).alias("bag")).filter(F.size("bag") > 0)
     same = settle(bags.groupBy("bag").agg(F.min(query_key).alias("lead")))
-    n_leads = same.count()
-    scored = _bm25_by_block(same, docs, key, text, k, k1, b, group, cap) if n_leads <= TRAVELLING else _bm25_by_term(same, docs, key, text, k1, b)
-    if group and n_leads > TRAVELLING:
-        scored = scored.join(docs.select(key, group), key)
+    rounds = max(1, -(-same.count() // TRAVELLING))
+    coded, terms, df = _coded(same, docs, key, text, group)
     order = [F.desc(F.round("score", 9)), F.desc(key)]
-    if group:
-        scored = scored.withColumn("_g", F.row_number().over(Window.partitionBy("lead", group).orderBy(*order))).filter(F.col("_g") <= cap).drop("_g", group)
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lead").orderBy(*order))).filter(F.col("rank") <= k)
+    best = None
+    for i in range(rounds):
+        part = _scored(same.filter(F.pmod(F.xxhash64("lead"), F.lit(rounds)) == i), coded, terms, df, key, k, k1, b, group, cap).repartition("lead")
+        if group:
+            part = part.withColumn("_g", F.row_number().over(Window.partitionBy("lead", group).orderBy(*order))).filter(F.col("_g") <= cap).drop("_g", group)
+        part = part.withColumn("rank", F.row_number().over(Window.partitionBy("lead").orderBy(*order))).filter(F.col("rank") <= k)
+        part = settle(part) if rounds > 1 else part
+        best = part if best is None else best.unionByName(part)
     return best.join(bags.join(same, "bag").select(query_key, "lead"), "lead").select(query_key, key, "score", "rank")
 
 
-def _bm25_by_block(same: DataFrame, docs: DataFrame, key: str, text: str, k: int, k1: float, b: float, group: str | None, cap: int) -> DataFrame:
-    """(lead, key, score and group): each task's k best documents of each bag of terms."""
-    sc = docs.sparkSession.sparkContext
-    ship(docs.sparkSession)
-    rows = sorted(((r["lead"], r["bag"]) for r in same.collect()), key=lambda r: str(r[0]))  # at most TRAVELLING
-    terms = sc.broadcast({t: i for i, t in enumerate(sorted({t for _, bag in rows for t in bag}))})
+def _coded(same: DataFrame, docs: DataFrame, key: str, text: str, group: str | None) -> tuple[DataFrame, dict[str, int], np.ndarray]:
+    """(documents: key, group, length, numbers of the queries' terms and how often each is there; number of each term, the most used first; how many documents hold each, with the numbers of documents and tokens at the end)."""
+    spark = docs.sparkSession
+    ship(spark)
+    used = same.select(F.explode("bag").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pydict()  # a row a word of the queries
+    terms = {t: i for i, (_, t) in enumerate(sorted(zip((-n for n in used["n"]), used["t"], strict=True)))}
+    known = spark.sparkContext.broadcast(terms)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = terms.value
-        df = np.zeros(len(at) + 2, np.int64)  # the last two count documents and tokens
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = known.value
         for batch in batches:
-            for x in batch.column(0):
+            length, ends, term, tf = [], [0], [], []
+            for x in batch.column(1):
                 toks = _TOKEN((x.as_py() or "").lower())
-                df[-2] += 1
-                df[-1] += len(toks)
-                for t in at.keys() & set(toks):
-                    df[at[t]] += 1
+                length.append(len(toks))
+                for t, n in Counter(toks).items():
+                    i = at.get(t)
+                    if i is not None:
+                        term.append(i)
+                        tf.append(n)
+                ends.append(len(term))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(xs, pa.int32())) for xs in (term, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *([batch.column(2)] if group else []), pa.array(length, pa.int32()), *lists], names=[key, *(["_group"] if group else []), "_length", "_term", "_tf"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    cols = docs.select(key, text, *([F.col(group).cast("string").alias("_group")] if group else []))
+    coded = settle(cols.mapInArrow(code, f"`{key}` {kind}, {'_group string, ' if group else ''}_length int, _term array<int>, _tf array<int>"))
+    n_terms = len(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(n_terms + 2, np.int64)
+        for batch in batches:
+            df[:-2] += np.bincount(batch.column(1).flatten().to_numpy(), minlength=n_terms)
+            df[-2] += batch.num_rows
+            df[-1] += batch.column(0).to_numpy().sum()
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(df[some], pa.int64())], names=["i", "n"])
 
-    df = np.zeros(len(terms.value) + 2, np.int64)
-    for r in docs.select(text).mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row a term of the queries
+    df = np.zeros(n_terms + 2, np.int64)
+    for r in coded.select("_length", "_term").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row a word of the queries
         df[r["i"]] = r["n"]
-    n_docs, average = int(df[-2]), df[-1] / max(1, df[-2])
-    idf = np.log(1 + (n_docs - df[:-2] + 0.5) / (df[:-2] + 0.5)) * (df[:-2] > 0)
-    blocks = []
-    for first in range(0, len(rows), QUERY_BLOCK):
-        part = rows[first : first + QUERY_BLOCK]
-        own = sorted({terms.value[t] for _, bag in part for t in bag})
-        place = {t: i for i, t in enumerate(own)}
-        m = np.zeros((len(own), len(part)))
-        for j, (_, bag) in enumerate(part):
-            for t in bag:
-                m[place[terms.value[t]], j] = 1.0
-        blocks.append((np.array(own), np.packbits(m.astype(bool), axis=0), len(own)))
-    shipped = sc.broadcast((idf, average, blocks))
-    leads = [lead for lead, _ in rows]
-    fields = [f for f in docs.select(key, *([group] if group else [])).schema]
+    return coded, terms, df
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = terms.value
-        idf, average, blocks = shipped.value
-        held: dict[int, list[tuple]] = {}  # of each query (rounded score, key, group, score), the best first
-
-        def keep(q: int, new: list[tuple]) -> None:
-            ranked = sorted(held.get(q, []) + new, key=lambda x: (x[0], x[1]), reverse=True)
-            if group:
-                seen: dict = {}
-                best = []
-                for x in ranked:
-                    seen[x[2]] = seen.get(x[2], 0) + 1
-                    if seen[x[2]] <= cap:
-                        best.append(x)
-                ranked = best
-            held[q] = ranked[:k]
 
+def _scored(same: DataFrame, coded: DataFrame, terms: dict[str, int], df: np.ndarray, key: str, k: int, k1: float, b: float, group: str | None, cap: int) -> DataFrame:
+    """(lead, key, score and group): each task's k best documents of each bag of terms; same and coded as in bm25 and _coded.
+
+    Bags are in order of their terms' numbers, so that neighbours share the sums of the terms that they begin with. Blocks of documents begin small, which
+    soon gives each query a score that further documents must reach.
+    """
+    sc = coded.sparkSession.sparkContext
+    n_docs, average = int(df[-2]), float(df[-1] / max(1, df[-2]))
+    idf = np.log(1 + (n_docs - df[:-2] + 0.5) / (df[:-2] + 0.5))
+    queries = same.select("lead", "bag").toArrow().combine_chunks()  # about TRAVELLING
+    rows = sorted((tuple(sorted(i for i in map(terms.__getitem__, bag) if df[i])), at) for at, bag in enumerate(queries["bag"].to_pylist()))
+    rows = [(bag, at) for bag, at in rows if bag]
+    shared = [0, *(next((i for i, (x, y) in enumerate(zip(a, c)) if x != y), min(len(a), len(c))) for (a, _), (c, _) in zip(rows, rows[1:]))]
+    leads = queries["lead"].take(pa.array([at for _, at in rows], pa.int64()))
+    shipped = sc.broadcast((idf, [bag for bag, _ in rows], shared, leads.to_pylist()))
+    lead_type = leads.type
+    most = max(1, min(DOC_BLOCK, max(64, WEIGHTS_HELD // max(1, len(terms)))))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, bags, shared, leads = shipped.value
+        n = len(bags)
+        no = np.nextafter(0, 1)
+        floor = np.full(n, no)  # what a document's rounded score must reach
+        group_floor = np.full((n, GROUPS_KEPT + 1), no) if group else None
+        codes: dict[str | None, int] = {}
+        firsts = range(0, n, QUERY_BLOCK)
+        held: list = [None] * len(firsts)  # query, rounded score, key, group, score; the best of each query first
+        deepest = max(map(len, bags), default=0)
+        key_type, step = None, min(256, most)
         for batch in batches:
-            for first in range(0, batch.num_rows, DOC_BLOCK):
-                part = batch.slice(first, DOC_BLOCK)
-                keys, groups = part.column(0).to_pylist(), part.column(2).to_pylist() if group else [None] * part.num_rows
-                doc, term, weight = [], [], []
-                for i, x in enumerate(part.column(1)):
-                    toks = _TOKEN((x.as_py() or "").lower())
-                    long = k1 * (1 - b + b * max(1, len(toks)) / average) if average else k1
-                    for t, tf in Counter(toks).items():
-                        j = at.get(t)
-                        if j is not None:
-                            doc.append(i)
-                            term.append(j)
-                            weight.append(idf[j] * (tf * (k1 + 1)) / (tf + long))
-                if not doc:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, step)
+                at, step = at + step, min(2 * step, most)
+                key_type, size = part.column(0).type, part.num_rows
+                keys = part.column(0).to_numpy() if pa.types.is_integer(key_type) and not part.column(0).null_count else np.array([*part.column(0).to_pylist(), None], object)[:-1]
+                mine = np.zeros(size, np.int64)
+                if group:
+                    named = part.column(1).dictionary_encode(null_encoding="encode")
+                    mine = np.array([codes.setdefault(g, len(codes)) for g in named.dictionary.to_pylist()], np.int64)[named.indices.to_numpy()]
+                length, term, tf = part.columns[-3:]
+                doc = np.repeat(np.arange(size), term.value_lengths().to_numpy())
+                term, tf = term.flatten().to_numpy(), tf.flatten().to_numpy().astype(float)
+                if not len(term):
                     continue
-                doc_at, term_at, w = np.array(doc), np.array(term), np.array(weight)
-                for number, (own, bits, n_own) in enumerate(blocks):
-                    place = np.searchsorted(own, term_at)
-                    there = (place < n_own) & (own[np.minimum(place, n_own - 1)] == term_at)
-                    left = np.zeros((part.num_rows, n_own))
-                    left[doc_at[there], place[there]] = w[there]
-                    s = left @ np.unpackbits(bits, axis=0, count=n_own).astype(float)
-                    rounded = np.round(s, 9)
-                    least = np.partition(rounded, -k, axis=0)[-k] if not group and k < part.num_rows else np.zeros(s.shape[1])
-                    for q in range(s.shape[1]):
-                        n = number * QUERY_BLOCK + q
-                        full = held.get(n)
-                        floor = max(least[q], full[-1][0] if full and len(full) >= k else 0.0)
-                        some = np.flatnonzero((s[:, q] > 0) & (rounded[:, q] >= floor))
+                long = k1 * (1 - b + b * np.maximum(1, length.to_numpy()) / average)
+                there, place = np.unique(term, return_inverse=True)
+                weights = np.zeros((len(there), size))
+                weights[place, doc] = idf[term] * (tf * (k1 + 1)) / (tf + long[doc])
+                of = dict(zip(there.tolist(), weights))
+                space = np.empty((deepest + 1, size))
+                room, sums = list(space), [None] * (deepest + 1)
+                kept = np.minimum(mine, GROUPS_KEPT)
+                for number, first in enumerate(firsts):
+                    found, which, scores = [], [], []
+                    for q in range(first, min(first + QUERY_BLOCK, n)):
+                        bag = bags[q]
+                        # The first query of a block of documents has nothing to share with.
+                        for i in range(shared[q] if q else 0, len(bag)):
+                            row, before = of.get(bag[i]), sums[i]
+                            sums[i + 1] = before if row is None else row if before is None else np.add(before, row, room[i + 1])
+                        s = sums[len(bag)]
+                        if s is None:
+                            continue
+                        # Scores count as rounded to nine digits; the rest is told by the merge.
+                        some = np.flatnonzero(s >= floor[q] - 1e-9)
+                        if len(some) and floor[q] == no:
+                            some = some[s[some] > 0]
+                            if group:
+                                some = some[s[some] >= group_floor[q][kept[some]] - 1e-9]
                         if len(some):
-                            keep(n, [(rounded[i, q], keys[i], groups[i], s[i, q]) for i in some])
-        out = [(leads[q], x) for q, xs in held.items() for x in xs]
-        cols = [pa.array([lead for lead, _ in out]), pa.array([x[1] for _, x in out]), *([pa.array([x[2] for _, x in out], pa.string())] if group else []), pa.array([float(x[3]) for _, x in out], pa.float64())]
-        if out:
-            yield pa.RecordBatch.from_arrays(cols, names=["lead", *(f.name for f in fields), "score"])
-
-    lead_kind = same.schema["lead"].dataType.simpleString()
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    cols = docs.select(key, text, *([F.col(group).cast("string").alias(group)] if group else []))
-    return cols.mapInArrow(score, f"lead {lead_kind}, {kinds}, score double")
-
-
-def _bm25_by_term(same: DataFrame, docs: DataFrame, key: str, text: str, k1: float, b: float, chunk: int = 256) -> DataFrame:
-    """(lead, key, score) of every bag of terms and document with a term in common.
-
-    The bags of a term are kept in lists of about chunk, so no list grows with the number of queries; a list and a posting meet once, and the sums by
-    query and document are partial.
-    """
-    postings, df, size = term_stats(docs, key, text)
-    listed = same.select("lead", F.explode("bag").alias("term"))
-    lists = listed.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    part = F.pmod(F.xxhash64("lead"), F.ceil(F.col("n") / F.lit(chunk)))
-    terms = listed.join(lists, "term").groupBy("term", part.alias("part")).agg(F.collect_list("lead").alias("leads"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    wanted = df.join(terms, "term").crossJoin(F.broadcast(size)).select("term", "leads", idf.alias("idf"), "avg")
-    weight = F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.greatest("length", F.lit(1)) / F.col("avg")))
-    return postings.join(wanted, "term").select(key, weight.alias("w"), F.explode("leads").alias("lead")).groupBy("lead", key).agg(F.sum("w").alias("score")).filter("score > 0")
+                            found.append(some)
+                            which.append(np.full(len(some), q))
+                            scores.append(s[some])
+                    if not found:
+                        continue
+                    found, which, scores = map(np.concatenate, (found, which, scores))
+                    new = [which, np.round(scores, 9), keys[found], mine[found], scores]
+                    if held[number] is not None:
+                        new = [np.concatenate(x) for x in zip(held[number], new, strict=True)]
+                    by_key = new[2]
+                    if by_key.dtype == object:
+                        rank = {x: i for i, x in enumerate(sorted({*by_key}, key=lambda x: (x is not None, x)))}
+                        by_key = np.array([rank[x] for x in by_key])
+                    order = np.lexsort((by_key, new[1], new[0]))[::-1]
+                    new = [x[order] for x in new]
+                    if group:
+                        by_group = np.lexsort((np.arange(len(order)), new[3], new[0]))
+                        in_group = np.empty(len(order), np.int64)
+                        in_group[by_group] = _places(new[0][by_group], new[3][by_group])
+                        last = in_group == cap - 1
+                        group_floor[new[0][last], np.minimum(new[3][last], GROUPS_KEPT)] = new[1][last]
+                        group_floor[:, GROUPS_KEPT] = no
+                        new = [x[in_group < cap] for x in new]
+                    place = _places(new[0])
+                    last = place == k - 1
+                    floor[new[0][last]] = np.maximum(new[1][last], no)
+                    held[number] = [x[place < k] for x in new]
+        names = list(codes)
+        for lists in held:
+            if lists is not None:
+                which, _, found, mine, scores = lists
+                cols = [pa.array([leads[q] for q in which], lead_type), pa.array(found, key_type), *([pa.array([names[g] for g in mine], pa.string())] if group else []), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["lead", key, *([group] if group else []), "score"])
+
+    kind = {f.name: f.dataType.simpleString() for f in [*same.schema, *coded.schema]}
+    return coded.mapInArrow(score, f"lead {kind['lead']}, `{key}` {kind[key]}, {f'`{group}` string, ' if group else ''}score double")
+
+
+def _places(*by: np.ndarray) -> np.ndarray:
+    """The place of each entry, from 0, in its run of equal values of by."""
+    n = len(by[0])
+    new = np.ones(n, bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in by], axis=0)
+    starts = np.flatnonzero(new)
+    return np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
 
 
 def l2_normalize(v: Column) -> Column:

@@ -18,3 +18,17 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Counts the rows that all stages so far wrote for a shuffle."""
+    sc = spark.sparkContext
+
+    def rows():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        none = sc._jvm.java.util.ArrayList()
+        stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    return rows

@@ -109,6 +109,34 @@ def test_bm25_with_a_cap(spark, monkeypatch):
     assert retrieval.bm25(queries.filter("false"), "q", "t", docs, "d", "t", 5).count() == 0
 
 
+def many_queries(spark):
+    """300 queries and 400 documents that all have a term in common, and what a plain ranking gives."""
+    random.seed(8)
+    words = [f"w{i:02d}" for i in range(40)]
+    ds = [(i, "all " + " ".join(random.choices(words, k=6))) for i in range(400)]
+    qs = [(f"q{i}", "all " + " ".join(random.choices(words, k=3))) for i in range(300)]
+    toks = [t.split() for _, t in ds]
+    df = {w: sum(w in t for t in toks) for w in [*words, "all"]}
+    want = set()
+    for q, text in qs:
+        score = {}
+        for (d, _), t in zip(ds, toks, strict=True):
+            score[d] = sum(math.log(1 + (400 - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.5 / (t.count(w) + 1.5) for w in set(text.split()) if w in t)
+        best = sorted(score, key=lambda d: (round(score[d], 9), d), reverse=True)
+        want |= {(q, d, i) for i, d in enumerate(best[:5], 1)}
+    return spark.createDataFrame(qs, "q string, t string"), spark.createDataFrame(ds, "d long, t string").repartition(3), want
+
+
+def test_bm25_of_many_queries(spark, shuffled, monkeypatch):
+    """More queries than travel at once: rounds give what a plain ranking gives, and only k rows a query and task are shuffled, not all pairs."""
+    queries, docs, want = many_queries(spark)
+    monkeypatch.setattr(retrieval, "TRAVELLING", 100)
+    before = shuffled()
+    got = {(r["q"], r["d"], r["rank"]) for r in retrieval.bm25(queries, "q", "t", docs, "d", "t", 5).collect()}
+    assert got == want
+    assert shuffled() - before < 300 * 400 / 4
+
+
 def test_balanced_top_k(spark):
     rows = [("p", i, 2010 if i <= 5 else 2025) for i in range(1, 9)] + [("small", 1, 2000)]
     df = spark.createDataFrame(rows, "pool string, rank int, year int")

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from citegrove.operators import retrieval
 from citegrove.plans.catalog import REGISTRY
 
 SF = "/root/testdata/sf0.001"
@@ -51,6 +52,23 @@ def test_query(spark, duck, name):
     assert sorted(map(repr, rows)) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("name", ["abstract_evidence"])
+def test_more_claims_than_travel(spark, shuffled, monkeypatch, name):
+    """Claims that take several rounds: results are those of the SQL, and far fewer rows are shuffled than there are pairs or postings."""
+    import duckdb
+
+    con, folder = duckdb.connect(), SF.replace("0.001", "0.01")
+    for f in os.listdir(folder):
+        con.execute(f"create view {f[:-8]} as select * from '{folder}/{f}'")
+    rel = con.execute(REGISTRY.oracle_sql()[name])
+    names = [d[0] for d in rel.description]
+    want = sorted(repr(tuple(map(norm, r))) for r in rel.fetchall())
+    monkeypatch.setattr(retrieval, "TRAVELLING", 10)
+    before = shuffled()
+    assert sorted(repr(tuple(norm(r[c]) for c in names)) for r in REGISTRY.queries()[name](spark, folder).collect()) == want
+    assert shuffled() - before < 20_000
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_empty(spark, empty, name):
     REGISTRY.queries()[name](spark, empty).collect()
