@@ -52,7 +52,7 @@ def test_query(spark, duck, name):
     assert sorted(map(repr, rows)) == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("name", ["abstract_evidence", "bm25", "budgeted_passages"])
+@pytest.mark.parametrize("name", ["abstract_evidence", "bm25", "budgeted_passages", "per_group_cap"])
 def test_more_claims_than_travel(spark, shuffled, monkeypatch, name):
     """Claims that take several rounds: results are those of the SQL, and far fewer rows are shuffled than there are pairs or postings."""
     import duckdb
