@@ -54,6 +54,33 @@ def test_consensus_edges(spark):
     assert none.items.count() == 0 and none.annotators.count() == 0
 
 
+def test_all_pairs_and_triplets(spark, monkeypatch):
+    """Large items and annotators with many partners: moments and spreads are those of all pairs and triplets, whatever the blocks."""
+    rng = random.Random(4)
+    who, k = range(70), 2
+    votes = {(i, a): int(rng.random() < (0.3 + 0.4 * (i % 2) if a % 3 else 0.5)) for i in range(12) for a in who if i < 9 or rng.random() < 0.6}
+    items = {a: {i for i, x in votes if x == a} for a in who}
+    share = {a: [sum(votes[i, a] == z for i in items[a]) / len(items[a]) for z in range(k)] for a in who}
+    n = {(a, b): len(items[a] & items[b]) for a in who for b in who if a != b}
+    c = {(a, b): [sum(votes[i, a] == votes[i, b] == z for i in items[a] & items[b]) / m - share[a][z] * share[b][z] for z in range(k)] for (a, b), m in n.items()}
+    known = spark.createDataFrame([(i, a, v) for (i, a), v in votes.items()], "_item long, a long, v int")
+    rates = spark.createDataFrame([(a, share[a]) for a in who], "a long, m array<double>")
+    size = {}
+    for a in who:
+        for z in range(k):
+            trips = [(min(n[a, x], n[a, y], n[x, y]), c[a, x][z], c[a, y][z], c[x, y][z]) for x in who for y in who if x < y and a not in (x, y)]
+            num = sum(w * p * q * ((r > 0) - (r < 0)) for w, p, q, r in trips)
+            size[a, z] = max(0.0, num / sum(w * abs(r) for w, _, _, r in trips)) ** 0.5
+    for block in (256, 20):
+        monkeypatch.setattr(consensus, "BLOCK", block, raising=False)
+        moments = consensus.pair_moments(known, rates, k, len(votes))
+        got = {(r["i"], r["j"]): r for r in moments.collect()}
+        assert {x: r["n"] for x, r in got.items()} == n
+        assert all(abs(got[x][f"c{z}"] - c[x][z]) < 1e-9 for x in n for z in range(k))
+        spread = {r["a"]: r for r in consensus.triplet_spread(moments, k).collect()}
+        assert all(abs(abs(spread[a][f"s{z}"]) - size[a, z]) < 1e-9 for a in who for z in range(k))
+
+
 def test_one_vote(spark):
     import datetime as dt
 
