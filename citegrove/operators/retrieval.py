@@ -31,6 +31,8 @@ def term_stats(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
 
 #: Queries that travel to the documents at once; more take several rounds.
 TRAVELLING = 20_000
+#: Tasks a core that score at most: each leaves lists of its own, so that more tasks, as of many small files, would only make more rows to shuffle.
+TASKS_A_CORE = 4
 #: Queries whose lists are merged at once, and documents that are scored at once at most.
 QUERY_BLOCK, DOC_BLOCK = 512, 4096
 #: Weights of terms and documents that a task holds at most, where a block has 64 documents or more.
@@ -48,8 +50,8 @@ def bm25(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, k
 
     Documents are cut into tokens once, and the numbers of the queries' terms are written. The queries go to them in rounds of about TRAVELLING:
     every task scores all its documents for each query of the round and keeps the k best, so only k rows a query and task are
-    shuffled, however many pairs have a term in common. That is exact with a cap too: what a group's cap takes from a task's list, better
-    documents of that group replace elsewhere.
+    shuffled, however many pairs have a term in common, and tasks grow with the cores and not with the documents or their files. That is exact
+    with a cap too: what a group's cap takes from a task's list, better documents of that group replace elsewhere.
     """
     bags = queries.select(query_key, F.array_sort(F.array_distinct(bm25_tokens(F.col(query_text)))).alias("bag")).filter(F.size("bag") > 0)
     same = settle(bags.groupBy("bag").agg(F.min(query_key).alias("lead")))
@@ -217,7 +219,7 @@ def _scored(same: DataFrame, coded: DataFrame, terms: dict[str, int], df: np.nda
                 yield pa.RecordBatch.from_arrays(cols, names=["lead", key, *([group] if group else []), "score"])
 
     kind = {f.name: f.dataType.simpleString() for f in [*same.schema, *coded.schema]}
-    return coded.mapInArrow(score, f"lead {kind['lead']}, `{key}` {kind[key]}, {f'`{group}` string, ' if group else ''}score double")
+    return coded.coalesce(TASKS_A_CORE * sc.defaultParallelism).mapInArrow(score, f"lead {kind['lead']}, `{key}` {kind[key]}, {f'`{group}` string, ' if group else ''}score double")
 
 
 def _places(*by: np.ndarray) -> np.ndarray:

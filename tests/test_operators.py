@@ -137,6 +137,22 @@ def test_bm25_of_many_queries(spark, shuffled, monkeypatch):
     assert shuffled() - before < 300 * 400 / 4
 
 
+def test_bm25_of_many_files(spark, shuffled):
+    """Documents in 60 files, each a split of its own: results are the same, and only the lists of so many tasks as the cores allow are shuffled."""
+    queries, docs, want = many_queries(spark)
+    sizes = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    try:
+        for x in sizes:
+            spark.conf.set(x, "64k")
+        before = shuffled()
+        got = {(r["q"], r["d"], r["rank"]) for r in retrieval.bm25(queries, "q", "t", docs.repartition(60), "d", "t", 5).collect()}
+        assert got == want
+        assert shuffled() - before < 300 * 5 * 20
+    finally:
+        for x in sizes:
+            spark.conf.unset(x)
+
+
 def test_balanced_top_k(spark):
     rows = [("p", i, 2010 if i <= 5 else 2025) for i in range(1, 9)] + [("small", 1, 2000)]
     df = spark.createDataFrame(rows, "pool string, rank int, year int")
