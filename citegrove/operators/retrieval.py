@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from citegrove.functions.text import bm25_tokens, strip
 from citegrove.plans.materialize import settle, ship
@@ -312,9 +313,11 @@ def within_budget(ranked: DataFrame, query: str, text: str, budget: int, group:
 
     A passage too long for what is left, or of a group that has cap already, is passed over, and later ones may still fit; null groups are a group, null texts have
     no length. Nothing is taken after k passages or once 97 % of the budget is used. A query's ranks and lengths are
-    one row, which a fold goes through; cut rankings to a top-k first. Texts aren't collected.
+    one row, which a fold goes through; cut rankings to a top-k first. Texts aren't collected. The column text can also hold the lengths, so that
+    no text has to come through the joins before.
     """
-    each = F.struct("rank", F.coalesce(F.length(text), F.lit(0)).alias("n"), (F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.col("rank").cast("string")).alias("g"))
+    size = F.length(text) if isinstance(ranked.schema[text].dataType, StringType) else F.col(text)
+    each = F.struct("rank", F.coalesce(size, F.lit(0)).alias("n"), (F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.col("rank").cast("string")).alias("g"))
     lists = ranked.groupBy(query).agg(F.array_sort(F.collect_list(each)).alias("xs"))
     taken = "array<struct<rank:bigint,g:string>>"
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(taken).alias("taken"))

@@ -96,9 +96,9 @@ def per_group_cap(spark, d):
 select problem_id, doc_id, rank from z join x using (problem_id, rank) where ok""")
 def budgeted_passages(spark, d):
     """Texts of the thirty best documents within a budget of 6,000 characters, three of one source at most."""
-    docs = table(spark, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    ranked = _bm25(spark, d, 30).join(docs, "doc_id").select("problem_id", "doc_id", "source", "rank", "text")
-    return retrieval.within_budget(ranked, "problem_id", "text", 6000, group="source").select("problem_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+    docs = table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("length"))
+    ranked = _bm25(spark, d, 30).join(docs, "doc_id").select("problem_id", "doc_id", "source", "rank", "length")
+    return retrieval.within_budget(ranked, "problem_id", "length", 6000, group="source").select("problem_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
 _PAPER_TEXT = "coalesce(title, '') || ' ' || coalesce(abstract, '')"

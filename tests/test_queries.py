@@ -89,3 +89,10 @@ def test_plans(spark):
     assert "PushedFilters: [IsNotNull(fetched_at)" in p and "struct<seq:bigint,year:int,fetched_at" in p
     assert "ReadSchema: struct<source:string,n_chars:bigint>" in plan("percentile_index")
     assert "BroadcastNestedLoopJoin" in plan("taxonomy_match") and "ArrowEvalPython" not in plan("html_text")
+
+
+def test_budget_takes_lengths(spark):
+    """Only lengths of texts go through the joins of budgeted_passages: texts are read, measured and left behind."""
+    plan = REGISTRY.queries()["budgeted_passages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "length(text#" in plan
+    assert not [x for x in plan.splitlines() if "text#" in x and not re.search(r"FileScan|Project \[doc_id#\d+L, source#\d+, length\(text#\d+\) AS length", x)]
