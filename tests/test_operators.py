@@ -153,6 +153,30 @@ def test_bm25_of_many_files(spark, shuffled):
             spark.conf.unset(x)
 
 
+def test_cap_of_many_files(spark, shuffled):
+    """The same with a cap of two of a group: 30 queries, documents in 60 files."""
+    queries, docs, _ = many_queries(spark)
+    queries, docs = queries.limit(30), docs.withColumn("g", F.col("d") % 7)
+    want, seen = {}, {}
+    for r in sorted(retrieval.bm25(queries, "q", "t", docs, "d", "t", 400).collect(), key=lambda r: (r["q"], r["rank"])):
+        g = r["q"], r["d"] % 7
+        seen[g] = seen.get(g, 0) + 1
+        if seen[g] <= 2 and len(want.setdefault(r["q"], [])) < 6:
+            want[r["q"]].append(r["d"])
+    sizes = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    try:
+        for x in sizes:
+            spark.conf.set(x, "64k")
+        before, got = shuffled(), {}
+        for r in sorted(retrieval.bm25(queries, "q", "t", docs.repartition(60), "d", "t", 6, group="g", cap=2).collect(), key=lambda r: (r["q"], r["rank"])):
+            got.setdefault(r["q"], []).append(r["d"])
+        assert got == want
+        assert shuffled() - before < 30 * 6 * 16 + 3_000
+    finally:
+        for x in sizes:
+            spark.conf.unset(x)
+
+
 def test_balanced_top_k(spark):
     rows = [("p", i, 2010 if i <= 5 else 2025) for i in range(1, 9)] + [("small", 1, 2000)]
     df = spark.createDataFrame(rows, "pool string, rank int, year int")
